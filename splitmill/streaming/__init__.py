@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The analysed workload reads events with fixed time bounds and has no watermark,
+event-time window, state or late-data rule, so every operator is a batch
+DataFrame function.  Because the sufficient statistics (counts, sums, means,
+variances, covariances) are mergeable, an incremental setup can call the same
+functions from ``foreachBatch``; nothing stream-specific is needed."""
