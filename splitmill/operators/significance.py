@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import stats
@@ -45,31 +45,42 @@ def significance_table(
     keys: list[str] | None = None,
     strict: bool = False,
 ) -> DataFrame:
-    """Control rows LEFT JOIN compared rows on (keys, metric), then the test of the metric's type.
-
-    Metrics only in a compared group drop out; metrics only in control keep NULL
-    compared values.  Analyses with fewer than two groups yield no rows (``strict``
-    raises instead), as do invalid inputs (negative variance, proportion outside
-    [0, 1], non-positive count), which are reported in ``input_errors``."""
+    """Control vs every other group, per (keys, metric), with the test of the metric's type.
+
+    One pass over the precompute table: a window per analysis picks the control
+    group, a window per (analysis, metric) puts the control moments on every
+    compared row (the reference's left join, NULL-safe on the display name).
+    Metrics only in a compared group drop out; metrics only in control keep one
+    row with NULL compared values.  Analyses with fewer than two groups yield no
+    rows (``strict`` raises).  Invalid inputs (negative variance, proportion
+    outside [0, 1], non-positive count) get NULL test columns and are named in
+    ``input_errors`` (``strict`` raises)."""
     keys = list(keys or [])
-    ctl = control_groups(precomputed, control_group, keys)
+    c = F.col
+    explicit = F.lit(False) if control_group is None else (c("group_name") == F.lit(control_group))
+    priority = F.when(explicit, 0).when(F.lower("group_name").contains("control"), 1).otherwise(2)
+    w_an = Window.partitionBy(*keys)
+    w_m = Window.partitionBy(*keys, *METRIC_KEYS)
+    df = precomputed.withColumns({
+        "group_name_control": F.min(F.struct(priority.alias("p"), c("group_name").alias("g"))).over(w_an)["g"],
+        "__n_groups": F.size(F.collect_set("group_name").over(w_an)),
+    })
+    is_ctl = c("group_name") == c("group_name_control")
+    df = df.withColumns({
+        **{f"{m}_control": F.max(F.when(is_ctl, c(m))).over(w_m) for m in MOMENTS},
+        "__has_ctl": F.max(is_ctl.cast("int")).over(w_m),
+        "__rows": F.count(F.lit(1)).over(w_m),
+    })
     if strict:
-        ctl = ctl.withColumn("n_groups", F.when(F.col("n_groups") >= 2, F.col("n_groups")).otherwise(F.raise_error(F.lit("fewer than two groups"))))
-    ctl = ctl.where(F.col("n_groups") >= 2)
-    if keys:
-        tagged = precomputed.join(ctl, on=keys, how="inner")
-    else:  # one analysis: the one-row control table joins on a constant key
-        tagged = precomputed.withColumn("__all", F.lit(1)).join(ctl.withColumn("__all", F.lit(1)), on="__all").drop("__all")
-    control = _suffixed(tagged.where(F.col("group_name") == F.col("control_group")), keys, "control")
-    compared = _suffixed(tagged.where(F.col("group_name") != F.col("control_group")), keys, "compared")
-    c, k = control.alias("c"), compared.alias("k")
-    cond = reduce(lambda a, b: a & b, [F.col(f"c.{x}").eqNullSafe(F.col(f"k.{x}")) for x in keys + METRIC_KEYS])
-    joined = c.join(k, cond, "left").select(
-        *[F.col(f"c.{x}").alias(x) for x in keys + METRIC_KEYS],
-        F.col("c.group_name_control"), F.col("k.group_name_compared"),
-        *[F.col(f"c.{m}_control") for m in MOMENTS], *[F.col(f"k.{m}_compared") for m in MOMENTS],
+        df = df.withColumn("__n_groups", F.when(c("__n_groups") >= 2, c("__n_groups")).otherwise(F.raise_error(F.lit("fewer than two groups"))))
+    keep = (c("__has_ctl") == 1) & (c("__n_groups") >= 2) & (~is_ctl | (c("__rows") == 1))
+    df = df.where(keep)
+    joined = df.select(
+        *keys, *METRIC_KEYS, "group_name_control",
+        F.when(~is_ctl, c("group_name")).alias("group_name_compared"),
+        *[c(f"{m}_control") for m in MOMENTS],
+        *[F.when(~is_ctl, c(m)).alias(f"{m}_compared") for m in MOMENTS],
     )
-    c = F.col
     t = c("metric_type")
     errors = stats.input_violations(t, {name: c(name) for name in joined.columns})
     joined = joined.withColumn("input_errors", errors)
@@ -80,31 +91,31 @@ def significance_table(
                 F.raise_error(F.concat(F.lit("invalid test input: "), F.array_join("input_errors", ",")))
             ),
         )
-    # one branch per metric type, each with only its own test expressions
-    avg = stats.welch_ttest(
-        joined.where(t == "avg"),
+    valid = (F.size("input_errors") == 0) & c("group_name_compared").isNotNull()
+    is_avg, is_ratio, is_prop = valid & (t == "avg"), valid & (t == "ratio"), valid & (t == "proportion")
+    out = stats.welch_ttest(
+        joined,
         c("metric_value_control"), c("numerator_var_control"), c("observation_cnt_control"),
         c("metric_value_compared"), c("numerator_var_compared"), c("observation_cnt_compared"),
+        mask=is_avg, prefix="__w_",
     )
-    ratio = stats.delta_ratio_test(
-        joined.where(t == "ratio"),
+    out = stats.delta_ratio_test(
+        out,
         c("metric_value_control"), c("numerator_avg_control"), c("numerator_var_control"),
         c("denominator_avg_control"), c("denominator_var_control"), c("covariance_control"), c("observation_cnt_control"),
         c("metric_value_compared"), c("numerator_avg_compared"), c("numerator_var_compared"),
         c("denominator_avg_compared"), c("denominator_var_compared"), c("covariance_compared"), c("observation_cnt_compared"),
+        mask=is_ratio, prefix="__r_",
     )
-    prop = stats.ztest_proportion(
-        joined.where(t == "proportion"),
-        c("metric_value_control"), c("observation_cnt_control"), c("metric_value_compared"), c("observation_cnt_compared"),
-    )
-    other = joined.where(~t.isin("avg", "ratio", "proportion") | t.isNull())
-    other = other.withColumns({f: F.lit(None).cast("double") for f in stats.TEST_FIELDS})
-    cols = list(joined.columns[:-1]) + list(stats.TEST_FIELDS) + ["input_errors"]
-    tested = avg.select(*cols).unionByName(ratio.select(*cols)).unionByName(prop.select(*cols)).unionByName(other.select(*cols))
-    valid = (F.size("input_errors") == 0) & c("group_name_compared").isNotNull()
-    return tested.select(
-        *joined.columns[:-1], *[F.when(valid, c(f)).alias(f) for f in stats.TEST_FIELDS], "input_errors",
+    out = stats.ztest_proportion(
+        out, c("metric_value_control"), c("observation_cnt_control"), c("metric_value_compared"), c("observation_cnt_compared"),
+        mask=is_prop, prefix="__z_",
     )
+    pick = {
+        f: F.when(is_avg, c(f"__w_{f}")).when(is_ratio, c(f"__r_{f}")).when(is_prop, c(f"__z_{f}")).alias(f)
+        for f in stats.TEST_FIELDS
+    }
+    return out.select(*joined.columns[:-1], *pick.values(), "input_errors")
 
 
 def significance_pivot(

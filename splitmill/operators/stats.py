@@ -31,6 +31,11 @@ ZERO_ATOL = 1e-12
 NEGATIVE_VARIANCE_TOLERANCE = 1e-9
 
 
+def _guard(mask: Column | None, value: Column) -> Column:
+    """Evaluate ``value`` only on rows selected by ``mask`` (NULL elsewhere)."""
+    return value if mask is None else F.when(mask, value)
+
+
 def _stage(df: DataFrame, cols: dict) -> DataFrame:
     """One projection step; later steps refer to these columns by name, so the
     optimizer keeps the step (expensive, multiply-referenced) instead of
@@ -42,22 +47,27 @@ def _finish(df: DataFrame, temps: list[str]) -> DataFrame:
     return df.drop(*temps)
 
 
-def welch_ttest(df: DataFrame, mean_1, var_1, n_1, mean_2, var_2, n_2) -> DataFrame:
-    """Adds the Welch test columns (``TEST_FIELDS``) for group 2 against group 1."""
+def welch_ttest(df: DataFrame, mean_1, var_1, n_1, mean_2, var_2, n_2, mask: Column | None = None, prefix: str = "") -> DataFrame:
+    """Adds the Welch test columns (``prefix`` + ``TEST_FIELDS``) for group 2 against group 1."""
     c = F.col
+    o = {f: prefix + f for f in TEST_FIELDS}
     df = _stage(df, {"_m1": dbl(mean_1), "_v1": dbl(var_1), "_n1": dbl(n_1), "_m2": dbl(mean_2), "_v2": dbl(var_2), "_n2": dbl(n_2)})
     df = _stage(df, {
         "_s1": ieee_div(c("_v1"), c("_n1")),
         "_s2": ieee_div(c("_v2"), c("_n2")),
         "_q1": ieee_div(c("_v1") * c("_v1"), c("_n1") * c("_n1") * (c("_n1") - 1.0)),
         "_q2": ieee_div(c("_v2") * c("_v2"), c("_n2") * c("_n2") * (c("_n2") - 1.0)),
-        "diff_abs": c("_m2") - c("_m1"),
+        o["diff_abs"]: c("_m2") - c("_m1"),
     })
     df = _stage(df, {"_se": F.sqrt(c("_s2") + c("_s1")), "_dof": div_fill(F.pow(c("_s2") + c("_s1"), 2.0), c("_q2") + c("_q1"), NAN())})
-    df = _stage(df, {"statistic": div_fill(c("diff_abs"), c("_se"), NAN())})
+    df = _stage(df, {o["statistic"]: div_fill(c(o["diff_abs"]), c("_se"), NAN())})
     crit = F.when(F.isnan("_dof"), NAN()).when(c("_dof") > dist.NORMAL_DF_CUTOFF, F.lit(Z_975)).otherwise(dist.t_ppf(0.975, c("_dof")))
-    df = _stage(df, {"p_value": dist.t_two_sided_p(c("statistic"), c("_dof")), "_crit": crit, "diff_ratio": div_fill(c("diff_abs"), c("_m1"), POS_INF())})
-    df = _stage(df, {"ci_lower": c("diff_abs") - c("_se") * c("_crit"), "ci_upper": c("diff_abs") + c("_se") * c("_crit")})
+    df = _stage(df, {
+        o["p_value"]: _guard(mask, dist.t_two_sided_p(c(o["statistic"]), c("_dof"))),
+        "_crit": _guard(mask, crit),
+        o["diff_ratio"]: div_fill(c(o["diff_abs"]), c("_m1"), POS_INF()),
+    })
+    df = _stage(df, {o["ci_lower"]: c(o["diff_abs"]) - c("_se") * c("_crit"), o["ci_upper"]: c(o["diff_abs"]) + c("_se") * c("_crit")})
     return _finish(df, ["_m1", "_v1", "_n1", "_m2", "_v2", "_n2", "_s1", "_s2", "_q1", "_q2", "_se", "_dof", "_crit"])
 
 
@@ -69,21 +79,22 @@ def welch_dof(var_1, n_1, var_2, n_2) -> Column:
     return div_fill(F.pow(s2 + s1, 2.0), df_den, NAN())
 
 
-def ztest_proportion(df: DataFrame, p_1, n_1, p_2, n_2) -> DataFrame:
+def ztest_proportion(df: DataFrame, p_1, n_1, p_2, n_2, mask: Column | None = None, prefix: str = "") -> DataFrame:
     """Two-proportion z-test: pooled statistic, unpooled confidence interval."""
     c = F.col
+    o = {f: prefix + f for f in TEST_FIELDS}
     df = _stage(df, {"_a": dbl(p_1), "_k1": dbl(n_1), "_b": dbl(p_2), "_k2": dbl(n_2)})
-    df = _stage(df, {"diff_abs": c("_b") - c("_a"), "_pool": (c("_a") * c("_k1") + c("_b") * c("_k2")) / (c("_k1") + c("_k2"))})
+    df = _stage(df, {o["diff_abs"]: c("_b") - c("_a"), "_pool": (c("_a") * c("_k1") + c("_b") * c("_k2")) / (c("_k1") + c("_k2"))})
     df = _stage(df, {
         "_den": F.sqrt(c("_pool") * (1.0 - c("_pool")) * (F.lit(1.0) / c("_k1") + F.lit(1.0) / c("_k2"))),
         "_se": F.sqrt(c("_a") * (1.0 - c("_a")) / c("_k1") + c("_b") * (1.0 - c("_b")) / c("_k2")),
-        "diff_ratio": div_fill(c("diff_abs"), c("_a"), POS_INF()),
+        o["diff_ratio"]: div_fill(c(o["diff_abs"]), c("_a"), POS_INF()),
     })
-    df = _stage(df, {"statistic": div_fill(c("diff_abs"), c("_den"), 0.0)})
+    df = _stage(df, {o["statistic"]: div_fill(c(o["diff_abs"]), c("_den"), 0.0)})
     df = _stage(df, {
-        "p_value": dist.normal_two_sided_p(c("statistic")),
-        "ci_lower": c("diff_abs") - c("_se") * Z_975,
-        "ci_upper": c("diff_abs") + c("_se") * Z_975,
+        o["p_value"]: _guard(mask, dist.normal_two_sided_p(c(o["statistic"]))),
+        o["ci_lower"]: c(o["diff_abs"]) - c("_se") * Z_975,
+        o["ci_upper"]: c(o["diff_abs"]) + c("_se") * Z_975,
     })
     return _finish(df, ["_a", "_k1", "_b", "_k2", "_pool", "_den", "_se"])
 
@@ -98,19 +109,21 @@ def delta_ratio_variance(mean_n, var_n, mean_d, var_d, cov) -> Column:
     return F.when((raw > -NEGATIVE_VARIANCE_TOLERANCE) & (raw < 0), F.lit(0.0)).otherwise(raw)
 
 
-def ratio_ztest(df: DataFrame, value_1, variance_1, value_2, variance_2) -> DataFrame:
+def ratio_ztest(df: DataFrame, value_1, variance_1, value_2, variance_2, mask: Column | None = None, prefix: str = "") -> DataFrame:
     """z-test of two ratio values with given variances of the estimates."""
     c = F.col
+    o = {f: prefix + f for f in TEST_FIELDS}
     df = _stage(df, {"_r1": dbl(value_1), "_w1": dbl(variance_1), "_r2": dbl(value_2), "_w2": dbl(variance_2)})
-    df = _stage(df, {"diff_abs": c("_r2") - c("_r1"), "_se": F.sqrt(c("_w1") + c("_w2"))})
-    se_zero, diff_zero, base_zero = near_zero(c("_se"), ZERO_ATOL), near_zero(c("diff_abs"), ZERO_ATOL), near_zero(c("_r1"), ZERO_ATOL)
-    stat = F.when(F.isnan("_se"), NAN()).when(~se_zero, c("diff_abs") / c("_se")).when(diff_zero, F.lit(0.0)).otherwise(signed_inf(c("diff_abs")))
-    ratio = F.when(F.isnan("_r1"), NAN()).when(~base_zero, c("diff_abs") / c("_r1")).when(diff_zero, F.lit(0.0)).otherwise(signed_inf(c("diff_abs")))
-    df = _stage(df, {"statistic": stat, "diff_ratio": ratio})
+    df = _stage(df, {o["diff_abs"]: c("_r2") - c("_r1"), "_se": F.sqrt(c("_w1") + c("_w2"))})
+    d = c(o["diff_abs"])
+    se_zero, diff_zero, base_zero = near_zero(c("_se"), ZERO_ATOL), near_zero(d, ZERO_ATOL), near_zero(c("_r1"), ZERO_ATOL)
+    stat = F.when(F.isnan("_se"), NAN()).when(~se_zero, d / c("_se")).when(diff_zero, F.lit(0.0)).otherwise(signed_inf(d))
+    ratio = F.when(F.isnan("_r1"), NAN()).when(~base_zero, d / c("_r1")).when(diff_zero, F.lit(0.0)).otherwise(signed_inf(d))
+    df = _stage(df, {o["statistic"]: stat, o["diff_ratio"]: ratio})
     df = _stage(df, {
-        "p_value": dist.normal_two_sided_p(c("statistic")),
-        "ci_lower": c("diff_abs") - c("_se") * Z_975,
-        "ci_upper": c("diff_abs") + c("_se") * Z_975,
+        o["p_value"]: _guard(mask, dist.normal_two_sided_p(c(o["statistic"]))),
+        o["ci_lower"]: d - c("_se") * Z_975,
+        o["ci_upper"]: d + c("_se") * Z_975,
     })
     return _finish(df, ["_r1", "_w1", "_r2", "_w2", "_se"])
 
@@ -119,13 +132,14 @@ def delta_ratio_test(
     df: DataFrame,
     value_1, mean_n_1, var_n_1, mean_d_1, var_d_1, cov_1, n_1,
     value_2, mean_n_2, var_n_2, mean_d_2, var_d_2, cov_2, n_2,
+    mask: Column | None = None, prefix: str = "",
 ) -> DataFrame:
     """Delta-method test of two ratio metrics from their unit-level moments."""
     df = _stage(df, {
         "_dv1": delta_ratio_variance(mean_n_1, var_n_1, mean_d_1, var_d_1, cov_1) / dbl(n_1),
         "_dv2": delta_ratio_variance(mean_n_2, var_n_2, mean_d_2, var_d_2, cov_2) / dbl(n_2),
     })
-    return _finish(ratio_ztest(df, value_1, F.col("_dv1"), value_2, F.col("_dv2")), ["_dv1", "_dv2"])
+    return _finish(ratio_ztest(df, value_1, F.col("_dv1"), value_2, F.col("_dv2"), mask, prefix), ["_dv1", "_dv2"])
 
 
 def input_violations(metric_type: Column, cols: dict) -> Column:

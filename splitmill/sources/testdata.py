@@ -17,8 +17,19 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 LIGHT_GROUPS = ["control", "treatment1", "treatment2"]
 
 
+_READERS: dict[tuple[int, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """Parquet table reader, reused per session and path (file listing and footer
+    reads happen once; identical scans also let Spark reuse exchanges)."""
+    path = f"{sf_dir}/{name}.parquet"
+    key = (id(spark), path)
+    df = _READERS.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = spark.read.parquet(path)
+        _READERS[key] = df
+    return df
 
 
 def light_events(spark: SparkSession, sf_dir: str) -> DataFrame:
