@@ -10,6 +10,7 @@ from ..functions.safe import nan_to_null
 from .significance import significance_flag
 
 OTHER_GROUP = "Other"
+ISO_TS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 MAX_CATALOG_BROADCAST_ROWS = 100_000
 
 
@@ -85,7 +86,7 @@ def json_lines(table: DataFrame) -> DataFrame:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             c = nan_to_null(c)
         cols.append(c.alias(f.name))
-    return table.select(F.to_json(F.struct(*cols), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "ignoreNullFields": "false"}).alias("json"))
+    return table.select(F.to_json(F.struct(*cols), {"timestampFormat": ISO_TS, "timestampNTZFormat": ISO_TS, "ignoreNullFields": "false"}).alias("json"))
 
 
 def significant_digits(table: DataFrame, digits: int = 10, columns: list[str] | None = None) -> DataFrame:
