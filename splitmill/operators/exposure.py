@@ -100,11 +100,43 @@ def attach_events(units: DataFrame, events: DataFrame, split_id: str, keep_inact
     return joined.unionByName(inactive)
 
 
-def with_event_row_number(df: DataFrame, split_id: str, tie_break: list[str] | None = None) -> DataFrame:
+def with_event_row_number(
+    df: DataFrame,
+    split_id: str,
+    tie_break: list[str] | None = None,
+    strategy: str = "bucketed",
+    bucket_seconds: int = 3600,
+) -> DataFrame:
     """``event_row_number``: 1, 2, ... per (unit, event_name) in time order.
 
-    Added only when a formula or filter refers to it (it costs a sort).  Extra
-    ``tie_break`` columns make equal timestamps deterministic."""
+    Added only when a formula or filter refers to it.  Extra ``tie_break`` columns
+    make equal timestamps deterministic.
+
+    ``strategy="window"``: one window per (unit, event_name); it reuses the unit
+    partitioning of the event join (no extra shuffle) but a unit with a huge
+    share of all events is numbered by one task.
+
+    ``strategy="bucketed"`` (default, skew-safe, exact): events are cut into
+    time buckets of ``bucket_seconds``; rows are numbered inside each (unit,
+    event_name, bucket) and shifted by the number of the unit's events of that
+    name in earlier buckets.  The per-bucket counts are a small table (one row
+    per bucket) whose running sum is taken per (unit, event_name); a hot unit is
+    spread over as many tasks as it has busy buckets."""
     order = [F.col("event_timestamp").asc_nulls_first()] + [F.col(c) for c in (tie_break or [])]
-    w = Window.partitionBy(split_id, "event_name").orderBy(*order)
-    return df.withColumn("event_row_number", F.row_number().over(w))
+    if strategy == "window":
+        w = Window.partitionBy(split_id, "event_name").orderBy(*order)
+        return df.withColumn("event_row_number", F.row_number().over(w))
+    if strategy != "bucketed":
+        raise ValueError("strategy must be 'bucketed' or 'window'")
+    keys = [split_id, "event_name"]
+    b = F.floor(F.unix_micros(F.col("event_timestamp").cast("timestamp")) / F.lit(bucket_seconds * 1_000_000)).alias("__bucket")
+    rows = df.withColumn("__bucket", b)
+    counts = rows.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    prior = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("__offset", F.coalesce(F.sum("__n").over(prior), F.lit(0))).drop("__n")
+    local = Window.partitionBy(*keys, "__bucket").orderBy(*order)
+    numbered = rows.withColumn("__local", F.row_number().over(local))
+    out = numbered.join(offsets, on=keys + ["__bucket"], how="left")
+    return out.withColumn("event_row_number", (F.col("__local") + F.coalesce(F.col("__offset"), F.lit(0))).cast("int")).drop(
+        "__bucket", "__local", "__offset"
+    )

@@ -37,6 +37,8 @@ class Inputs:
     assignment_tie_break: list[str] = field(default_factory=list)
     assignment_attributes: list[str] = field(default_factory=list)
     event_tie_break: list[str] = field(default_factory=list)
+    row_number_strategy: str = "bucketed"
+    row_number_bucket_seconds: int = 3600
 
 
 def assigned_units(spark: SparkSession, inputs: Inputs, obs: Observation) -> DataFrame:
@@ -64,7 +66,9 @@ def joined_events(spark: SparkSession, inputs: Inputs, obs: Observation, formula
         units = X.restrict_to_audiences(units, inputs.audiences, obs.split_id, obs.audience_join)
     joined = X.attach_events(units, events, obs.split_id, keep_inactive=obs.keep_inactive_units)
     if U.references_row_number(list(formulas), obs.filters):
-        joined = X.with_event_row_number(joined, obs.split_id, inputs.event_tie_break)
+        joined = X.with_event_row_number(
+            joined, obs.split_id, inputs.event_tie_break, inputs.row_number_strategy, inputs.row_number_bucket_seconds
+        )
         if obs.keep_inactive_units:
             joined = joined.withColumn(
                 "event_row_number", F.when(F.col("event_timestamp").isNull(), F.lit(1)).otherwise(F.col("event_row_number"))

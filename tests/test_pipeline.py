@@ -168,3 +168,17 @@ def test_ratio_value_zero_denominator(spark, data):
     inp = Inputs(events=ev, testids=ti, assignment_tie_break=["record_id"])
     pre = run_observation(spark, inp, obs(), m).collect()
     assert all(r.metric_value == 0.0 for r in pre)
+
+
+def test_row_number_strategies_agree_on_hot_unit(spark):
+    from splitmill.operators.exposure import with_event_row_number
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(600):  # one hot unit, ties on timestamps, several event names
+        ts = dt(2024, 1, 1) + __import__("datetime").timedelta(minutes=int(rng.integers(0, 3000)))
+        rows.append((1 if i < 500 else int(rng.integers(2, 6)), i, ["a", "b"][i % 2], ts))
+    df = spark.createDataFrame(rows, "user_id long, event_id long, event_name string, event_timestamp timestamp_ntz")
+    w = {r.event_id: r.event_row_number for r in with_event_row_number(df, "user_id", ["event_id"], "window").collect()}
+    b = {r.event_id: r.event_row_number for r in with_event_row_number(df, "user_id", ["event_id"], "bucketed", 600).collect()}
+    assert w == b
