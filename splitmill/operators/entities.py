@@ -151,3 +151,51 @@ def copy_row(df: DataFrame, key: str, source_id, new_id, overrides: dict | None
     for c, v in (overrides or {}).items():
         row = row.withColumn(c, F.lit(v).cast(df.schema[c].dataType))
     return row.select(*df.columns)
+
+
+def list_filter(
+    df: DataFrame,
+    created_from=None,
+    created_to=None,
+    statuses: list[str] | None = None,
+    name_like: str | None = None,
+    limit: int | None = None,
+    created_col: str = "_created_at",
+    sort_desc: bool = True,
+) -> DataFrame:
+    """List screen filter (P-11, P-12): created in ``[from, to)``, status any-of,
+    name ILIKE, newest first, optional limit."""
+    filters: dict = {}
+    if created_from is not None:
+        filters[f"{created_col}__gte"] = created_from
+    if created_to is not None:
+        filters[f"{created_col}__lt"] = created_to
+    if statuses:
+        filters["status__in"] = list(statuses)
+    if name_like:
+        filters["name__ilike"] = f"%{name_like}%"
+    return select_where(df, filters, sort_by=created_col, sort_order="desc" if sort_desc else "asc", limit=limit)
+
+
+def append_row(df: DataFrame, spark, values: dict) -> DataFrame:
+    """Single-row create (K-2): the row is typed by the table schema; missing fields are NULL."""
+    row = [tuple(values.get(f.name) for f in df.schema.fields)]
+    return df.unionByName(spark.createDataFrame(row, df.schema))
+
+
+def sample_rows(df: DataFrame, n: int) -> DataFrame:
+    """First ``n`` rows as a preview (O-5; the limit is the feature)."""
+    return df.limit(int(n))
+
+
+def known_key_metrics(experiments: DataFrame, catalog: DataFrame, col: str = "key_metrics") -> DataFrame:
+    """Requested key metrics that exist in the catalog, per experiment (J-11).
+
+    The catalog is exploded and joined (no driver-side list), so it may be large."""
+    req = experiments.select("id", F.posexplode_outer(col).alias("__pos", "metric_name"))
+    hit = req.join(catalog.select("metric_name").distinct(), on="metric_name", how="left_semi")
+    kept = hit.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("__pos", "metric_name"))).alias("__k"))
+    kept = kept.select("id", F.transform("__k", lambda x: x["metric_name"]).alias(f"{col}_known"))
+    return experiments.join(kept, on="id", how="left").withColumn(
+        f"{col}_known", F.coalesce(F.col(f"{col}_known"), F.array().cast("array<string>"))
+    )

@@ -18,6 +18,26 @@ METRIC_KEYS = ["metric_name", "metric_type", "metric_display_name"]
 DEFAULT_PIVOT_COLUMNS = ["metric_value_control", "metric_value_compared", "ci_lower", "ci_upper", "diff_abs", "diff_ratio", "p_value", "statistic"]
 
 
+NUMERIC_INPUTS = ["observation_cnt", "metric_value", "numerator_avg", "denominator_avg", "numerator_var", "denominator_var", "covariance"]
+TEXT_INPUTS = ["group_name", "metric_name", "metric_display_name", "metric_type"]
+
+
+def validate_input(precomputed: DataFrame) -> DataFrame:
+    """Schema checks before testing (P-26): required columns present, moments numeric.
+
+    Emptiness and the two-group rule are data properties; they are enforced per
+    analysis inside ``significance_table`` (no extra job here)."""
+    from pyspark.sql import types as T
+
+    missing = [c for c in NUMERIC_INPUTS + TEXT_INPUTS if c not in precomputed.columns]
+    if missing:
+        raise ValueError(f"precomputed metrics are missing required columns: {missing}")
+    for c in NUMERIC_INPUTS:
+        if not isinstance(precomputed.schema[c].dataType, T.NumericType):
+            raise TypeError(f"Column {c} must be numeric")
+    return precomputed
+
+
 def control_groups(precomputed: DataFrame, control_group: str | None = None, keys: list[str] | None = None) -> DataFrame:
     """``keys..., control_group, n_groups``.
 
@@ -56,6 +76,7 @@ def significance_table(
     outside [0, 1], non-positive count) get NULL test columns and are named in
     ``input_errors`` (``strict`` raises)."""
     keys = list(keys or [])
+    validate_input(precomputed)
     c = F.col
     explicit = F.lit(False) if control_group is None else (c("group_name") == F.lit(control_group))
     priority = F.when(explicit, 0).when(F.lower("group_name").contains("control"), 1).otherwise(2)

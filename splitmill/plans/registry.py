@@ -800,3 +800,41 @@ def q_corpus_filter(spark, d):
 def q_export_rounded(spark, d):
     sig = light_significance(spark, d).select("metric_name", "group_name_compared", "p_value", "diff_ratio")
     return R.rounded(sig, 5)
+
+
+# S-7: user-supplied assignment query (read-only guard, then Spark SQL)
+CUSTOM_ASSIGNMENT_SQL = (
+    "SELECT user_id, CASE WHEN user_id % 2 = 0 THEN 'control' ELSE 'treatment' END AS group_name, "
+    "ts AS record_timestamp FROM {events} WHERE event_type = 'click'"
+)
+
+
+@register(
+    "q_precompute_custom_assignment",
+    O.precompute_sql(
+        light_psql(testids=CUSTOM_ASSIGNMENT_SQL.format(events="events"), custom=True, unit_cols=[], assignment_order=["group_name"]),
+        LIGHT_METRICS,
+    ),
+)
+def q_precompute_custom_assignment(spark, d):
+    TD.table(spark, d, "events").createOrReplaceTempView("sm_events")
+    inp = light_inputs(spark, d, custom_assignment=CUSTOM_ASSIGNMENT_SQL.format(events="sm_events"))
+    return _pc_out(run_observation(spark, inp, light_obs(), LIGHT_METRICS))
+
+
+# S-17: ad-hoc read-only SQL over registered tables
+ADHOC_SQL = (
+    "SELECT o_orderpriority, COUNT(*) AS n_orders, SUM(o_totalprice) AS revenue, MAX(o_orderdate) AS last_order "
+    "FROM {orders} GROUP BY o_orderpriority"
+)
+
+
+@register(
+    "q_adhoc_sql",
+    f"SELECT o_orderpriority, n_orders, {O.sig('revenue')} AS revenue, last_order FROM ({ADHOC_SQL.format(orders='orders')})",
+)
+def q_adhoc_sql(spark, d):
+    from ..sources.sinks import guarded_sql
+
+    TD.table(spark, d, "orders").createOrReplaceTempView("sm_orders")
+    return R.significant_digits(guarded_sql(spark, ADHOC_SQL.format(orders="sm_orders")), 10, ["revenue"])

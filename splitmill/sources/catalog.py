@@ -235,3 +235,17 @@ def catalog_frame(spark: SparkSession, metrics: list[MetricSpec]) -> DataFrame:
         for m in metrics
     ]
     return spark.createDataFrame(rows, CATALOG_SCHEMA)
+
+
+def formula_table(catalog: DataFrame) -> DataFrame:
+    """Unit formulas needed by a catalog DataFrame, one row per alias (J-8).
+
+    First use wins (metric order, numerator before denominator)."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    with_pos = catalog.withColumn("__m", F.monotonically_increasing_id())
+    parts = with_pos.select("__m", F.posexplode(F.array("numerator", "denominator")).alias("__p", "f")).where(F.col("f").isNotNull())
+    w = Window.partitionBy(F.col("f.alias")).orderBy("__m", "__p")
+    first = parts.withColumn("__rn", F.row_number().over(w)).where("__rn = 1")
+    return first.select(F.col("f.alias").alias("alias"), F.col("f.sql").alias("sql"))

@@ -76,3 +76,11 @@ def job_event(spark: SparkSession, job_id: int, status: str, seq: int, observati
 def current_jobs(job_log: DataFrame) -> DataFrame:
     """Current state of every job = its latest log row (K-3)."""
     return latest_per_key(job_log, "job_id", ["seq", "_created_at"])
+
+
+def guarded_sql(spark: SparkSession, sql: str) -> DataFrame:
+    """Ad-hoc read-only SQL over registered result tables (S-17): checked by the
+    read-only guard first, then planned by Spark."""
+    from ..operators.quality import ensure_read_only
+
+    return lower_columns(spark.sql(ensure_read_only(sql)))
