@@ -37,6 +37,7 @@ class Inputs:
     assignment_tie_break: list[str] = field(default_factory=list)
     assignment_attributes: list[str] = field(default_factory=list)
     event_tie_break: list[str] = field(default_factory=list)
+    event_date_col: str | None = None  # DATE partition column of the event tables, for pruning
     row_number_strategy: str = "bucketed"
     row_number_bucket_seconds: int = 3600
 
@@ -59,7 +60,7 @@ def assigned_units(spark: SparkSession, inputs: Inputs, obs: Observation) -> Dat
 
 def joined_events(spark: SparkSession, inputs: Inputs, obs: Observation, formulas=()) -> DataFrame:
     """Event rows of exposed, assigned units (before the calculation window)."""
-    events = visible_events(inputs.events, obs.exposure_start, obs.calc_end)
+    events = visible_events(inputs.events, obs.exposure_start, obs.calc_end, inputs.event_date_col)
     units = assigned_units(spark, inputs, obs)
     units = X.exposed_units(units, events, obs.split_id, obs.exposure_event, obs.exposure_start, obs.exposure_end, obs.exposure_rule)
     if inputs.audiences:

@@ -55,3 +55,30 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", value)
     spark.sparkContext.setCheckpointDir(value)
     return value
+
+
+def cluster_conf(input_bytes: float, executors: int, cores_per_executor: int = 4, target_partition_mb: int = 256) -> dict:
+    """Settings for a large run, sized from the event bytes read.
+
+    * scan splits of ``target_partition_mb`` (fewer, larger tasks on 100 TB);
+    * initial shuffle partitions ~ input / 256 MB, at least 3 waves of the cluster's
+      cores, then coalesced by adaptive execution to ~128 MB each;
+    * adaptive skew handling on, so a hot unit's join partition is split;
+    * broadcast only what adaptive execution measured under 64 MB at run time."""
+    cores = executors * cores_per_executor
+    parts = max(int(input_bytes / (target_partition_mb * 2**20)), 3 * cores, 200)
+    return {
+        **RECOMMENDED_CONF,
+        "spark.sql.files.maxPartitionBytes": f"{target_partition_mb}m",
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256m",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+    }
+
+
+def apply_conf(spark: SparkSession, conf: dict) -> None:
+    for k, v in conf.items():
+        spark.conf.set(k, v)

@@ -25,9 +25,16 @@ def ts_lit(value) -> Column:
     return value if isinstance(value, Column) else F.lit(value)
 
 
-def bounded(events: DataFrame, start, end, ts_col: str = "event_timestamp") -> DataFrame:
-    """Rows with ``start <= ts <= end`` (closed interval)."""
-    return events.where(F.col(ts_col).between(ts_lit(start), ts_lit(end)))
+def bounded(events: DataFrame, start, end, ts_col: str = "event_timestamp", date_col: str | None = None) -> DataFrame:
+    """Rows with ``start <= ts <= end`` (closed interval).
+
+    ``date_col``: a DATE partition column of the event table (``partitionBy``
+    on write); the same bounds on it prune whole directories before any file
+    is opened."""
+    out = events.where(F.col(ts_col).between(ts_lit(start), ts_lit(end)))
+    if date_col is not None and isinstance(start, datetime) and isinstance(end, datetime):
+        out = out.where(F.col(date_col).between(F.lit(start.date()), F.lit(end.date())))
+    return out
 
 
 def union_sources(*sources: DataFrame) -> DataFrame:
@@ -37,8 +44,10 @@ def union_sources(*sources: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), sources)
 
 
-def visible_events(sources: list[DataFrame] | DataFrame, start, end) -> DataFrame:
+def visible_events(sources: list[DataFrame] | DataFrame, start, end, date_col: str | None = None) -> DataFrame:
     """All sources, each bounded to ``[start, end]`` before the union so every scan prunes."""
     if isinstance(sources, DataFrame):
         sources = [sources]
-    return union_sources(*[bounded(s, start, end) for s in sources])
+    bounded_sources = [bounded(s, start, end, date_col=date_col if date_col in s.columns else None) for s in sources]
+    out = union_sources(*bounded_sources)
+    return out.drop(date_col) if date_col is not None and date_col in out.columns else out

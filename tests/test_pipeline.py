@@ -182,3 +182,19 @@ def test_row_number_strategies_agree_on_hot_unit(spark):
     w = {r.event_id: r.event_row_number for r in with_event_row_number(df, "user_id", ["event_id"], "window").collect()}
     b = {r.event_id: r.event_row_number for r in with_event_row_number(df, "user_id", ["event_id"], "bucketed", 600).collect()}
     assert w == b
+
+
+def test_date_partition_pruning(spark, tmp_path):
+    from splitmill.sources.events import visible_events
+
+    ev = spark.createDataFrame(
+        [(1, "buy", 1.0, D(2)), (1, "buy", 2.0, D(5)), (2, "view", 0.0, D(9))],
+        "user_id long, event_name string, event_value double, event_timestamp timestamp_ntz",
+    ).withColumn("event_date", __import__("pyspark.sql.functions", fromlist=["to_date"]).to_date("event_timestamp"))
+    path = str(tmp_path / "ev")
+    ev.write.partitionBy("event_date").parquet(path)
+    stored = spark.read.parquet(path)
+    vis = visible_events(stored, D(4), D(6), date_col="event_date")
+    assert [r.event_value for r in vis.collect()] == [2.0] and "event_date" not in vis.columns
+    plan = vis._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_date" in plan
