@@ -113,3 +113,17 @@ def fixed_decimals(table: DataFrame, decimals: int = 6, columns: list[str] | Non
             c = F.when(c.isNotNull(), F.format_string(fmt, c).cast("double"))
         out.append(c.alias(f.name))
     return table.select(*out)
+
+
+def comparable(table: DataFrame, sig_digits: dict[str, int] | None = None, decimals: dict[str, int] | None = None) -> DataFrame:
+    """One projection printing chosen doubles to fixed significant digits or decimals."""
+    sig_digits, decimals = dict(sig_digits or {}), dict(decimals or {})
+    out = []
+    for f in table.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if f.name in sig_digits:
+            c = F.when(c.isNotNull(), F.format_string(f"%.{sig_digits[f.name] - 1}e", c).cast("double"))
+        elif f.name in decimals:
+            c = F.when(c.isNotNull(), F.format_string(f"%.{decimals[f.name]}f", c).cast("double"))
+        out.append(c.alias(f.name))
+    return table.select(*out)

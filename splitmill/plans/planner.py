@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.power import plan_sample_sizes
 from .analysis import Inputs, run_observation
+from ..session import materialize
 from .observation import Observation
 
 
@@ -20,5 +21,5 @@ def plan(
     n_groups: int = 1,
 ) -> DataFrame:
     """Planning run (not stored) -> sample size and duration per (metric, effect)."""
-    pre = run_observation(spark, inputs, obs.as_planning(), metrics)
+    pre = materialize(run_observation(spark, inputs, obs.as_planning(), metrics))
     return plan_sample_sizes(pre, effects, obs.reference_days, alpha, beta, n_groups=n_groups)

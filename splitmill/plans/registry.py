@@ -30,6 +30,7 @@ from ..sources.events import bounded, ts_lit, union_sources
 from . import oracle_sql as O
 from .analysis import Inputs, joined_events, run_observation, unit_table
 from .observation import Observation
+from ..session import materialize
 from .testdata_metrics import HEAVY_METRICS, LIGHT_METRICS
 
 MOMENT_COLS = ["metric_value", "numerator_avg", "numerator_var", "denominator_avg", "denominator_var", "covariance"]
@@ -101,7 +102,7 @@ def _pc_out(df: DataFrame) -> DataFrame:
 
 def _sig_out(df: DataFrame) -> DataFrame:
     out = df.select("metric_name", "metric_type", "group_name_control", "group_name_compared", *TEST_DEC_COLS, *TEST_SIG_COLS)
-    return R.fixed_decimals(R.significant_digits(out, 8, TEST_SIG_COLS), 6, TEST_DEC_COLS)
+    return R.comparable(out, {c: 8 for c in TEST_SIG_COLS}, {c: 6 for c in TEST_DEC_COLS})
 
 
 def light_precompute(spark, d, metrics=None, **obs_kw) -> DataFrame:
@@ -113,7 +114,7 @@ def heavy_precompute(spark, d) -> DataFrame:
 
 
 def light_significance(spark, d) -> DataFrame:
-    return S.significance_table(light_precompute(spark, d, SIG_METRICS_LIGHT))
+    return S.significance_table(materialize(light_precompute(spark, d, SIG_METRICS_LIGHT)))
 
 
 def _unit_out(df: DataFrame) -> DataFrame:
@@ -417,7 +418,7 @@ def _heavy_sig_sql() -> str:
 # J-5, T-7 (heavy mapping: 5 priority groups, control chosen by rule)
 @register("q_significance_long", _heavy_sig_sql())
 def q_significance_long(spark, d):
-    return _sig_out(S.significance_table(heavy_precompute(spark, d)))
+    return _sig_out(S.significance_table(materialize(heavy_precompute(spark, d))))
 
 
 PIVOT_GROUPS = ["treatment1", "treatment2"]
@@ -498,7 +499,7 @@ def _heavy_sizes_sql() -> str:
     + "(SELECT string_agg(CAST(o AS VARCHAR), ',' ORDER BY group_name) FROM gs) AS observed FROM st",
 )
 def q_srm_uniform(spark, d):
-    res = SRM.srm_test(group_sizes(heavy_precompute(spark, d)))
+    res = SRM.srm_test(group_sizes(materialize(heavy_precompute(spark, d))))
     out = res.select("statistic", "p_value", "df", "is_srm", F.array_join(F.transform("observed", lambda x: x.cast("string")), ",").alias("observed"))
     return R.fixed_decimals(R.significant_digits(out, 10, ["statistic"]), 6, ["p_value"])
 
@@ -523,7 +524,7 @@ def q_srm_expected(spark, d):
     shares = log.groupBy("group_name").count()
     total = log.count()  # one number; the shares stay a DataFrame
     shares = shares.withColumn("share", F.col("count") / F.lit(float(total)))
-    res = SRM.srm_test(group_sizes(light_precompute(spark, d)), shares.select("group_name", "share"))
+    res = SRM.srm_test(group_sizes(materialize(light_precompute(spark, d))), shares.select("group_name", "share"))
     out = res.select("statistic", "p_value", "df", "is_srm")
     return R.fixed_decimals(R.significant_digits(out, 10, ["statistic"]), 6, ["p_value"])
 
@@ -539,7 +540,7 @@ REFERENCE_DAYS = light_obs().reference_days
 
 
 def _light_planning(spark, d) -> DataFrame:
-    return light_precompute(spark, d, purpose="planning")
+    return materialize(light_precompute(spark, d, purpose="planning"))
 
 
 # T-8, P-27, T-13

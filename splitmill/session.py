@@ -20,6 +20,8 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+# Context-level: checkpoint files are removed once their DataFrame is garbage collected.
+CONTEXT_CONF = {"spark.cleaner.referenceTracking.cleanCheckpoints": "true"}
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "splitmill") -> SparkSession:
@@ -30,7 +32,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", os.environ.get("SPLITMILL_DRIVER_MEMORY", "8g"))
     )
-    for k, v in RECOMMENDED_CONF.items():
+    for k, v in {**RECOMMENDED_CONF, **CONTEXT_CONF}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -82,3 +84,11 @@ def cluster_conf(input_bytes: float, executors: int, cores_per_executor: int = 4
 def apply_conf(spark: SparkSession, conf: dict) -> None:
     for k, v in conf.items():
         spark.conf.set(k, v)
+
+
+def materialize(df):
+    """Reliable checkpoint of a small intermediate result (a precompute table) into
+    the cluster's checkpoint folder: the lineage is cut, later steps plan over a
+    tiny relation, and a lost executor cannot force the event pipeline to re-run."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
