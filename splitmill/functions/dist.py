@@ -63,21 +63,35 @@ def chi2_sf(x: Column, df: Column) -> Column:
     return F.when(F.isnan(x) | (df <= 0), NAN()).otherwise(_reflect(_GAMMA, "regularizedGammaQ", df / 2.0, x / 2.0))
 
 
-def t_ppf(p: float, df: Column, iterations: int = 100, upper: float = 1e7) -> Column:
+def t_ppf(p: float, df: Column | str, iterations: int = 100, upper: float = 1e7) -> Column:
     """Student-t quantile for ``0.5 < p < 1`` by bisection on the two-sided tail
-    (100 halvings of ``[0, 1e7]`` reach double precision).  NaN df gives NaN."""
+    (100 halvings of ``[0, 1e7]`` reach double precision).  NaN df gives NaN.
+
+    ``df`` may be a column name: the expression is then built as one SQL text
+    (one call to the JVM instead of hundreds for the lambda)."""
     if not 0.5 < p < 1.0:
         raise ValueError("t_ppf supports 0.5 < p < 1")
-    tail = F.lit(2.0 * (1.0 - p))
-    d = df.cast("double")
+    tail = 2.0 * (1.0 - p)
+    if isinstance(df, str):
+        d = f"CAST(`{df}` AS DOUBLE)"
+        mid = "((acc.lo + acc.hi) / 2)"
+        two_sided = _reflect_sql(_BETA, "regularizedBeta", f"{d} / ({d} + {mid} * {mid})", f"{d} / 2", "0.5")
+        body = (
+            f"aggregate(sequence(1, {iterations}), named_struct('lo', CAST(0 AS DOUBLE), 'hi', CAST({upper!r} AS DOUBLE)), "
+            f"(acc, i) -> IF({two_sided} > {tail!r}, named_struct('lo', {mid}, 'hi', acc.hi), named_struct('lo', acc.lo, 'hi', {mid})), "
+            f"acc -> (acc.lo + acc.hi) / 2)"
+        )
+        return F.expr(f"CASE WHEN isnan({d}) OR {d} <= 0 THEN CAST('NaN' AS DOUBLE) ELSE {body} END")
+    lit_tail = F.lit(tail)
+    dcol = df.cast("double")
 
     def step(acc: Column, _i: Column) -> Column:
-        mid = (acc["lo"] + acc["hi"]) / 2.0
-        two_sided = _reflect(_BETA, "regularizedBeta", d / (d + mid * mid), d / 2.0, F.lit(0.5))
-        return F.when(two_sided > tail, F.struct(mid.alias("lo"), acc["hi"].alias("hi"))).otherwise(
-            F.struct(acc["lo"].alias("lo"), mid.alias("hi"))
+        m = (acc["lo"] + acc["hi"]) / 2.0
+        ts = _reflect(_BETA, "regularizedBeta", dcol / (dcol + m * m), dcol / 2.0, F.lit(0.5))
+        return F.when(ts > lit_tail, F.struct(m.alias("lo"), acc["hi"].alias("hi"))).otherwise(
+            F.struct(acc["lo"].alias("lo"), m.alias("hi"))
         )
 
     start = F.struct(F.lit(0.0).alias("lo"), F.lit(float(upper)).alias("hi"))
     root = F.aggregate(F.sequence(F.lit(1), F.lit(iterations)), start, step, lambda acc: (acc["lo"] + acc["hi"]) / 2.0)
-    return F.when(F.isnan(d) | (d <= 0), NAN()).otherwise(root)
+    return F.when(F.isnan(dcol) | (dcol <= 0), NAN()).otherwise(root)

@@ -61,7 +61,7 @@ def welch_ttest(df: DataFrame, mean_1, var_1, n_1, mean_2, var_2, n_2, mask: Col
     })
     df = _stage(df, {"_se": F.sqrt(c("_s2") + c("_s1")), "_dof": div_fill(F.pow(c("_s2") + c("_s1"), 2.0), c("_q2") + c("_q1"), NAN())})
     df = _stage(df, {o["statistic"]: div_fill(c(o["diff_abs"]), c("_se"), NAN())})
-    crit = F.when(F.isnan("_dof"), NAN()).when(c("_dof") > dist.NORMAL_DF_CUTOFF, F.lit(Z_975)).otherwise(dist.t_ppf(0.975, c("_dof")))
+    crit = F.when(F.isnan("_dof"), NAN()).when(c("_dof") > dist.NORMAL_DF_CUTOFF, F.lit(Z_975)).otherwise(dist.t_ppf(0.975, "_dof"))
     df = _stage(df, {
         o["p_value"]: _guard(mask, dist.t_two_sided_p(c(o["statistic"]), c("_dof"))),
         "_crit": _guard(mask, crit),

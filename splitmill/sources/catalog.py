@@ -220,6 +220,7 @@ CATALOG_SCHEMA = T.StructType(
         T.StructField("tags", T.ArrayType(T.StringType())),
         T.StructField("numerator", FORMULA_TYPE),
         T.StructField("denominator", FORMULA_TYPE),
+        T.StructField("position", T.IntegerType(), False),
     ]
 )
 
@@ -231,8 +232,9 @@ def catalog_frame(spark: SparkSession, metrics: list[MetricSpec]) -> DataFrame:
             list(m.tags) if m.tags is not None else None,
             (m.numerator.alias, m.numerator.sql),
             (m.denominator.alias, m.denominator.sql) if m.denominator else None,
+            i,
         )
-        for m in metrics
+        for i, m in enumerate(metrics)
     ]
     return spark.createDataFrame(rows, CATALOG_SCHEMA)
 
@@ -244,8 +246,7 @@ def formula_table(catalog: DataFrame) -> DataFrame:
     from pyspark.sql import Window
     from pyspark.sql import functions as F
 
-    with_pos = catalog.withColumn("__m", F.monotonically_increasing_id())
-    parts = with_pos.select("__m", F.posexplode(F.array("numerator", "denominator")).alias("__p", "f")).where(F.col("f").isNotNull())
+    parts = catalog.select(F.col("position").alias("__m"), F.posexplode(F.array("numerator", "denominator")).alias("__p", "f")).where(F.col("f").isNotNull())
     w = Window.partitionBy(F.col("f.alias")).orderBy("__m", "__p")
     first = parts.withColumn("__rn", F.row_number().over(w)).where("__rn = 1")
     return first.select(F.col("f.alias").alias("alias"), F.col("f.sql").alias("sql"))
