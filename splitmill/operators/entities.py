@@ -162,6 +162,8 @@ def list_filter(
     limit: int | None = None,
     created_col: str = "_created_at",
     sort_desc: bool = True,
+    status_col: str = "status",
+    name_col: str = "name",
 ) -> DataFrame:
     """List screen filter (P-11, P-12): created in ``[from, to)``, status any-of,
     name ILIKE, newest first, optional limit."""
@@ -171,9 +173,9 @@ def list_filter(
     if created_to is not None:
         filters[f"{created_col}__lt"] = created_to
     if statuses:
-        filters["status__in"] = list(statuses)
+        filters[f"{status_col}__in"] = list(statuses)
     if name_like:
-        filters["name__ilike"] = f"%{name_like}%"
+        filters[f"{name_col}__ilike"] = f"%{name_like}%"
     return select_where(df, filters, sort_by=created_col, sort_order="desc" if sort_desc else "asc", limit=limit)
 
 

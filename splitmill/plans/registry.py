@@ -839,3 +839,68 @@ def q_adhoc_sql(spark, d):
 
     TD.table(spark, d, "orders").createOrReplaceTempView("sm_orders")
     return R.significant_digits(guarded_sql(spark, ADHOC_SQL.format(orders="sm_orders")), 10, ["revenue"])
+
+
+# P-11 / P-12: list filter (created range half-open, status any-of, name ILIKE), newest first
+@register(
+    "q_list_filter",
+    "SELECT * FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01 00:00:00' AND o_orderdate < TIMESTAMP '1997-01-01 00:00:00' "
+    "AND o_orderstatus IN ('F', 'O') AND o_orderpriority ILIKE '%urgent%'",
+)
+def q_list_filter(spark, d):
+    from datetime import datetime
+
+    return E.list_filter(
+        TD.table(spark, d, "orders"), created_from=datetime(1996, 1, 1), created_to=datetime(1997, 1, 1),
+        statuses=["F", "O"], name_like="urgent", created_col="o_orderdate", status_col="o_orderstatus", name_col="o_orderpriority",
+    )
+
+
+# W-5, A-26: observed share of units per group and the uniform expected share
+@register(
+    "q_group_shares",
+    _heavy_sizes_sql()
+    + ", gs AS (SELECT group_name, MAX(observation_cnt) AS observation_cnt FROM pc GROUP BY group_name) "
+    + f"SELECT group_name, observation_cnt, {O.sig('observation_cnt / SUM(observation_cnt) OVER ()')} AS share, "
+    + f"{O.sig('1.0 / COUNT(*) OVER ()')} AS expected_share FROM gs",
+)
+def q_group_shares(spark, d):
+    out = SRM.group_shares(group_sizes(materialize(heavy_precompute(spark, d))))
+    return R.significant_digits(out, 10, ["share", "expected_share"])
+
+
+# F-19: non-blank trimmed lines of every conversation turn (whole texts)
+@register(
+    "q_text_lines",
+    "SELECT conv_id, turn, len(list_filter(list_transform(regexp_split_to_array(text, '\\r?\\n'), lambda x: trim(x)), lambda x: x <> '')) AS n_lines "
+    "FROM conversations",
+)
+def q_text_lines(spark, d):
+    from ..functions.text import split_lines
+
+    conv = TD.table(spark, d, "conversations")
+    return conv.select("conv_id", "turn", F.size(split_lines(F.col("text"))).alias("n_lines"))
+
+
+# F-12: texts cut to 2 000 characters plus a marker (whole documents read)
+@register(
+    "q_text_truncate",
+    "SELECT doc_id, CASE WHEN length(text) > 2000 THEN substring(text, 1, 2000) || '... [truncated]' ELSE text END AS text_short FROM documents",
+)
+def q_text_truncate(spark, d):
+    from ..functions.text import truncate
+
+    docs = TD.table(spark, d, "documents")
+    return docs.select("doc_id", truncate(F.col("text")).alias("text_short"))
+
+
+# O-5: preview rows (the limit is the feature; which rows is engine-defined: rows-only)
+@register("q_sample_rows")
+def q_sample_rows(spark, d):
+    return E.sample_rows(TD.light_events(spark, d), 20)
+
+
+# K-6: JSON export of the flagship significance table (float text formats differ by engine: rows-only)
+@register("q_json_export")
+def q_json_export(spark, d):
+    return R.json_lines(light_significance(spark, d).drop("input_errors"))

@@ -60,7 +60,7 @@ def test_entry_contract(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert set(E.oracle_sql()) <= set(E.queries())
-    assert set(E.queries()) - set(E.oracle_sql()) == {"q_sample_size_avg"}
+    assert set(E.queries()) - set(E.oracle_sql()) == {"q_sample_size_avg", "q_sample_rows", "q_json_export"}
 
 
 @pytest.fixture(scope="module")
