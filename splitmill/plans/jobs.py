@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.quality import contract_violations
-from ..session import ensure_checkpoint_dir
+from ..session import materialize
 from ..sources.sinks import append_precompute, as_precompute, job_event
 from .analysis import Inputs, run_scenario
 from .observation import REGULAR, Observation
@@ -57,8 +57,7 @@ def run_job(
         typed = as_precompute(plan)
         # one pass over the events: the small result is checkpointed to the
         # cluster's shared checkpoint folder, then validated and stored from there
-        ensure_checkpoint_dir(spark)
-        typed = typed.checkpoint(eager=True)
+        typed = materialize(typed)
         stage = "validate"
         checked = typed.withColumn("__v", contract_violations())
         bad = checked.where(F.size("__v") > 0).select(F.concat_ws(":", "metric_name", "group_name", F.array_join("__v", ","))).limit(5).collect()

@@ -90,5 +90,13 @@ def materialize(df):
     """Reliable checkpoint of a small intermediate result (a precompute table) into
     the cluster's checkpoint folder: the lineage is cut, later steps plan over a
     tiny relation, and a lost executor cannot force the event pipeline to re-run."""
+    from pyspark import StorageLevel
+
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    # persisted first: the checkpoint write then reads the cached rows instead of
+    # running the whole plan a second time
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return cached.checkpoint(eager=True)
+    finally:
+        cached.unpersist()

@@ -198,3 +198,17 @@ def test_date_partition_pruning(spark, tmp_path):
     assert [r.event_value for r in vis.collect()] == [2.0] and "event_date" not in vis.columns
     plan = vis._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(event_date" in plan
+
+
+def test_string_split_id(spark):
+    ev = spark.createDataFrame(
+        [("d1", 7, "buy", 3.0, D(3)), ("d1", 7, "buy", 4.0, D(4)), ("d2", 8, "buy", 1.0, D(5)), ("d2", 8, "view", 0.0, D(1))],
+        "device_id string, user_id long, event_name string, event_value double, event_timestamp timestamp_ntz",
+    )
+    ti = spark.createDataFrame(
+        [("d1", "exp", "A", D(2)), ("d2", "exp", "B", D(2))],
+        "device_id string, experiment_name string, group_name string, record_timestamp timestamp_ntz",
+    )
+    o = obs(split_id="device_id")
+    u = {r.device_id: r for r in unit_table(spark, Inputs(events=ev, testids=ti), o, METRICS).collect()}
+    assert u["d1"].rev == 7.0 and u["d2"].n_buy == 1 and u["d2"].group_name == "B"
