@@ -131,9 +131,11 @@ def with_event_row_number(
     keys = [split_id, "event_name"]
     b = F.floor(F.unix_micros(F.col("event_timestamp").cast("timestamp")) / F.lit(bucket_seconds * 1_000_000)).alias("__bucket")
     rows = df.withColumn("__bucket", b)
+    # bucket sizes: a narrow, partially aggregated second read of the joined rows
+    # (one row per bucket per task is shuffled), then a running sum per (unit, event)
     counts = rows.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     prior = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("__offset", F.coalesce(F.sum("__n").over(prior), F.lit(0))).drop("__n")
+    offsets = counts.select(*keys, "__bucket", F.coalesce(F.sum("__n").over(prior), F.lit(0)).alias("__offset"))
     local = Window.partitionBy(*keys, "__bucket").orderBy(*order)
     numbered = rows.withColumn("__local", F.row_number().over(local))
     out = numbered.join(offsets, on=keys + ["__bucket"], how="left")
