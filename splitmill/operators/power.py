@@ -105,3 +105,12 @@ def plan_sample_sizes(
         per_day.alias("observations_per_day"),
         (F.col("sample_size") * F.lit(float(n_groups)) / per_day).alias("days"),
     )
+
+
+def metrics_without_effects(precomputed: DataFrame, plan: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Metrics of the planning run for which no effect size is usable (e.g. a
+    proportion whose target leaves (0, 1) for every effect); the reference
+    raises for these, here they are reported as rows."""
+    keys = list(keys or [])
+    on = keys + ["metric_name"]
+    return precomputed.select(*on, "metric_type").distinct().join(plan.select(*on).distinct(), on=on, how="left_anti")
