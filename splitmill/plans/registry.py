@@ -214,9 +214,14 @@ def _ua_sql(p: O.PipelineSQL, metrics) -> str:
     return p.with_clause({"ua": p.unit_agg(metrics)}) + " SELECT * FROM ua"
 
 
+# DuckDB's COUNT_IF is HUGEINT; Spark's is BIGINT
+LIGHT_HUGEINT_FORMULAS = ["big_purchases_cnt"]
+
+
 def _ua_sql_rounded(p: O.PipelineSQL, metrics, double_cols) -> str:
     inner = _ua_sql(p, metrics)
-    return f"SELECT * REPLACE ({', '.join(f'{O.sig(c)} AS {c}' for c in double_cols)}) FROM ({inner})"
+    repl = [f"{O.sig(c)} AS {c}" for c in double_cols] + [f"CAST({c} AS BIGINT) AS {c}" for c in LIGHT_HUGEINT_FORMULAS]
+    return f"SELECT * REPLACE ({', '.join(repl)}) FROM ({inner})"
 
 
 LIGHT_DOUBLE_FORMULAS = ["revenue", "error_event_share", "event_value_mean", "max_event_value"]
