@@ -13,7 +13,7 @@ SKIP_DIRS = [".git", "__pycache__", ".venv", "venv", "node_modules", ".pytest_ca
 def read_files(spark: SparkSession, root: str, extensions: list[str]) -> DataFrame:
     """One row per file (``path, text``), recursive, filtered by extension."""
     glob = "*.{" + ",".join(e.lstrip(".") for e in extensions) + "}" if len(extensions) > 1 else f"*{extensions[0]}"
-    df = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root)
+    df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root, wholetext=True)
     return df.select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 

@@ -61,3 +61,29 @@ def test_guarded_sql(spark):
     assert sinks.guarded_sql(spark, "SELECT COUNT(*) AS N FROM sm_numbers").columns == ["n"]
     with pytest.raises(ValueError):
         sinks.guarded_sql(spark, "DROP VIEW sm_numbers")
+
+
+def test_read_files_and_index_filter(spark, tmp_path):
+    from splitmill.sources import corpus
+
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "a.md").write_text("# Title\nline two\n")
+    (tmp_path / "src" / "b.py").write_text("print(1)\n")
+    (tmp_path / "node_modules").mkdir()
+    (tmp_path / "node_modules" / "c.md").write_text("skip me")
+    (tmp_path / "d.txt").write_text("not indexed by extension")
+    files = corpus.read_files(spark, str(tmp_path), [".md", ".py"])
+    got = {r.path.rsplit("/", 1)[-1]: r.text for r in corpus.indexable(files).collect()}
+    assert got == {"a.md": "# Title\nline two\n", "b.py": "print(1)\n"}
+    long = spark.createDataFrame([("x/y.md", "a" * 100_001), ("x/z.md", "ok")], "path string, text string")
+    assert [r.path for r in corpus.indexable(long).collect()] == ["x/z.md"]
+
+
+def test_report_splits(spark):
+    from splitmill.operators import report as R
+
+    t = spark.createDataFrame(
+        [("m1", "t1", "money"), ("m1", "t2", "money"), ("m2", "t1", "ux")], "metric_name string, group_name_compared string, metric_group string"
+    )
+    assert R.per_compared_group(t, "t1").count() == 2
+    assert [r.metric_name for r in R.per_metric_group(t, "ux").collect()] == ["m2"]
