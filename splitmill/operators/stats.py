@@ -71,14 +71,6 @@ def welch_ttest(df: DataFrame, mean_1, var_1, n_1, mean_2, var_2, n_2, mask: Col
     return _finish(df, ["_m1", "_v1", "_n1", "_m2", "_v2", "_n2", "_s1", "_s2", "_q1", "_q2", "_se", "_dof", "_crit"])
 
 
-def welch_dof(var_1, n_1, var_2, n_2) -> Column:
-    """Welch-Satterthwaite degrees of freedom (single expression, for small inputs)."""
-    v1, k1, v2, k2 = (dbl(x) for x in (var_1, n_1, var_2, n_2))
-    s1, s2 = ieee_div(v1, k1), ieee_div(v2, k2)
-    df_den = ieee_div(v2 * v2, k2 * k2 * (k2 - 1.0)) + ieee_div(v1 * v1, k1 * k1 * (k1 - 1.0))
-    return div_fill(F.pow(s2 + s1, 2.0), df_den, NAN())
-
-
 def ztest_proportion(df: DataFrame, p_1, n_1, p_2, n_2, mask: Column | None = None, prefix: str = "") -> DataFrame:
     """Two-proportion z-test: pooled statistic, unpooled confidence interval."""
     c = F.col
