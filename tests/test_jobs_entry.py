@@ -90,3 +90,29 @@ def test_oracle_small(spark, duck, name):
     idx = [dcols.index(c) for c in cols]
     want = sorted((tuple(_norm(r[i]) for i in idx) for r in cur.fetchall()), key=repr)
     assert got == want
+
+
+def test_job_validation_failure(spark, tmp_path):
+    # a "proportion" whose unit values exceed 1 breaks the result contract
+    bad = [MetricSpec("not_a_share", "proportion", FormulaSpec("n_events", "COUNT(*)"))]
+    res = run_job(spark, 21, _inputs(spark), RG.light_obs(), bad, str(tmp_path / "pre"))
+    assert res.status == "failed" and res.error_message.startswith("Validation error")
+    assert "proportion_out_of_range" in res.error_message
+    assert not (tmp_path / "pre").exists()
+
+
+def test_job_store_failure(spark, tmp_path):
+    blocker = tmp_path / "pre"
+    blocker.write_text("a file where the table folder should be")
+    res = run_job(spark, 22, _inputs(spark), RG.light_obs(), RG.LIGHT_METRICS, str(blocker))
+    assert res.status == "failed" and res.error_message.startswith("Store error")
+
+
+def test_scenario_registry(spark):
+    from splitmill.plans.analysis import SCENARIOS, register_scenario, run_scenario
+
+    register_scenario("first_two_metrics", lambda s, i, o, m: SCENARIOS["base"](s, i, o, m[:2]))
+    out = run_scenario("first_two_metrics", spark, _inputs(spark), RG.light_obs(), RG.LIGHT_METRICS)
+    assert {r.metric_name for r in out.collect()} == {m.alias for m in RG.LIGHT_METRICS[:2]}
+    with pytest.raises(KeyError):
+        run_scenario("missing", spark, _inputs(spark), RG.light_obs(), RG.LIGHT_METRICS)
