@@ -201,7 +201,7 @@ def q_events_x_assignment(spark, d):
 @register(
     "q_event_row_number",
     _p.with_clause()
-    + " SELECT user_id, group_name, event_id, event_name, event_timestamp, event_row_number FROM j "
+    + " SELECT user_id, group_name, event_id, event_name, event_timestamp, CAST(event_row_number AS INTEGER) AS event_row_number FROM j "
     + f"WHERE event_timestamp IS NOT NULL AND exposure_timestamp BETWEEN {O.ts(LW['exposure_start'])} AND {O.ts(LW['exposure_end'])}",
 )
 def q_event_row_number(spark, d):
@@ -877,7 +877,7 @@ def q_group_shares(spark, d):
 # F-19: non-blank trimmed lines of every conversation turn (whole texts)
 @register(
     "q_text_lines",
-    "SELECT conv_id, turn, len(list_filter(list_transform(regexp_split_to_array(text, '\\r?\\n'), lambda x: trim(x)), lambda x: x <> '')) AS n_lines "
+    "SELECT conv_id, turn, CAST(len(list_filter(list_transform(regexp_split_to_array(text, '\\r?\\n'), lambda x: trim(x)), lambda x: x <> '')) AS INTEGER) AS n_lines "
     "FROM conversations",
 )
 def q_text_lines(spark, d):
