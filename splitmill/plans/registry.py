@@ -737,7 +737,7 @@ def _guard_sql() -> str:
     )
 
 
-@register("q_expression_audit", _audit_sql().replace("regexp_matches(text, '", "regexp_matches(text, '"))
+@register("q_expression_audit", _audit_sql())
 def q_expression_audit(spark, d):
     conv = TD.table(spark, d, "conversations")
     return conv.select("conv_id", "turn", F.array_join(Q.injection_hits(F.col("text")), ",").alias("hits"))
@@ -754,17 +754,25 @@ def q_guarded_sql(spark, d):
 TOPK = 3
 
 
-def _topk_sql() -> str:
+def _topk_ranked_sql() -> str:
+    """Label centroids as queries, all (centroid, vector) distances, ranked per query."""
     return (
         "WITH c AS (SELECT label, i, AVG(CAST(embedding[i] AS DOUBLE)) AS x FROM embeddings, range(1, 65) r(i) GROUP BY label, i), "
         "q AS (SELECT CAST(label AS BIGINT) AS query_id, list(x ORDER BY i) AS qv FROM c GROUP BY label), "
         "dist AS (SELECT q.query_id, e.vec_id AS doc_id, sqrt(list_sum(list_transform(range(1, 65), "
         "lambda i: (CAST(e.embedding[i] AS DOUBLE) - q.qv[i]) * (CAST(e.embedding[i] AS DOUBLE) - q.qv[i])))) AS distance FROM q, embeddings e), "
-        f"ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY distance, doc_id) AS rank FROM dist) "
-        f"SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, {O.sig('distance', 8)} AS distance FROM ranked WHERE rank <= {TOPK}"
+        f"ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY distance, doc_id) AS rank FROM dist), "
+        f"top AS (SELECT * FROM ranked WHERE rank <= {TOPK})"
     )
 
 
+_TOPK_OUT = f"query_id, CAST(rank AS INTEGER) AS rank, doc_id, {O.sig('distance', 8)} AS distance"
+
+
+def _topk_sql() -> str:
+    return _topk_ranked_sql() + f" SELECT {_TOPK_OUT} FROM top"
+
+
 def _topk(spark, d) -> DataFrame:
     emb = TD.table(spark, d, "embeddings")
     return SIM.topk_similar(spark, emb, SIM.label_centroids(emb), k=TOPK)
@@ -778,9 +786,7 @@ def q_topk_similar(spark, d):
 # U-6
 @register(
     "q_topk_dedup",
-    _topk_sql().replace(f"SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, {O.sig('distance', 8)} AS distance FROM ranked WHERE rank <= {TOPK}",
-                        f", top AS (SELECT * FROM ranked WHERE rank <= {TOPK}) SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, {O.sig('distance', 8)} AS distance "
-                        "FROM top QUALIFY ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY query_id, rank) = 1"),
+    _topk_ranked_sql() + f" SELECT {_TOPK_OUT} FROM top QUALIFY ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY query_id, rank) = 1",
 )
 def q_topk_dedup(spark, d):
     return R.significant_digits(SIM.dedupe_across_queries(_topk(spark, d)), 8, ["distance"])

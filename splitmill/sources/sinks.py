@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import MAX_TEXT, TRUNCATION_MARK, truncate
 from ..operators.entities import latest_per_key
 from ..operators.precompute import PRECOMPUTE_COLUMNS, PRECOMPUTE_SCHEMA
 
@@ -27,8 +28,7 @@ JOB_LOG_SCHEMA = T.StructType(
         T.StructField("seq", T.LongType(), False),
     ]
 )
-MAX_ERROR_CHARS = 2000
-TRUNCATION_MARK = "... [truncated]"
+MAX_ERROR_CHARS = MAX_TEXT
 
 
 def lower_columns(df: DataFrame) -> DataFrame:
@@ -60,7 +60,7 @@ def read_precompute(spark: SparkSession, path: str, job_id: int) -> DataFrame:
 
 def truncate_text(c, limit: int = MAX_ERROR_CHARS):
     """Long error texts are cut to ``limit`` characters plus a marker (F-12)."""
-    return F.when(F.length(c) > limit, F.concat(F.substring(c, 1, limit), F.lit(TRUNCATION_MARK))).otherwise(c)
+    return truncate(c, limit)
 
 
 def job_event(spark: SparkSession, job_id: int, status: str, seq: int, observation_id=None, query=None,
