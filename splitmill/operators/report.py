@@ -90,38 +90,27 @@ def json_lines(table: DataFrame) -> DataFrame:
 
 
 def significant_digits(table: DataFrame, digits: int = 10, columns: list[str] | None = None) -> DataFrame:
-    """Doubles rounded to ``digits`` significant digits (stable across engines)."""
-    fmt = f"%.{digits - 1}e"
-    names = set(columns) if columns is not None else None
-    out = []
-    for f in table.schema.fields:
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, T.DoubleType) and (names is None or f.name in names):
-            c = F.when(c.isNotNull(), F.format_string(fmt, c).cast("double"))
-        out.append(c.alias(f.name))
-    return table.select(*out)
+    """Doubles (all, or ``columns``) printed with ``digits`` significant digits and read back."""
+    names = columns if columns is not None else [f.name for f in table.schema.fields if isinstance(f.dataType, T.DoubleType)]
+    return comparable(table, sig_digits={c: digits for c in names})
 
 
 def fixed_decimals(table: DataFrame, decimals: int = 6, columns: list[str] | None = None) -> DataFrame:
-    """Doubles printed with ``decimals`` places and read back (p-values, statistics)."""
-    fmt = f"%.{decimals}f"
-    names = set(columns) if columns is not None else None
-    out = []
-    for f in table.schema.fields:
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, T.DoubleType) and (names is None or f.name in names):
-            c = F.when(c.isNotNull(), F.format_string(fmt, c).cast("double"))
-        out.append(c.alias(f.name))
-    return table.select(*out)
+    """Doubles (all, or ``columns``) printed with ``decimals`` places and read back."""
+    names = columns if columns is not None else [f.name for f in table.schema.fields if isinstance(f.dataType, T.DoubleType)]
+    return comparable(table, decimals={c: decimals for c in names})
 
 
 def comparable(table: DataFrame, sig_digits: dict[str, int] | None = None, decimals: dict[str, int] | None = None) -> DataFrame:
-    """One projection printing chosen doubles to fixed significant digits or decimals."""
+    """One projection printing chosen doubles to fixed significant digits or decimals
+    (stable across engines whose sums differ in the last bits)."""
     sig_digits, decimals = dict(sig_digits or {}), dict(decimals or {})
     out = []
     for f in table.schema.fields:
         c = F.col(f"`{f.name}`")
-        if f.name in sig_digits:
+        if not isinstance(f.dataType, T.DoubleType):
+            pass
+        elif f.name in sig_digits:
             c = F.when(c.isNotNull(), F.format_string(f"%.{sig_digits[f.name] - 1}e", c).cast("double"))
         elif f.name in decimals:
             c = F.when(c.isNotNull(), F.format_string(f"%.{decimals[f.name]}f", c).cast("double"))
