@@ -116,3 +116,18 @@ def test_scenario_registry(spark):
     assert {r.metric_name for r in out.collect()} == {m.alias for m in RG.LIGHT_METRICS[:2]}
     with pytest.raises(KeyError):
         run_scenario("missing", spark, _inputs(spark), RG.light_obs(), RG.LIGHT_METRICS)
+
+
+def test_job_report_flow(spark, tmp_path):
+    from splitmill.plans.report_flow import job_report
+
+    res = run_job(spark, 31, _inputs(spark), RG.light_obs(), RG.LIGHT_METRICS, str(tmp_path / "pre"))
+    assert res.status == "completed"
+    rep = job_report(spark, str(tmp_path / "pre"), 31, RG.LIGHT_METRICS, metric_groups=["money"], compared_groups=["treatment1"])
+    sizes = {r.group_name: r.observation_cnt for r in rep.group_sizes.collect()}
+    assert set(sizes) == {"control", "treatment1", "treatment2"}
+    srm = rep.srm.collect()[0]
+    assert srm.error is None and srm.df == 2 and srm.observed == [sizes[g] for g in sorted(sizes)]
+    rows = rep.significance.collect()
+    assert rows and {r.group_name_compared for r in rows} == {"treatment1"}
+    assert {r.metric_group for r in rows} == {"money"} and all(isinstance(r.is_significant, bool) for r in rows)
