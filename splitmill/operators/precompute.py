@@ -33,8 +33,12 @@ PRECOMPUTE_SCHEMA = T.StructType(
 )
 
 
-def _null() -> "F.Column":
-    return F.lit(None).cast("double")
+def _ident(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _str_lit(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def precompute(unit_df: DataFrame, metrics: list[MetricSpec], split_id: str, keys: list[str] | None = None) -> DataFrame:
@@ -42,43 +46,36 @@ def precompute(unit_df: DataFrame, metrics: list[MetricSpec], split_id: str, key
 
     ``observation_cnt`` counts units; the unit table has one row per (unit, group),
     so a plain count replaces ``COUNT(DISTINCT)`` (which would add two aggregation
-    levels).  Moments not defined for a metric type are typed NULLs."""
+    levels).  Moments not defined for a metric type are typed NULLs.  The
+    aggregate list and the wide -> long projection are generated as SQL text (one
+    call to the JVM each), so catalogs with hundreds of metrics plan quickly."""
     keys = list(keys or [])
     if not metrics:
         raise ValueError("no metrics to compute")
-    aggs = [F.count(F.col(split_id)).alias("__n")]
+    aggs = [f"count({_ident(split_id)}) AS __n"]
     entries = []
+    null = "CAST(NULL AS DOUBLE)"
     for i, m in enumerate(metrics):
-        n = F.col(m.numerator.alias).cast("double")
-        aggs.append(F.expr(m.value_sql()).cast("double").alias(f"__v{i}"))
+        n = f"CAST({_ident(m.numerator.alias)} AS DOUBLE)"
+        aggs.append(f"CAST({m.value_sql()} AS DOUBLE) AS __v{i}")
         if m.type == "avg":
-            aggs.append(F.var_samp(n).alias(f"__nv{i}"))
-            moments = [_null(), F.col(f"__nv{i}"), _null(), _null(), _null()]
+            aggs.append(f"var_samp({n}) AS __nv{i}")
+            moments = [null, f"__nv{i}", null, null, null]
         elif m.type == "ratio":
-            d = F.col(m.denominator.alias).cast("double")
-            aggs += [
-                F.avg(n).alias(f"__na{i}"), F.var_samp(n).alias(f"__nv{i}"),
-                F.avg(d).alias(f"__da{i}"), F.var_samp(d).alias(f"__dv{i}"),
-                F.covar_samp(n, d).alias(f"__cv{i}"),
-            ]
-            moments = [F.col(f"__na{i}"), F.col(f"__nv{i}"), F.col(f"__da{i}"), F.col(f"__dv{i}"), F.col(f"__cv{i}")]
+            d = f"CAST({_ident(m.denominator.alias)} AS DOUBLE)"
+            aggs += [f"avg({n}) AS __na{i}", f"var_samp({n}) AS __nv{i}", f"avg({d}) AS __da{i}",
+                     f"var_samp({d}) AS __dv{i}", f"covar_samp({n}, {d}) AS __cv{i}"]
+            moments = [f"__na{i}", f"__nv{i}", f"__da{i}", f"__dv{i}", f"__cv{i}"]
         else:  # proportion
-            moments = [_null()] * 5
-        entries.append(
-            F.struct(
-                F.lit(m.alias).alias("metric_name"),
-                F.lit(m.label).alias("metric_display_name"),
-                F.lit(m.type).alias("metric_type"),
-                F.col(f"__v{i}").alias("metric_value"),
-                moments[0].alias("numerator_avg"),
-                moments[1].alias("numerator_var"),
-                moments[2].alias("denominator_avg"),
-                moments[3].alias("denominator_var"),
-                moments[4].alias("covariance"),
-            )
-        )
-    wide = unit_df.groupBy(*keys, "group_name").agg(*aggs)
-    long = wide.select(*keys, "group_name", F.col("__n").alias("observation_cnt"), F.inline(F.array(*entries)))
+            moments = [null] * 5
+        fields = [
+            ("metric_name", _str_lit(m.alias)), ("metric_display_name", _str_lit(m.label)), ("metric_type", _str_lit(m.type)),
+            ("metric_value", f"__v{i}"), ("numerator_avg", moments[0]), ("numerator_var", moments[1]),
+            ("denominator_avg", moments[2]), ("denominator_var", moments[3]), ("covariance", moments[4]),
+        ]
+        entries.append("named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields) + ")")
+    wide = unit_df.groupBy(*keys, "group_name").agg(*[F.expr(a) for a in aggs])
+    long = wide.select(*keys, "group_name", F.col("__n").alias("observation_cnt"), F.expr(f"inline(array({', '.join(entries)}))"))
     return long.select(*keys, *PRECOMPUTE_COLUMNS)
 
 

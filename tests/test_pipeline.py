@@ -212,3 +212,11 @@ def test_string_split_id(spark):
     o = obs(split_id="device_id")
     u = {r.device_id: r for r in unit_table(spark, Inputs(events=ev, testids=ti), o, METRICS).collect()}
     assert u["d1"].rev == 7.0 and u["d2"].n_buy == 1 and u["d2"].group_name == "B"
+
+
+def test_display_names_with_quotes(spark, data):
+    ev, ti = data
+    odd = "Buyer's share \\ (it's \"quoted\")"
+    m = [MetricSpec("buyer_share", "proportion", FormulaSpec("buyer", "MAX(CASE WHEN event_name = 'buy' THEN 1 ELSE 0 END)"), display_name=odd)]
+    pre = run_observation(spark, Inputs(events=ev, testids=ti, assignment_tie_break=["record_id"]), obs(), m).collect()
+    assert {r.metric_display_name for r in pre} == {odd}
