@@ -114,24 +114,26 @@ def significance_table(
         )
     valid = (F.size("input_errors") == 0) & c("group_name_compared").isNotNull()
     is_avg, is_ratio, is_prop = valid & (t == "avg"), valid & (t == "ratio"), valid & (t == "proportion")
-    out = stats.welch_ttest(
-        joined,
-        c("metric_value_control"), c("numerator_var_control"), c("observation_cnt_control"),
-        c("metric_value_compared"), c("numerator_var_compared"), c("observation_cnt_compared"),
-        mask=is_avg, prefix="__w_",
-    )
-    out = stats.delta_ratio_test(
-        out,
-        c("metric_value_control"), c("numerator_avg_control"), c("numerator_var_control"),
-        c("denominator_avg_control"), c("denominator_var_control"), c("covariance_control"), c("observation_cnt_control"),
-        c("metric_value_compared"), c("numerator_avg_compared"), c("numerator_var_compared"),
-        c("denominator_avg_compared"), c("denominator_var_compared"), c("covariance_compared"), c("observation_cnt_compared"),
-        mask=is_ratio, prefix="__r_",
-    )
-    out = stats.ztest_proportion(
-        out, c("metric_value_control"), c("observation_cnt_control"), c("metric_value_compared"), c("observation_cnt_compared"),
-        mask=is_prop, prefix="__z_",
+    # the three tests side by side: stage i of each in one projection
+    plan = stats.merge_stages(
+        stats.welch_stages(
+            c("metric_value_control"), c("numerator_var_control"), c("observation_cnt_control"),
+            c("metric_value_compared"), c("numerator_var_compared"), c("observation_cnt_compared"),
+            mask=is_avg, prefix="__w_",
+        ),
+        stats.delta_stages(
+            c("metric_value_control"), c("numerator_avg_control"), c("numerator_var_control"),
+            c("denominator_avg_control"), c("denominator_var_control"), c("covariance_control"), c("observation_cnt_control"),
+            c("metric_value_compared"), c("numerator_avg_compared"), c("numerator_var_compared"),
+            c("denominator_avg_compared"), c("denominator_var_compared"), c("covariance_compared"), c("observation_cnt_compared"),
+            mask=is_ratio, prefix="__r_",
+        ),
+        stats.ztest_stages(
+            c("metric_value_control"), c("observation_cnt_control"), c("metric_value_compared"), c("observation_cnt_compared"),
+            mask=is_prop, prefix="__z_",
+        ),
     )
+    out = stats.apply_stages(joined, *plan)
     pick = {
         f: F.when(is_avg, c(f"__w_{f}")).when(is_ratio, c(f"__r_{f}")).when(is_prop, c(f"__z_{f}")).alias(f)
         for f in stats.TEST_FIELDS
