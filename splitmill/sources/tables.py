@@ -97,3 +97,22 @@ def job_context(jobs: DataFrame, observations: DataFrame, experiments: DataFrame
     )
     e = experiments.select(F.col("id").alias("experiment_id"), F.col("name").alias("experiment_name"))
     return jobs.join(o, on="observation_id", how="inner").join(e, on="experiment_id", how="inner")
+
+
+def inputs_from_row(spark, row, events, testids, **kw):
+    """Inputs of a stored observation: audience tables resolved by name
+    (``spark.table``), the custom assignment query kept for the read-only guard."""
+    from ..plans.analysis import Inputs
+
+    r = row.asDict() if hasattr(row, "asDict") else dict(row)
+    audiences = [spark.table(name) for name in (r.get("audience_tables") or [])]
+    return Inputs(events=events, testids=testids, audiences=audiences, custom_assignment=r.get("custom_test_ids_query") or None, **kw)
+
+
+def run_stored_observation(spark, row, events, testids, metrics, purpose: str = "regular", **kw):
+    """Precompute of a stored observation row through its calculation scenario."""
+    from ..plans.analysis import run_scenario
+
+    r = row.asDict() if hasattr(row, "asDict") else dict(row)
+    obs = observation_from_row(r, purpose)
+    return run_scenario(r.get("calculation_scenario") or "base", spark, inputs_from_row(spark, r, events, testids, **kw), obs, metrics)

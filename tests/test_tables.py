@@ -50,3 +50,24 @@ def test_metrics_without_effects(spark):
     )
     plan = PW.plan_sample_sizes(pre, [0.05, 0.1], reference_days=7)
     assert [r.metric_name for r in PW.metrics_without_effects(pre, plan).collect()] == ["sat"]
+
+
+def test_run_stored_observation(spark):
+    from splitmill.plans import registry as RG
+
+    d = "/root/testdata/sf0.001"
+    RG.audience_big_buyers(spark, d).createOrReplaceTempView("sm_aud_buyers")
+    row = dict(
+        id=7, experiment_id=1, name="stored", db_experiment_name="exp_signup", split_id="user_id", calculation_scenario="base",
+        exposure_start_datetime=dt(2024, 1, 1), exposure_end_datetime=dt(2024, 1, 20, 23, 59, 59),
+        calc_start_datetime=dt(2024, 1, 1), calc_end_datetime=dt(2024, 1, 30, 23, 59, 59), exposure_event="view",
+        audience_tables=["sm_aud_buyers"], filters=None, custom_test_ids_query=None, metric_tags=None, metric_groups=None,
+    )
+    inp = RG.light_inputs(spark, d)
+    got = TB.run_stored_observation(spark, row, inp.events, inp.testids, RG.LIGHT_METRICS, assignment_tie_break=["record_id"])
+    want = RG.unit_table(spark, RG.light_inputs(spark, d, audiences=[RG.audience_big_buyers(spark, d)]), RG.light_obs(), RG.LIGHT_METRICS)
+    from splitmill.operators.precompute import precompute
+
+    a = sorted((r.group_name, r.metric_name, r.observation_cnt) for r in got.collect())
+    b = sorted((r.group_name, r.metric_name, r.observation_cnt) for r in precompute(want, RG.LIGHT_METRICS, "user_id").collect())
+    assert a == b and a
