@@ -136,6 +136,7 @@ def with_event_row_number(
     counts = rows.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     prior = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, "__bucket", F.coalesce(F.sum("__n").over(prior), F.lit(0)).alias("__offset"))
+    offsets = offsets.where(F.col("__offset") > 0)  # a key's first bucket needs no shift
     local = Window.partitionBy(*keys, "__bucket").orderBy(*order)
     numbered = rows.withColumn("__local", F.row_number().over(local))
     out = numbered.join(offsets, on=keys + ["__bucket"], how="left")
