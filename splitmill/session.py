@@ -24,7 +24,7 @@ RECOMMENDED_CONF = {
 CONTEXT_CONF = {"spark.cleaner.referenceTracking.cleanCheckpoints": "true"}
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "splitmill") -> SparkSession:
+def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "splitmill", extra_conf: dict | None = None) -> SparkSession:
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -32,7 +32,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", os.environ.get("SPLITMILL_DRIVER_MEMORY", "8g"))
     )
-    for k, v in {**RECOMMENDED_CONF, **CONTEXT_CONF}.items():
+    for k, v in {**RECOMMENDED_CONF, **CONTEXT_CONF, **(extra_conf or {})}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
