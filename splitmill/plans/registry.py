@@ -504,7 +504,7 @@ def _heavy_sizes_sql() -> str:
     + "(SELECT string_agg(CAST(o AS VARCHAR), ',' ORDER BY group_name) FROM gs) AS observed FROM st",
 )
 def q_srm_uniform(spark, d):
-    res = SRM.srm_test(group_sizes(materialize(heavy_precompute(spark, d))))
+    res = SRM.srm_test(group_sizes(heavy_precompute(spark, d)))
     out = res.select("statistic", "p_value", "df", "is_srm", F.array_join(F.transform("observed", lambda x: x.cast("string")), ",").alias("observed"))
     return R.fixed_decimals(R.significant_digits(out, 10, ["statistic"]), 6, ["p_value"])
 
@@ -529,7 +529,7 @@ def q_srm_expected(spark, d):
     shares = log.groupBy("group_name").count()
     total = log.count()  # one number; the shares stay a DataFrame
     shares = shares.withColumn("share", F.col("count") / F.lit(float(total)))
-    res = SRM.srm_test(group_sizes(materialize(light_precompute(spark, d))), shares.select("group_name", "share"))
+    res = SRM.srm_test(group_sizes(light_precompute(spark, d)), shares.select("group_name", "share"))
     out = res.select("statistic", "p_value", "df", "is_srm")
     return R.fixed_decimals(R.significant_digits(out, 10, ["statistic"]), 6, ["p_value"])
 
@@ -876,7 +876,7 @@ def q_list_filter(spark, d):
     + f"{O.sig('1.0 / COUNT(*) OVER ()')} AS expected_share FROM gs",
 )
 def q_group_shares(spark, d):
-    out = SRM.group_shares(group_sizes(materialize(heavy_precompute(spark, d))))
+    out = SRM.group_shares(group_sizes(heavy_precompute(spark, d)))
     return R.significant_digits(out, 10, ["share", "expected_share"])
 
 
