@@ -137,3 +137,15 @@ def test_plan_drops_out_of_range_proportions(spark):
     for r in out:
         assert r.observations_per_day == pytest.approx({"rev": 5000, "rpu": 8000}[r.metric_name] / 14)
         assert r.days == pytest.approx(r.sample_size / r.observations_per_day)
+
+
+def test_alpha_beta_must_be_tabulated(spark):
+    from splitmill.functions.dist import NORM_PPF_ALPHA_TWO_SIDED, NORM_PPF_BETA
+
+    assert sorted(NORM_PPF_ALPHA_TWO_SIDED) == [0.001, 0.01, 0.05, 0.1] and sorted(NORM_PPF_BETA) == [0.05, 0.1, 0.2]
+    with pytest.raises(ValueError):
+        PW.sample_size_proportion(F.lit(0.1), F.lit(0.1), alpha=0.03)
+    with pytest.raises(ValueError):
+        PW.sample_size_mean_udf(0.05, 0.3)
+    with pytest.raises(ValueError):
+        PW.plan_sample_sizes(spark.range(1), [0.1], reference_days=0)
