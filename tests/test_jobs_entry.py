@@ -78,7 +78,7 @@ def _norm(v):
 
 
 @pytest.mark.parametrize(
-    "name", ["q_precompute_long", "q_unit_agg_keep_inactive", "q_audience_inner", "q_ztest", "q_ratio_test", "q_srm_expected", "q_guarded_sql", "q_topk_similar"]
+    "name", ["q_precompute_long", "q_unit_agg_keep_inactive", "q_audience_inner", "q_welch", "q_ztest", "q_ratio_test", "q_srm_expected", "q_guarded_sql", "q_topk_similar"]
 )
 def test_oracle_small(spark, duck, name):
     df = E.queries()[name](spark, SF_SMALL)
