@@ -99,3 +99,22 @@ def test_planning_fixture_rows(spark):
         n0 = 2 * zz * 625 / (50 * e) ** 2
         assert abs(out[("rev", e)].sample_size - n0) <= max(3, 0.02 * n0)
         assert out[("rev", e)].observations_per_day == pytest.approx(5000 / 14)
+
+
+def test_many_analyses_in_one_table(spark):
+    from pyspark.sql import functions as F
+
+    rows = random_precompute(1)
+    other = [(("base" if r[0] == "control" else r[0]),) + r[1:] for r in random_precompute(2)]  # no "control" group here
+    a = spark.createDataFrame(rows, PRECOMPUTE_SCHEMA).withColumn("job_id", F.lit(1))
+    b = spark.createDataFrame(other, PRECOMPUTE_SCHEMA).withColumn("job_id", F.lit(2))
+    both = S.significance_table(a.unionByName(b), keys=["job_id"])
+    got = {(r.job_id, r.metric_name, r.group_name_compared): r for r in both.collect()}
+    ctl = {r.job_id: r.group_name_control for r in both.select("job_id", "group_name_control").distinct().collect()}
+    assert ctl == {1: "control", 2: "base"}  # "base" sorts before the treatments
+    for job, df in ((1, a), (2, b)):
+        for r in S.significance_table(df.drop("job_id")).collect():
+            g = got[(job, r.metric_name, r.group_name_compared)]
+            assert g.p_value == pytest.approx(r.p_value, abs=1e-15) and g.statistic == pytest.approx(r.statistic, rel=1e-15)
+    piv = S.significance_pivot(both, ["treatment1", "treatment2"], ["p_value"], keys=["job_id"])
+    assert piv.count() == 12 and piv.columns[:3] == ["job_id", "treatment1__p_value", "treatment2__p_value"]
