@@ -21,6 +21,32 @@ SCORE_BLOCK = 2048  # corpus rows scored per NumPy block
 METRICS = ("l2", "cosine")
 
 
+def _smallest_k(dist: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per row the k smallest distances, ordered by (distance, id).
+
+    Linear-time selection (``argpartition``); rows whose k-th distance is tied
+    with an unselected entry fall back to a full (distance, id) sort, so ties
+    are always resolved by the smaller id."""
+    n = dist.shape[1]
+    keep = min(k, n)
+    if n > keep:
+        dist_nan = np.where(np.isnan(dist), np.inf, dist)
+        part = np.argpartition(dist_nan, keep - 1, axis=1)[:, :keep]
+        kth = np.take_along_axis(dist_nan, part, axis=1).max(axis=1)
+        ties = (dist_nan == kth[:, None]).sum(axis=1) > (np.take_along_axis(dist_nan, part, axis=1) == kth[:, None]).sum(axis=1)
+        sel_d = np.take_along_axis(dist, part, axis=1)
+        sel_i = np.take_along_axis(ids, part, axis=1)
+        if np.any(ties):
+            rows = np.nonzero(ties)[0]
+            full = np.lexsort((ids[rows], dist[rows]), axis=1)[:, :keep]
+            sel_d[rows] = np.take_along_axis(dist[rows], full, axis=1)
+            sel_i[rows] = np.take_along_axis(ids[rows], full, axis=1)
+    else:
+        sel_d, sel_i = dist, ids
+    order = np.lexsort((sel_i, sel_d), axis=1)
+    return np.take_along_axis(sel_d, order, axis=1), np.take_along_axis(sel_i, order, axis=1)
+
+
 def _candidates_fn(q_ids: np.ndarray, q_mat: np.ndarray, k: int, metric: str, doc_id: str, vec: str):
     qn = np.linalg.norm(q_mat, axis=1)
     q_sq = qn * qn
@@ -46,11 +72,7 @@ def _candidates_fn(q_ids: np.ndarray, q_mat: np.ndarray, k: int, metric: str, do
                         dist = np.where(denom > 0, 1.0 - dot / denom, np.nan)
                 all_d = np.concatenate([best_d, dist], axis=1)
                 all_i = np.concatenate([best_i, np.broadcast_to(bid, dist.shape)], axis=1)
-                keep = min(k, all_d.shape[1])
-                # order by (distance, doc id) so ties are deterministic
-                order = np.lexsort((all_i, all_d), axis=1)[:, :keep]
-                best_d = np.take_along_axis(all_d, order, axis=1)
-                best_i = np.take_along_axis(all_i, order, axis=1)
+                best_d, best_i = _smallest_k(all_d, all_i, k)
         if best_d.shape[1] == 0:
             return
         n = best_d.shape[1]

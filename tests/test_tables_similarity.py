@@ -171,3 +171,16 @@ def test_label_centroids(spark):
     lab = int(pdf["label"].iloc[0])
     want = np.stack(pdf[pdf["label"] == lab]["embedding"].to_numpy()).astype(float).mean(axis=0)
     assert np.allclose(cents[lab], want, rtol=1e-12)
+
+
+def test_smallest_k_with_ties():
+    from splitmill.operators.similarity import _smallest_k
+
+    rng = np.random.default_rng(0)
+    for _ in range(300):
+        q, n, k = rng.integers(1, 6), rng.integers(1, 40), rng.integers(1, 6)
+        d = rng.integers(0, 5, size=(q, n)).astype(float)  # many ties
+        ids = np.broadcast_to(rng.permutation(1000)[:n], (q, n)).copy()
+        gd, gi = _smallest_k(d, ids, k)
+        order = np.lexsort((ids, d), axis=1)[:, : min(k, n)]
+        assert (gd == np.take_along_axis(d, order, axis=1)).all() and (gi == np.take_along_axis(ids, order, axis=1)).all()
