@@ -137,6 +137,8 @@ def nct_cdf(t, df, delta, max_terms: int = 2000, errmax: float = 1e-12) -> np.nd
 
 
 _GL_X, _GL_W = np.polynomial.legendre.leggauss(128)
+# halvings of the sample-size bracket: [2, 4 n0] shrinks below 1e-8 n0, far under one unit
+BISECTION_STEPS = 36
 
 
 def t_pdf(x, df) -> np.ndarray:
@@ -157,7 +159,7 @@ def t_cdf_quad(t, df) -> np.ndarray:
     return 0.5 + np.sign(t) * area
 
 
-def t_ppf_newton(p: float, df, z: float, steps: int = 12) -> np.ndarray:
+def t_ppf_newton(p: float, df, z: float, steps: int = 8) -> np.ndarray:
     """Quantile for ``p > 0.5``: Cornish-Fisher start from the normal quantile ``z``,
     then Newton steps on the quadrature CDF."""
     df = np.asarray(df, float)
@@ -202,7 +204,7 @@ def t_test_sample_size(avg, var, effect, alpha: float, beta: float, z_alpha: flo
         dd = d[small]
         lo = np.full(dd.shape, 1.0 + 1e-6)
         hi = 4.0 * n0[small] + 16.0
-        for _ in range(50):
+        for _ in range(BISECTION_STEPS):
             mid = 0.5 * (lo + hi)
             under = two_sample_t_power(mid, dd, alpha, z_alpha) < target
             lo = np.where(under, mid, lo)
@@ -217,7 +219,7 @@ def t_test_sample_size(avg, var, effect, alpha: float, beta: float, z_alpha: flo
             dfree = 2.0 * n - 2.0
             return t_cdf_quad(dl / np.sqrt(2.0 * vl / n) - t_ppf_newton(1.0 - alpha / 2.0, dfree, z_alpha), dfree) - target
 
-        for _ in range(45):
+        for _ in range(BISECTION_STEPS):
             mid = 0.5 * (lo + hi)
             neg = f(mid) < 0
             lo = np.where(neg, mid, lo)
