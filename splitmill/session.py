@@ -41,22 +41,26 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def checkpoint_dir(spark: SparkSession) -> str | None:
-    """The shared folder the cluster names for checkpoints (``spark.checkpoint.dir``)."""
-    value = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder the cluster names for checkpoints (``spark.checkpoint.dir``),
+    or the folder already set on the SparkContext."""
+    sc = spark.sparkContext
+    value = sc.getCheckpointDir()
     if not value:
-        value = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+        value = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     return value or None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the configured checkpoint folder; only when none is configured (tests on
-    one machine) create a scratch folder for it."""
-    value = checkpoint_dir(spark)
-    if value is None:
-        value = tempfile.mkdtemp(prefix="splitmill-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", value)
-    spark.sparkContext.setCheckpointDir(value)
-    return value
+    one machine) create a scratch folder for it.  The folder is set on the
+    SparkContext (``spark.checkpoint.dir`` itself cannot change at run time)."""
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    value = checkpoint_dir(spark) or tempfile.mkdtemp(prefix="splitmill-ckpt-")
+    sc.setCheckpointDir(value)
+    return sc.getCheckpointDir() or value
 
 
 def cluster_conf(input_bytes: float, executors: int, cores_per_executor: int = 4, target_partition_mb: int = 256) -> dict:

@@ -131,3 +131,24 @@ def test_job_report_flow(spark, tmp_path):
     rows = rep.significance.collect()
     assert rows and {r.group_name_compared for r in rows} == {"treatment1"}
     assert {r.metric_group for r in rows} == {"money"} and all(isinstance(r.is_significant, bool) for r in rows)
+
+
+def test_checkpoint_folder_fallback_in_bare_session(tmp_path):
+    """Without spark.checkpoint.dir (no spark-defaults), checkpointing queries still run."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        "import sys; sys.path.insert(0, %r)\n"
+        "from pyspark.sql import SparkSession\n"
+        "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "assert spark.conf.get('spark.checkpoint.dir', None) is None\n"
+        "import __spark_entry__ as E\n"
+        "print('rows', E.queries()['q_ztest'](spark, %r).count())\n"
+    ) % (root, SF_SMALL)
+    env = dict(os.environ, SPARK_CONF_DIR=str(tmp_path))
+    out = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=600)
+    assert out.returncode == 0, out.stderr[-2000:]
+    assert "rows 4" in out.stdout
