@@ -85,6 +85,9 @@ def plan_sample_sizes(
     _check(alpha, beta)
     keys = list(keys or [])
     grid = list(effects) if effects else DEFAULT_EFFECTS
+    from ..session import ensure_worker_path
+
+    ensure_worker_path(precomputed.sparkSession)
     rows = precomputed.withColumn("effect_size", F.explode(F.array(*[F.lit(float(e)) for e in grid])))
     t = F.col("metric_type")
     size = (

@@ -99,8 +99,11 @@ def topk_similar(
     Exact: every corpus row is scored against every query.  Queries travel in
     chunks of at most ``max_queries_per_chunk`` rows (the size check); larger
     query sets run as several chunks whose results are unioned."""
+    from ..session import ensure_worker_path
+
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
+    ensure_worker_path(spark)
     if k <= 0:
         raise ValueError("k must be positive")
     n_queries = queries.count()

@@ -104,3 +104,17 @@ def materialize(df):
         return cached.checkpoint(eager=True)
     finally:
         cached.unpersist()
+
+
+def ensure_worker_path(spark: SparkSession) -> None:
+    """Let Python workers import this package: its parent folder is added to the
+    PYTHONPATH that Spark passes to Python workers (captured when a Python
+    function is created).  On a cluster ship the package with ``--py-files`` or
+    install it on the executors; this then changes nothing."""
+    import splitmill
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(splitmill.__file__)))
+    env = spark.sparkContext.environment
+    parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in parts:
+        env["PYTHONPATH"] = os.pathsep.join([root, *parts])

@@ -152,3 +152,22 @@ def test_checkpoint_folder_fallback_in_bare_session(tmp_path):
     out = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=600)
     assert out.returncode == 0, out.stderr[-2000:]
     assert "rows 4" in out.stdout
+
+
+def test_python_workers_find_the_package_from_any_folder(tmp_path):
+    """mapInPandas / pandas UDF workers import splitmill even when the driver runs elsewhere."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        "import sys; sys.path.insert(0, %r)\n"
+        "from pyspark.sql import SparkSession\n"
+        "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "import __spark_entry__ as E\n"
+        "print('rows', E.queries()['q_topk_similar'](spark, %r).count())\n"
+    ) % (root, SF_SMALL)
+    out = subprocess.run([sys.executable, "-c", code], cwd=str(tmp_path), capture_output=True, text=True, timeout=600)
+    assert out.returncode == 0, out.stderr[-2000:]
+    assert "rows 30" in out.stdout
