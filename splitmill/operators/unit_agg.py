@@ -29,8 +29,9 @@ def formula_columns(formulas: list[FormulaSpec]) -> list[Column]:
 def unit_aggregate(events_joined: DataFrame, split_id: str, formulas: list[FormulaSpec]) -> DataFrame:
     """``GROUP BY split_id, group_name`` with every formula in one hash aggregate.
 
-    The input is already hash-partitioned by the unit id after the event join, so
-    this adds no shuffle."""
+    After a sort-merge event join (large unit tables) the rows are already
+    hash-partitioned by the unit id and this adds no shuffle; after a broadcast
+    join the partial aggregate runs first and only its output is shuffled."""
     if not formulas:
         raise ValueError("no unit formulas to compute")
     return events_joined.groupBy(split_id, "group_name").agg(*formula_columns(formulas))

@@ -1,9 +1,11 @@
 """Assignment (test-id) sources: one row per unit and its group (S-4..S-7, W-1, W-2).
 
 The first assignment per unit is found with ``min(struct(record_timestamp, ...))``
-grouped by unit: a hash aggregate with map-side partial aggregation, so a unit
-with millions of assignment rows costs one row per map task in the shuffle (no
-sort, no window, deterministic on ties because later struct fields break them).
+grouped by unit.  Spark runs it as a sort-based aggregate (struct buffers are
+not hash-aggregate buffers) with a map-side partial step, so a unit with
+millions of assignment rows costs one row per map task in the shuffle; it spills
+rather than fails, and ties are deterministic because later struct fields
+break them.
 """
 
 from __future__ import annotations
