@@ -87,3 +87,14 @@ def test_report_splits(spark):
     )
     assert R.per_compared_group(t, "t1").count() == 2
     assert [r.metric_name for r in R.per_metric_group(t, "ux").collect()] == ["m2"]
+
+
+def test_cluster_conf_sizing():
+    from splitmill.session import cluster_conf
+
+    big = cluster_conf(100 * 2**40, executors=1000, cores_per_executor=4)
+    assert int(big["spark.sql.shuffle.partitions"]) == 100 * 2**40 // (256 * 2**20)  # ~ input / 256 MB
+    assert big["spark.sql.adaptive.enabled"] == "true" and big["spark.sql.adaptive.skewJoin.enabled"] == "true"
+    assert big["spark.sql.autoBroadcastJoinThreshold"] == "-1"  # only run-time (measured) broadcasts
+    small = cluster_conf(10 * 2**20, executors=10)
+    assert int(small["spark.sql.shuffle.partitions"]) == 200  # floor of at least 3 waves / 200
