@@ -220,3 +220,14 @@ def test_display_names_with_quotes(spark, data):
     m = [MetricSpec("buyer_share", "proportion", FormulaSpec("buyer", "MAX(CASE WHEN event_name = 'buy' THEN 1 ELSE 0 END)"), display_name=odd)]
     pre = run_observation(spark, Inputs(events=ev, testids=ti, assignment_tie_break=["record_id"]), obs(), m).collect()
     assert {r.metric_display_name for r in pre} == {odd}
+
+
+def test_observation_metric_selection(spark):
+    from splitmill.plans import registry as RG
+
+    d = "/root/testdata/sf0.001"
+    pre = RG.light_precompute(spark, d, metric_tags=("ux",))
+    want = {m.alias for m in RG.LIGHT_METRICS if m.tags and "ux" in m.tags}
+    assert {r.metric_name for r in pre.select("metric_name").distinct().collect()} == want
+    pre2 = RG.light_precompute(spark, d, metric_groups=("quality",))
+    assert {r.metric_name for r in pre2.select("metric_name").distinct().collect()} == {"error_share"}
