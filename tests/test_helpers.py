@@ -98,3 +98,8 @@ def test_cluster_conf_sizing():
     assert big["spark.sql.autoBroadcastJoinThreshold"] == "-1"  # only run-time (measured) broadcasts
     small = cluster_conf(10 * 2**20, executors=10)
     assert int(small["spark.sql.shuffle.partitions"]) == 200  # floor of at least 3 waves / 200
+
+
+def test_get_by_id(experiments):  # noqa: F811
+    assert [r.name for r in E.get_by_id(experiments, "id", 2).collect()] == ["New onboarding"]
+    assert E.get_by_id(experiments, "id", 99).count() == 0
