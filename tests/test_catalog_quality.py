@@ -154,3 +154,20 @@ def test_contract_violations(spark):
         "ok": [], "p15": ["proportion_out_of_range"], "ratio_missing": ["ratio_missing_moments"],
         "avg_novar": ["avg_missing_variance"], "negvar": ["negative_variance"],
     }
+
+
+@pytest.mark.parametrize(
+    "text,codes",
+    [
+        ("SELECT 1 # trailing mysql comment", []),
+        ("SELECT 1;   ", []),
+        ("select * from t for share", ["row_lock"]),
+        ("VALUES (1), (2);\n", []),
+        ("SELECT 'a;b' FROM t", ["multiple_statements"]),  # the rule is textual, as in the reference
+        ("SELECT sleep (3)", ["timing_function"]),
+        ("with a as (select 1) select * from a union all select 2", []),
+    ],
+)
+def test_read_only_guard_edges(spark, text, codes):
+    got = spark.createDataFrame([(text,)], "q string").select(Q.read_only_violations(F.col("q")).alias("v")).collect()[0].v
+    assert sorted(got) == sorted(codes)
