@@ -171,3 +171,17 @@ def test_contract_violations(spark):
 def test_read_only_guard_edges(spark, text, codes):
     got = spark.createDataFrame([(text,)], "q string").select(Q.read_only_violations(F.col("q")).alias("v")).collect()[0].v
     assert sorted(got) == sorted(codes)
+
+
+def test_shipped_yaml_catalog_matches_python_definitions():
+    import os
+
+    from splitmill.plans.testdata_metrics import LIGHT_METRICS
+
+    root = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "metrics")
+    loaded = {m.alias: m for m in C.load_catalog(root)}
+    assert set(loaded) == {m.alias for m in LIGHT_METRICS}
+    for m in LIGHT_METRICS:
+        got = loaded[m.alias]
+        assert (got.type, got.numerator, got.denominator, got.display_name, got.group_name, got.tags) == (
+            m.type, m.numerator, m.denominator, m.display_name, m.group_name, m.tags)
