@@ -37,6 +37,12 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it (a plain
+    alias may be copied into a function that runs for each element of an array)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def words_of(c: Column) -> Column:
     """Words of a text, in order; null gives an empty array."""
     return F.array_remove(F.split(F.coalesce(c, F.lit("")), SPACE, -1), "")

@@ -15,7 +15,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, column, free_name, staged
+from .common import ascii_lower, column, free_name, let, staged
 
 SIZE = 10
 INLINE = 20_000
@@ -39,41 +39,69 @@ def test_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
     return each.groupBy("len", "words").agg(F.collect_set("item").alias("items")).select("len", F.xxhash64("words").alias("hash"), "words", "items")
 
 
-def _looked_up(words: str, lens: dict[int, list[int]], table: Column) -> Column:
+def _positions(words: Column, n: int) -> Column:
+    """Where windows of ``n`` words start, from 1."""
+    return F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.expr("cast(array() as array<int>)"))
+
+
+def _looked_up(words: Column, windows: DataFrame) -> Column:
     """Hits of a document: its window positions whose hash is in the set, with the test
     windows filed under that hash."""
-    found = []
-    for n, hashes in sorted(lens.items()):
-        inside = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.expr("cast(array() as array<int>)"))
-        at = F.filter(inside, lambda i: F.xxhash64(F.slice(words, i, F.lit(n))).isin(hashes))
-        filed = lambda i: F.filter(F.element_at(table, (F.pmod(F.xxhash64(F.slice(words, i, F.lit(n))), F.lit(BUCKETS)) + 1).cast("int")), lambda t: t["len"] == n)
-        found.append(F.flatten(F.transform(at, lambda i: F.transform(filed(i), lambda t: F.struct(i.alias("at"), t["len"].alias("len"), t["words"].alias("words"), t["items"].alias("items"))))))
-    return F.concat(*found) if found else F.expr(f"cast(array() as array<{HIT}>)")
-
-
-def _with_hits(docs: DataFrame, windows: DataFrame, text_col: str, words: str, hits: str, inline: int) -> DataFrame:
-    """``docs`` with its words and its hits, not verified yet."""
-    rows = docs.withColumn(words, normal_words(column(docs, text_col)))
-    if windows.count() <= inline:
-        lens: dict[int, list[int]] = {}
-        table: list[list[dict]] = [[] for _ in range(BUCKETS)]
-        for r in windows.collect():
-            lens.setdefault(r["len"], []).append(r["hash"])
-            table[r["hash"] % BUCKETS].append({"len": r["len"], "words": r["words"], "items": r["items"]})
-        literal = F.from_json(F.lit(json.dumps(table)), "array<array<struct<len:int,words:array<string>,items:array<string>>>>")
-        return rows.withColumn(hits, _looked_up(words, lens, literal))
-    # too many test windows for the plan: number the rows, join their window hashes
-    row = free_name(rows, "_row")
-    rows = staged(rows.withColumn(row, F.monotonically_increasing_id()), "decontam-rows")
+    lens: dict[int, list[int]] = {}
+    filed: list[list[dict]] = [[] for _ in range(BUCKETS)]
+    for r in windows.collect():
+        lens.setdefault(r["len"], []).append(r["hash"])
+        filed[r["hash"] % BUCKETS].append({"len": r["len"], "words": r["words"], "items": r["items"]})
+    table = F.from_json(F.lit(json.dumps(filed)), "array<array<struct<len:int,words:array<string>,items:array<string>>>>")
+
+    def hits(n: int, hashes: list[int]) -> Column:
+        hash_at = lambda i: F.xxhash64(F.slice(words, i, F.lit(n)))
+        at = F.filter(_positions(words, n), lambda i: hash_at(i).isin(hashes))
+        tests = lambda i: F.element_at(table, (F.pmod(hash_at(i), F.lit(BUCKETS)) + 1).cast("int"))
+        hit = lambda i, t: F.struct(i.alias("at"), t["len"].alias("len"), t["words"].alias("words"), t["items"].alias("items"))
+        return F.flatten(F.transform(at, lambda i: F.transform(F.filter(tests(i), lambda t: t["len"] == n), lambda t: hit(i, t))))
+
+    return F.concat(*[hits(n, hashes) for n, hashes in sorted(lens.items())]) if lens else F.expr(f"cast(array() as array<{HIT}>)")
+
+
+def _joined(docs: DataFrame, windows: DataFrame, text_col: str, hits: str) -> DataFrame:
+    """``docs`` with the same hits in column ``hits``, found by a join: for a benchmark that is
+    too large for the plan."""
+    row = free_name(docs, "_row")
+    rows = staged(docs.withColumn(row, F.monotonically_increasing_id()), "decontam-rows")
     lens = [r["len"] for r in windows.select("len").distinct().collect()]  # at most SIZE of them
-    every = F.concat(*[
-        F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i, n=n: F.struct(i.alias("at"), F.lit(n).alias("len"), F.xxhash64(F.slice(words, i, F.lit(n))).alias("hash")))).otherwise(F.expr("cast(array() as array<struct<at:int,len:int,hash:bigint>>)"))
-        for n in lens
-    ])
-    seen = rows.select(row, F.inline(every)).join(windows, ["len", "hash"])
+    marks = lambda w: F.concat(*[F.transform(_positions(w, n), lambda i, n=n: F.struct(i.alias("at"), F.lit(n).alias("len"), F.xxhash64(F.slice(w, i, F.lit(n))).alias("hash"))) for n in lens])
+    seen = rows.select(row, F.inline(let(normal_words(column(rows, text_col)), marks))).join(windows, ["len", "hash"])
     lists = seen.groupBy(row).agg(F.collect_list(F.struct("at", "len", "words", "items")).alias(hits))
-    joined = rows.join(lists, row, "left").withColumn(hits, F.coalesce(hits, F.expr(f"cast(array() as array<{HIT}>)")))
-    return joined.drop(row)
+    return rows.join(lists, row, "left").withColumn(hits, F.coalesce(hits, F.expr(f"cast(array() as array<{HIT}>)"))).drop(row)
+
+
+def _verdict(words: Column, hits: Column) -> Column:
+    """What find_contamination returns of one document."""
+
+    def covered(spans: Column) -> Column:
+        new = lambda a, x: F.greatest(F.lit(0), x["at"] + x["len"] - F.greatest(a["end"], x["at"]))
+        return F.aggregate(
+            spans,
+            F.struct(F.lit(0).alias("n"), F.lit(1).alias("end")),
+            lambda a, x: F.struct((a["n"] + new(a, x)).alias("n"), F.greatest(a["end"], x["at"] + x["len"]).alias("end")),
+            lambda a: a["n"].cast("bigint"),
+        )
+
+    def out(spans: Column) -> Column:
+        return F.struct(
+            F.size(words).cast("bigint").alias("n_words"),
+            covered(spans).alias("n_hit"),
+            F.array_sort(F.array_distinct(F.flatten(F.transform(spans, lambda x: x["items"])))).alias("hit_items"),
+            F.transform(spans, lambda x: F.struct(x["at"].alias("at"), x["len"].alias("len"))).alias("hit_spans"),
+            (F.size(spans) > 0).alias("contaminated"),
+        )
+
+    true = F.filter(hits, lambda x: F.slice(words, x["at"], x["len"]) == x["words"])
+    return let(F.array_sort(true), out)
+
+
+OUT = ("n_words", "n_hit", "hit_items", "hit_spans", "contaminated")
 
 
 def find_contamination(
@@ -85,23 +113,22 @@ def find_contamination(
     of these names are replaced.  Null and wordless texts have no words and no hits; an
     empty benchmark hits nothing; equal items count by their id; equal rows stay."""
     windows = staged(test_windows(benchmark, item_col, item_text_col, size), "decontam-windows")
-    words, hits, spans = free_name(docs, "_words"), free_name(docs, "_hits"), free_name(docs, "_spans")
-    rows = _with_hits(docs, windows, text_col, words, hits, inline)
-    rows = rows.withColumn(spans, F.array_sort(F.filter(hits, lambda x: F.slice(words, x["at"], x["len"]) == x["words"])))
-    covered = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("n"), F.lit(1).alias("end")),
-        lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["at"] + x["len"] - F.greatest(a["end"], x["at"]))).alias("n"), F.greatest(a["end"], x["at"] + x["len"]).alias("end")),
-        lambda a: a["n"].cast("bigint"),
-    )
-    out = {
-        "n_words": F.size(words).cast("bigint"),
-        "n_hit": covered,
-        "hit_items": F.array_sort(F.array_distinct(F.flatten(F.transform(spans, lambda x: x["items"])))),
-        "hit_spans": F.transform(spans, lambda x: F.struct(x["at"].alias("at"), x["len"].alias("len"))),
-        "contaminated": F.size(spans) > 0,
-    }
-    return rows.withColumns(out).drop(words, hits, spans)
+    # inline() makes one row of one verdict: it is computed once, whatever is done with it
+    if windows.count() <= inline:
+        verdict = let(normal_words(column(docs, text_col)), lambda w: let(_looked_up(w, windows), lambda h: _verdict(w, h)))
+        return _replaced(docs, F.inline(F.array(verdict)))
+    hits = free_name(docs, "_hits")
+    rows = _joined(docs, windows, text_col, hits)
+    verdict = let(normal_words(column(rows, text_col)), lambda w: _verdict(w, F.col(hits)))
+    return _replaced(rows, F.inline(F.array(verdict))).drop(hits)
+
+
+def _replaced(rows: DataFrame, made: Column) -> DataFrame:
+    text = [F.col(f"`{c}`") for c in rows.columns if c.lower() not in OUT]
+    if len(text) == len(rows.columns):
+        return rows.select("*", made)
+    held = rows.withColumnsRenamed({c: f"{c} (given)" for c in rows.columns if c.lower() in OUT})
+    return held.select("*", made).drop(*[c for c in held.columns if c.endswith(" (given)")])
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **how) -> DataFrame:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, SPACE, column, free_name, staged, words_of
+from .common import NOT_SPACE, SPACE, column, let, staged, words_of
 
 WINDOW = 5
 SYMBOLS = r"[#*$%&|<>]"
@@ -64,23 +64,50 @@ def frequent_lines(docs: DataFrame, host_col: str, text_col: str, limits: LineLi
     return above.groupBy("host").agg(F.collect_set("line").alias("lines"))
 
 
-def _repeat_words(rows: DataFrame, words: str, out: str) -> DataFrame:
-    """``rows`` with the number of words in windows of five that come twice or more."""
-    hashes, order, twice = (free_name(rows, f"{out}_{k}") for k in "hot")
+def repeat_words(words: Column) -> Column:
+    """Number of words in windows of five that come twice or more in ``words``."""
     none = F.expr("cast(array() as array<bigint>)")
-    window = lambda i: F.xxhash64(F.slice(words, i, F.lit(WINDOW)))
-    rows = rows.withColumn(hashes, F.when(F.size(words) >= WINDOW, F.transform(F.sequence(F.lit(1), F.size(words) - WINDOW + 1), window)).otherwise(none))
-    # most texts repeat no window: only the others sort theirs
-    rows = rows.withColumn(order, F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), F.sort_array(F.transform(hashes, lambda h, k: F.struct(h.alias("h"), k.alias("k"))))))
-    like = lambda x, k: F.coalesce(x["h"] == F.get(order, k)["h"], F.lit(False))
-    rows = rows.withColumn(twice, F.sort_array(F.transform(F.filter(order, lambda x, k: like(x, k - 1) | like(x, k + 1)), lambda x: x["k"])))
-    covered = F.aggregate(
-        twice,
-        F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
-        lambda a, k: F.struct((a["n"] + k + WINDOW - F.greatest(a["end"], k)).alias("n"), (k + WINDOW).alias("end")),
-        lambda a: a["n"],
-    )
-    return rows.withColumn(out, F.coalesce(covered, F.lit(0)).cast("bigint")).drop(hashes, order, twice)
+    hashes = F.when(F.size(words) >= WINDOW, F.transform(F.sequence(F.lit(1), F.size(words) - WINDOW + 1), lambda i: F.xxhash64(F.slice(words, i, F.lit(WINDOW))))).otherwise(none)
+
+    def places(order: Column) -> Column:
+        like = lambda x, k: F.coalesce(x["h"] == F.get(order, k)["h"], F.lit(False))
+        return F.sort_array(F.transform(F.filter(order, lambda x, k: like(x, k - 1) | like(x, k + 1)), lambda x: x["k"]))
+
+    def covered(twice: Column) -> Column:
+        return F.aggregate(
+            twice,
+            F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
+            lambda a, k: F.struct((a["n"] + k + WINDOW - F.greatest(a["end"], k)).alias("n"), (k + WINDOW).alias("end")),
+            lambda a: a["n"],
+        )
+
+    def count(h: Column) -> Column:
+        # most texts repeat no window: only the others sort theirs
+        order = F.sort_array(F.transform(h, lambda x, k: F.struct(x.alias("h"), k.alias("k"))))
+        return F.when(F.size(F.array_distinct(h)) < F.size(h), covered(let(order, places))).otherwise(F.lit(0))
+
+    return let(hashes, count).cast("bigint")
+
+
+def _profile(text: Column, limits: LineLimits) -> Column:
+    """What the text alone says, and its line marks."""
+
+    def of_words(words: Column) -> Column:
+        return F.struct(F.size(words).cast("bigint").alias("n_words"), F.length(F.array_join(words, "")).cast("bigint").alias("word_chars"), repeat_words(words).alias("n_repeat_words"))
+
+    full = F.filter(_split_lines(text), lambda x: x.rlike(NOT_SPACE))
+    return let(words_of(text), lambda words: let(of_words(words), lambda w: F.struct(
+        w["n_words"].alias("n_words"),
+        w["word_chars"].alias("word_chars"),
+        F.regexp_count(text, F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"),
+        let(full, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
+        w["n_repeat_words"].alias("n_repeat_words"),
+        ((w["n_words"] < 10) | (100 * w["n_repeat_words"] > 20 * w["n_words"])).alias("base_failed"),
+        line_marks(text, limits).alias("_marks"),
+    )))
+
+
+OUT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_line_words", "removed_lines", "kept")
 
 
 def judge(docs: DataFrame, host_col: str = "source", text_col: str = "text", limits: LineLimits = LineLimits()) -> DataFrame:
@@ -93,34 +120,28 @@ def judge(docs: DataFrame, host_col: str = "source", text_col: str = "text", lim
     Null text has no words and fails; rows without a host form one host; equal rows are
     judged alike; an empty table stays empty."""
     frequent = staged(frequent_lines(docs, host_col, text_col, limits), "quality-lines")
-    words, marks, key, lines = (free_name(docs, x) for x in ("_words", "_marks", "_host", "_lines"))
+    row, key, lines = "_row", "_host", "_lines"
     text = F.coalesce(column(docs, text_col), F.lit(""))
-    full = F.filter(_split_lines(text), lambda x: x.rlike(NOT_SPACE))
-    rows = docs.withColumns({words: words_of(text), marks: line_marks(text, limits), key: _host_key(column(docs, host_col))})
-    rows = rows.withColumns({
-        "n_words": F.size(words).cast("bigint"),
-        "word_chars": F.length(F.array_join(words, "")).cast("bigint"),
-        "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("bigint"),
-        "n_dup_lines": F.aggregate(F.array(full), F.lit(0), lambda a, x: a + F.size(x) - F.size(F.array_distinct(x))).cast("bigint"),
-    })
-    rows = _repeat_words(rows, words, "n_repeat_words").drop(words)
-    rows = rows.join(frequent.select(F.col("host").alias(key + "_f"), F.col("lines").alias(lines)), F.col(key) == F.col(key + "_f"), "left")
-    gone = F.filter(marks, lambda x: F.array_contains(lines, x["hash"]))
+    given = F.struct(*[column(docs, c).alias(c) for c in docs.columns if c.lower() not in OUT])
+    # inline() makes one row of one profile: it is computed once, whatever is done with it
+    rows = docs.select(given.alias(row), _host_key(column(docs, host_col)).alias(key), F.inline(F.array(_profile(text, limits))))
+    rows = rows.join(frequent.select(F.col("host").alias("_frequent_host"), F.col("lines").alias(lines)), F.col(key) == F.col("_frequent_host"), "left")
+    gone = F.when(F.col(lines).isNull(), F.filter("_marks", lambda x: F.lit(False))).otherwise(F.filter("_marks", lambda x: F.array_contains(lines, x["hash"])))
     rows = rows.withColumns({
-        "base_failed": (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")),
-        "n_line_words": F.when(F.col(lines).isNull(), F.lit(0)).otherwise(F.aggregate(gone, F.lit(0), lambda a, x: a + x["n"])).cast("bigint"),
-        "removed_lines": F.when(F.col(lines).isNull(), F.expr("cast(array() as array<bigint>)")).otherwise(F.array_distinct(F.transform(gone, lambda x: x["hash"]))),
+        "n_line_words": F.aggregate(gone, F.lit(0), lambda a, x: a + x["n"]).cast("bigint"),
+        "removed_lines": F.array_distinct(F.transform(gone, lambda x: x["hash"])),
     })
     left = F.col("n_words") - F.col("n_line_words")
     depleted = (left < limits.words_left) | (F.col("n_line_words") > limits.lost * F.col("n_words"))
-    return rows.withColumn("kept", ~F.col("base_failed") & ~depleted).drop(marks, key, key + "_f", lines)
+    rows = rows.withColumn("kept", ~F.col("base_failed") & ~depleted)
+    return rows.select(*[F.col(row)[c].alias(c) for c in docs.columns if c.lower() not in OUT], *OUT)
 
 
 def clean(docs: DataFrame, host_col: str = "source", text_col: str = "text", limits: LineLimits = LineLimits()) -> DataFrame:
     """The documents that pass, without their removed lines; all columns are kept."""
-    mine, host, row, lines = (free_name(docs, x) for x in ("_text", "_from", "_row", "_left"))
-    narrow = docs.select(column(docs, text_col).alias(mine), column(docs, host_col).alias(host), F.struct(*[column(docs, c).alias(c) for c in docs.columns]).alias(row))
-    judged = judge(narrow, host, mine, limits).where("kept")
-    stay = F.filter(_split_lines(F.col(mine)), lambda x: ~(F.array_contains("removed_lines", F.xxhash64(normal_line(x))) & (F.size(words_of(x)) <= limits.longest)))
-    judged = judged.withColumn(lines, F.when(F.size("removed_lines") > 0, F.array_join(stay, "\n")).otherwise(F.col(mine)))
-    return judged.select(*[F.col(lines).alias(c) if c == text_col else F.col(row)[c].alias(c) for c in docs.columns])
+    narrow = docs.select(column(docs, text_col).alias("_text"), column(docs, host_col).alias("_from"), F.struct(*[column(docs, c).alias(c) for c in docs.columns]).alias("_all"))
+    judged = judge(narrow, "_from", "_text", limits).where("kept")
+    dropped = lambda x, gone: F.array_contains(gone, F.xxhash64(normal_line(x))) & (F.size(words_of(x)) <= limits.longest)
+    without = let(F.col("removed_lines"), lambda gone: F.array_join(F.filter(_split_lines(F.col("_text")), lambda x: ~dropped(x, gone)), "\n"))
+    text = F.when(F.size("removed_lines") > 0, without).otherwise(F.col("_text"))
+    return judged.select(*[text.alias(c) if c == text_col else F.col("_all")[c].alias(c) for c in docs.columns])
