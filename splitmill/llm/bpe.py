@@ -22,7 +22,7 @@ from ..session import ensure_worker_path
 from .common import column
 
 NONE = 1 << 62
-CACHE = 600_000  # parts and pieces that a worker remembers, of LONG characters at most
+CACHE = 150_000  # parts and pieces that a worker remembers, of LONG characters at most
 LONG = 40
 
 
@@ -99,22 +99,22 @@ class Encoder:
         self.find = regex.compile(pattern).findall
         self.cut = re.compile(r" (?<=\S )(?=\S)").split
         self.parts: dict[str, bytes] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def fresh(self, part: str) -> bytes:
         """Ids of a part that is not remembered."""
-        ids: list[int] = []
+        ids = b""
         pieces = self.pieces
         for match in self.find(part):
             got = pieces.get(match)
             if got is None:
-                got = merge_piece(match.encode("utf-8", "surrogatepass"), self.ranks)
+                got = array("i", merge_piece(match.encode("utf-8", "surrogatepass"), self.ranks)).tobytes()
                 if len(match) <= LONG:
                     if len(pieces) >= CACHE:
                         pieces.clear()
                     pieces[match] = got
             ids += got
-        return array("i", ids).tobytes()
+        return ids
 
     def inner(self, part: str) -> bytes:
         """Ids of a part after a cut, which starts with its space."""
@@ -157,10 +157,11 @@ def vocabulary(rank_path: str) -> list[bytes]:
 def _encoder_udf(rank_path: str, pattern: str) -> Callable:
     def encode(texts: pa.Array) -> pa.Array:
         work = encoder(rank_path, pattern)
-        parts = [work.encode(t or "") for t in texts.to_pylist()]
-        ends = np.cumsum([0, *[len(p) // 4 for p in parts]], dtype=np.int64)
-        values = pa.array(np.frombuffer(b"".join(parts), dtype=np.int32))
-        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)
+        ids, ends = bytearray(), [0]
+        for t in texts:  # one text at a time: a batch's ids are large
+            ids += work.encode(t.as_py() or "")
+            ends.append(len(ids) // 4)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, dtype=np.int32)))
 
     return F.arrow_udf(encode, T.ArrayType(T.IntegerType()))
 
@@ -168,7 +169,10 @@ def _encoder_udf(rank_path: str, pattern: str) -> Callable:
 def _decoder_udf(rank_path: str) -> Callable:
     def decode(ids: pa.Array) -> pa.Array:
         table = vocabulary(rank_path)
-        return pa.array([b"".join([table[k] for k in row]) if row is not None else None for row in ids.to_pylist()], pa.binary())
+        values, get = ids.values.to_numpy(), table.__getitem__
+        ends, known = ids.offsets.to_pylist(), ids.is_valid().to_pylist()
+        rows = (b"".join(map(get, values[a:b].tolist())) if ok else None for a, b, ok in zip(ends, ends[1:], known))
+        return pa.array(rows, pa.binary())
 
     return F.arrow_udf(decode, T.BinaryType())
 
