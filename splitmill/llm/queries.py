@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, quality, records, secrets, sharding, simhash, substring, urls
+from . import bpe, chat, decontam, oracle_sql, quality, records, secrets, sharding, simhash, substring, urls
 from .common import shared_folder
 
 URL_RULES = [("net/", True), ("example.net/en/", False), ("example.com/de/", True), ("org/fr/", False)]
@@ -122,4 +122,9 @@ QUERIES = {
     "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_url_filters": oracle_sql.url_filters(URL_RULES),
+    "op3_substring_dedup": oracle_sql.SUBSTRING,
+    "op9_chat": oracle_sql.chat(OWN_CONVERSATION),
+    "op10_decontaminate": oracle_sql.DECONTAMINATE,
+}
