@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MAX_TEXT = 2000
-TRUNCATION_MARK = "... [truncated]"
+TRUNCATION_MARK = " …[truncated]"  # fixed value
 
 
 def truncate(c: Column, limit: int = MAX_TEXT, mark: str = TRUNCATION_MARK) -> Column:
@@ -15,8 +15,8 @@ def truncate(c: Column, limit: int = MAX_TEXT, mark: str = TRUNCATION_MARK) -> C
 
 
 def split_lines(c: Column) -> Column:
-    """Lines of a text, trimmed, blanks dropped (F-19): one filter per line."""
-    return F.filter(F.transform(F.split(c, "\\r?\\n"), lambda x: F.trim(x)), lambda x: x != "")
+    """Lines of a text, stripped of white space (tabs too), blanks dropped (F-19): one filter per line."""
+    return F.filter(F.transform(F.split(c, "\\r?\\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
 
 
 def days_between(start: Column, end: Column) -> Column:

@@ -139,7 +139,10 @@ def with_event_row_number(
     offsets = offsets.where(F.col("__offset") > 0)  # a key's first bucket needs no shift
     local = Window.partitionBy(*keys, "__bucket").orderBy(*order)
     numbered = rows.withColumn("__local", F.row_number().over(local))
-    out = numbered.join(offsets, on=keys + ["__bucket"], how="left")
+    # null-safe: events without a name are numbered together, as the window does
+    offsets = offsets.withColumnsRenamed({k: f"__o_{k}" for k in [*keys, "__bucket"]})
+    same = [F.col(k).eqNullSafe(F.col(f"__o_{k}")) for k in [*keys, "__bucket"]]
+    out = numbered.join(offsets, on=same, how="left")
     return out.withColumn("event_row_number", (F.col("__local") + F.coalesce(F.col("__offset"), F.lit(0))).cast("int")).drop(
-        "__bucket", "__local", "__offset"
+        "__bucket", "__local", "__offset", *[f"__o_{k}" for k in [*keys, "__bucket"]]
     )

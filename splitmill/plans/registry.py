@@ -39,10 +39,8 @@ TEST_DEC_COLS = ["statistic", "p_value"]
 LW = TD.LIGHT_WINDOWS
 HW = TD.HEAVY_WINDOWS
 
-# metrics whose unit values have zero variance on the test data (statistic NaN):
-# tested in pytest, kept out of the value-compared significance queries
-DEGENERATE = ["distinct_event_types"]
-SIG_METRICS_LIGHT = [m for m in LIGHT_METRICS if m.alias not in DEGENERATE]
+# all metrics, also one whose unit values have no variance on the test data (statistic NaN)
+SIG_METRICS_LIGHT = LIGHT_METRICS
 
 # ----------------------------------------------------------------- settings
 
@@ -792,15 +790,18 @@ def q_topk_dedup(spark, d):
     return R.significant_digits(SIM.dedupe_across_queries(_topk(spark, d)), 8, ["distance"])
 
 
-# S-16 on the document table (source path skip list + length cap on whole texts)
+# S-16 on the document table, under paths of which some are in skipped folders
+_CORPUS_PATH = "concat(source, CASE lang WHEN 'de' THEN '/.uv/' WHEN 'fr' THEN '/build/' WHEN 'es' THEN '/rebuild/' ELSE '/' END, CAST(doc_id AS STRING))"
+
+
 @register(
     "q_corpus_filter",
-    "SELECT doc_id, lang, source, length(text) AS n_text FROM documents WHERE length(text) <= 100000 AND NOT regexp_matches(source, "
-    + "'" + r"(^|/)(\.git|__pycache__|\.venv|venv|node_modules|\.pytest_cache|\.mypy_cache|\.ruff_cache|dist|build)(/|$)" + "')",
+    f"SELECT doc_id, lang, source, length(text) AS n_text FROM documents WHERE len(list_intersect(string_split({_CORPUS_PATH.replace('STRING', 'VARCHAR')}, '/'), "
+    "['.git', '__pycache__', '.venv', 'venv', '.env', '.uv', '.streamlit', 'node_modules', '.pytest_cache', 'dist', 'build'])) = 0",
 )
 def q_corpus_filter(spark, d):
-    docs = TD.table(spark, d, "documents")
-    return C.indexable(docs, path_col="source").select("doc_id", "lang", "source", F.length("text").cast("long").alias("n_text"))
+    docs = TD.table(spark, d, "documents").withColumn("path", F.expr(_CORPUS_PATH))
+    return C.indexable(docs).select("doc_id", "lang", "source", F.length("text").cast("long").alias("n_text"))
 
 
 # K-5 export form of the light significance table
@@ -880,31 +881,20 @@ def q_group_shares(spark, d):
     return R.significant_digits(out, 10, ["share", "expected_share"])
 
 
-# F-19: non-blank trimmed lines of every conversation turn (whole texts)
+# F-19: non-blank trimmed lines of every conversation turn (whole texts), with a
+# tab-only line and a line between tabs added to each
 @register(
     "q_text_lines",
-    "SELECT conv_id, turn, CAST(len(list_filter(list_transform(regexp_split_to_array(text, '\\r?\\n'), lambda x: trim(x)), lambda x: x <> '')) AS INTEGER) AS n_lines "
-    "FROM conversations",
+    "SELECT conv_id, turn, CAST(len(list_filter(list_transform(regexp_split_to_array(text || chr(10) || chr(9) || chr(10) || ' ' || chr(9) || 'end' || chr(9), '\\r?\\n'), "
+    "lambda x: trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13))), lambda x: x <> '')) AS INTEGER) AS n_lines FROM conversations",
 )
 def q_text_lines(spark, d):
     from ..functions.text import split_lines
 
-    conv = TD.table(spark, d, "conversations")
+    conv = TD.table(spark, d, "conversations").withColumn("text", F.concat("text", F.lit("\n\t\n \tend\t")))
     return conv.select("conv_id", "turn", F.size(split_lines(F.col("text"))).alias("n_lines"))
 
 
-# F-12: texts cut to 2 000 characters plus a marker (whole documents read)
-@register(
-    "q_text_truncate",
-    "SELECT doc_id, CASE WHEN length(text) > 2000 THEN substring(text, 1, 2000) || '... [truncated]' ELSE text END AS text_short FROM documents",
-)
-def q_text_truncate(spark, d):
-    from ..functions.text import truncate
-
-    docs = TD.table(spark, d, "documents")
-    return docs.select("doc_id", truncate(F.col("text")).alias("text_short"))
-
-
 # O-5: preview rows (the limit is the feature; which rows is engine-defined: rows-only)
 @register("q_sample_rows")
 def q_sample_rows(spark, d):

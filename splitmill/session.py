@@ -7,6 +7,7 @@ The library never builds its own cluster session: callers pass a ``SparkSession`
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -18,6 +19,8 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # a hot unit's join partition is split even if the unit aggregate then needs a shuffle
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 # Context-level: checkpoint files are removed once their DataFrame is garbage collected.
@@ -51,14 +54,19 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the configured checkpoint folder; only when none is configured (tests on
-    one machine) create a scratch folder for it.  The folder is set on the
-    SparkContext (``spark.checkpoint.dir`` itself cannot change at run time)."""
+    """Use the configured checkpoint folder.  Only a session on one machine (``local``)
+    that has none gets a scratch folder; on a cluster that is an error, as no other
+    machine could read it.  The folder is set on the SparkContext
+    (``spark.checkpoint.dir`` itself cannot change at run time)."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    value = checkpoint_dir(spark) or tempfile.mkdtemp(prefix="splitmill-ckpt-")
+    value = checkpoint_dir(spark)
+    if not value:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        value = tempfile.mkdtemp(prefix="splitmill-ckpt-")
     sc.setCheckpointDir(value)
     return sc.getCheckpointDir() or value
 

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_INDEXED_CHARS = 100_000
 # Folders never indexed.
-SKIP_DIRS = [".git", "__pycache__", ".venv", "venv", "node_modules", ".pytest_cache", ".mypy_cache", ".ruff_cache", "dist", "build"]
+SKIP_DIRS = ["__pycache__", ".git", ".pytest_cache", "node_modules", ".venv", "venv", ".env", "dist", "build", ".uv", ".streamlit"]
 
 
 def read_files(spark: SparkSession, root: str, extensions: list[str]) -> DataFrame:
@@ -18,11 +17,14 @@ def read_files(spark: SparkSession, root: str, extensions: list[str]) -> DataFra
 
 
 def indexable(df: DataFrame, path_col: str = "path", length_col: str | None = None, text_col: str = "text",
-              max_chars: int = MAX_INDEXED_CHARS) -> DataFrame:
-    """Drop files under a skipped folder and texts longer than ``max_chars``."""
+              max_chars: int | None = None) -> DataFrame:
+    """Drop files under a skipped folder; with ``max_chars`` also longer texts (no limit by default)."""
     skip = "(^|/)(" + "|".join(d.replace(".", r"\.") for d in SKIP_DIRS) + ")(/|$)"
+    kept = df.where(~F.col(path_col).rlike(skip))
+    if max_chars is None:
+        return kept
     n = F.col(length_col) if length_col else F.length(text_col)
-    return df.where(~F.col(path_col).rlike(skip) & (n <= max_chars))
+    return kept.where(n <= max_chars)
 
 
 def metric_documents(catalog: DataFrame) -> DataFrame:

@@ -59,7 +59,7 @@ def read_precompute(spark: SparkSession, path: str, job_id: int) -> DataFrame:
 
 
 def truncate_text(c, limit: int = MAX_ERROR_CHARS):
-    """Long error texts are cut to ``limit`` characters plus a marker (F-12)."""
+    """Long texts for a log line, cut to ``limit`` characters plus a marker (F-12)."""
     return truncate(c, limit)
 
 
@@ -69,8 +69,7 @@ def job_event(spark: SparkSession, job_id: int, status: str, seq: int, observati
         raise ValueError(f"status must be one of {JOB_STATUSES}")
     now = datetime.now(timezone.utc).replace(tzinfo=None)
     row = [(int(job_id), observation_id, status, query, error_message, extra, now, int(seq))]
-    df = spark.createDataFrame(row, JOB_LOG_SCHEMA)
-    return df.withColumn("error_message", truncate_text(F.col("error_message")))
+    return spark.createDataFrame(row, JOB_LOG_SCHEMA)  # the stored error text is whole
 
 
 def current_jobs(job_log: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from .test_tables_similarity import EXP_SCHEMA, experiments  # noqa: F401
 
 
 def test_text_helpers(spark):
-    df = spark.createDataFrame([("x" * 2500, " a = 1 \n\n  b IN (2)\r\n ", '["a","b"]', '{"k":"v"}', dt(2024, 1, 3, 5), dt(2024, 1, 10))],
+    df = spark.createDataFrame([("x" * 2500, " a = 1 \n\n \tb IN (2)\t\r\n\t\n ", '["a","b"]', '{"k":"v"}', dt(2024, 1, 3, 5), dt(2024, 1, 10))],
                                "t string, f string, jl string, jm string, s timestamp, e timestamp")
     r = df.select(
         F.length(TX.truncate(F.col("t"))).alias("n"), TX.split_lines(F.col("f")).alias("lines"),
@@ -76,7 +76,8 @@ def test_read_files_and_index_filter(spark, tmp_path):
     got = {r.path.rsplit("/", 1)[-1]: r.text for r in corpus.indexable(files).collect()}
     assert got == {"a.md": "# Title\nline two\n", "b.py": "print(1)\n"}
     long = spark.createDataFrame([("x/y.md", "a" * 100_001), ("x/z.md", "ok")], "path string, text string")
-    assert [r.path for r in corpus.indexable(long).collect()] == ["x/z.md"]
+    assert [r.path for r in corpus.indexable(long, max_chars=100_000).collect()] == ["x/z.md"]
+    assert corpus.indexable(long).count() == 2
 
 
 def test_report_splits(spark):

@@ -231,3 +231,34 @@ def test_observation_metric_selection(spark):
     assert {r.metric_name for r in pre.select("metric_name").distinct().collect()} == want
     pre2 = RG.light_precompute(spark, d, metric_groups=("quality",))
     assert {r.metric_name for r in pre2.select("metric_name").distinct().collect()} == {"error_share"}
+
+
+def test_row_numbers_of_nameless_events(spark):
+    from splitmill.operators.exposure import with_event_row_number
+
+    at = [dt(2024, 1, d) for d in (1, 8, 20)]
+    rows = spark.createDataFrame([(1, None, t) for t in at], "user_id long, event_name string, event_timestamp timestamp_ntz")
+    for strategy in ("bucketed", "window"):
+        got = with_event_row_number(rows, "user_id", strategy=strategy).orderBy("event_timestamp").collect()
+        assert [r.event_row_number for r in got] == [1, 2, 3]
+
+
+def test_a_hot_unit_is_split_before_the_unit_aggregate(spark):
+    from pyspark.sql import functions as F
+
+    conf = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    }
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        events = spark.range(0, 200_000, 1, 8).select(F.when(F.col("id") % 2 == 0, 1).otherwise(F.col("id") % 1000).alias("user_id"), F.rand(1).alias("v"))
+        units = spark.range(1000).select(F.col("id").alias("user_id"), F.lit("a").alias("group_name"))
+        out = events.join(units, "user_id").groupBy("user_id", "group_name").agg(F.sum("v"))
+        out.collect()
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
