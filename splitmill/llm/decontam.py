@@ -69,8 +69,14 @@ def _joined(docs: DataFrame, windows: DataFrame, text_col: str, hits: str) -> Da
     too large for the plan."""
     row = free_name(docs, "_row")
     rows = staged(docs.withColumn(row, F.monotonically_increasing_id()), "decontam-rows")
-    lens = [r["len"] for r in windows.select("len").distinct().collect()]  # at most SIZE of them
-    marks = lambda w: F.concat(*[F.transform(_positions(w, n), lambda i, n=n: F.struct(i.alias("at"), F.lit(n).alias("len"), F.xxhash64(F.slice(w, i, F.lit(n))).alias("hash"))) for n in lens])
+    lens = sorted(r["len"] for r in windows.select("len").distinct().collect())  # at most SIZE of them
+
+    def mark(w: Column, n: int) -> Column:
+        return F.transform(_positions(w, n), lambda i: F.struct(i.alias("at"), F.lit(n).alias("len"), F.xxhash64(F.slice(w, i, F.lit(n))).alias("hash")))
+
+    def marks(w: Column) -> Column:
+        return F.concat(*[mark(w, n) for n in lens])
+
     seen = rows.select(row, F.inline(let(normal_words(column(rows, text_col)), marks))).join(windows, ["len", "hash"])
     lists = seen.groupBy(row).agg(F.collect_list(F.struct("at", "len", "words", "items")).alias(hits))
     return rows.join(lists, row, "left").withColumn(hits, F.coalesce(hits, F.expr(f"cast(array() as array<{HIT}>)"))).drop(row)
