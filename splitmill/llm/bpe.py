@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import base64
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,9 @@ from .common import column
 NONE = 1 << 62
 CACHE = 150_000  # parts and pieces that a worker remembers, of LONG characters at most
 LONG = 40
+CHUNK = 1_000_000  # characters of the texts that are encoded together
+SIDE_BY_SIDE = 62  # bytes of a piece whose tree is a row of an array
+CELLS = 1 << 19  # leaves of the trees that take steps together
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -84,11 +87,107 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
+class PairTable:
+    """Ids of merged pairs: (left id, right id) to the id of both together, else ``none``.
+    An open-addressing hash table in arrays, asked for many pairs at once."""
+
+    def __init__(self, ranks: dict[bytes, int], none: int):
+        self.width = max(ranks.values(), default=-1) + 2  # the last id stands for "no symbol"
+        found = {}
+        for token, k in ranks.items():
+            for cut in range(1, len(token)):
+                left = ranks.get(token[:cut])
+                right = None if left is None else ranks.get(token[cut:])
+                if right is not None:
+                    found[left * self.width + right] = k
+        self.bits = max(4, (4 * len(found)).bit_length())
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.ids = np.full(1 << self.bits, none, np.int64)
+        self.none = none
+        todo, ids = np.fromiter(found, np.int64, len(found)), np.fromiter(found.values(), np.int64, len(found))
+        at = self._slot(todo)
+        while len(todo):
+            free = self.keys[at] == -1
+            self.keys[at[free]], self.ids[at[free]] = todo[free], ids[free]  # of several, the last one stays
+            left = self.keys[at] != todo
+            todo, ids, at = todo[left], ids[left], (at[left] + 1) & (len(self.keys) - 1)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left * self.width + right
+        at = self._slot(key)
+        there = self.keys[at]
+        out = self.ids[at]
+        open_ = np.flatnonzero((there != key) & (there != -1))
+        out[there != key] = self.none
+        while len(open_):
+            at[open_] = (at[open_] + 1) & (len(self.keys) - 1)
+            there = self.keys[at[open_]]
+            hit = there == key[open_]
+            out[open_[hit]] = self.ids[at[open_[hit]]]
+            open_ = open_[~hit & (there != -1)]
+        return out
+
+
+def merge_rows(pieces: list[bytes], size: int, byte_ids: np.ndarray, pairs: PairTable) -> list[bytes]:
+    """Ids (as 32-bit integers) of pieces of at most ``size - 2`` bytes.  Row r, place p of
+    the arrays is byte p - 1 of piece r; the places around a piece hold no symbol."""
+    rows, shift = len(pieces), size.bit_length() - 1
+    n = np.fromiter(map(len, pieces), np.int64, rows)
+    row = np.repeat(np.arange(rows), n)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + 1
+    sym = np.full(rows * size, pairs.width - 1, np.int64)
+    sym[row * size + place] = byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]
+    live = np.zeros(rows * size, bool)
+    live[row * size + place] = True
+    after = np.tile(np.arange(1, size + 1), rows)
+    before = np.tile(np.arange(-1, size - 1), rows)
+
+    def keyed(merged, p):
+        return np.where(merged == NONE, NONE, (merged << shift) + p)
+
+    tree = np.full((rows, 2 * size), NONE, np.int64)
+    grid = sym.reshape(rows, size)
+    merged = pairs(grid[:, :-1].ravel(), grid[:, 1:].ravel()).reshape(rows, size - 1)
+    tree[:, size:-1] = keyed(merged, np.arange(size - 1))
+    width = size
+    while width > 1:
+        width //= 2
+        tree[:, width : 2 * width] = np.minimum(tree[:, 2 * width : 4 * width : 2], tree[:, 2 * width + 1 : 4 * width : 2])
+    tree = tree.ravel()
+    at = np.arange(rows)
+    while True:
+        best = tree[at * (2 * size) + 1]
+        more = best != NONE
+        at, best = at[more], best[more]
+        if not len(at):
+            break
+        base, root = at * size, at * (2 * size)
+        i, merged = best & (size - 1), best >> shift
+        j = after[base + i]
+        end, h = after[base + j], before[base + i]
+        sym[base + i], after[base + i], before[base + end] = merged, end, i
+        live[base + j] = False
+        new = pairs(np.concatenate((merged, sym[base + h])), np.concatenate((sym[base + end], merged)))
+        leaf = np.concatenate((j, i, h)) + size
+        root = np.concatenate((root, root, root))
+        tree[root + leaf] = np.concatenate((np.full(len(at), NONE), keyed(new, np.concatenate((i, h)))))
+        for _ in range(shift):
+            two = root + (leaf & ~1)
+            leaf >>= 1
+            tree[root + leaf] = np.minimum(tree[two], tree[two + 1])
+    ids = sym[live].astype(np.int32).tobytes()
+    ends = (4 * np.cumsum(live.reshape(rows, size).sum(axis=1))).tolist()
+    return [ids[a:b] for a, b in zip([0, *ends], ends)]
+
+
 class Encoder:
     """Texts to ids.  A text is cut at every single space between two characters that are
     not white space, where the pattern can't match across; the space belongs to what
     follows.  These parts and their pieces repeat, so a worker remembers their ids (the
-    memories are emptied when full)."""
+    memories are emptied when full).  New pieces of several texts are merged together."""
 
     def __init__(self, rank_path: str, pattern: str):
         import re
@@ -96,40 +195,63 @@ class Encoder:
         import regex
 
         self.ranks = load_ranks(rank_path)
+        self.pairs = PairTable(self.ranks, NONE)
+        self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         self.find = regex.compile(pattern).findall
         self.cut = re.compile(r" (?<=\S )(?=\S)").split
         self.parts: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
-    def fresh(self, part: str) -> bytes:
-        """Ids of a part that is not remembered."""
-        ids = b""
-        pieces = self.pieces
-        for match in self.find(part):
-            got = pieces.get(match)
-            if got is None:
-                got = array("i", merge_piece(match.encode("utf-8", "surrogatepass"), self.ranks)).tobytes()
-                if len(match) <= LONG:
-                    if len(pieces) >= CACHE:
-                        pieces.clear()
-                    pieces[match] = got
-            ids += got
-        return ids
-
-    def inner(self, part: str) -> bytes:
-        """Ids of a part after a cut, which starts with its space."""
-        out = self.fresh(" " + part)
-        if len(part) <= LONG:
-            if len(self.parts) >= CACHE:
-                self.parts.clear()
-            self.parts[part] = out
+    def merge_new(self, pieces: list[str]) -> None:
+        """Learns the ids of pieces that are not remembered."""
+        ranks, known, sizes = self.ranks, self.pieces, {}
+        for piece in pieces:
+            raw = piece.encode()
+            whole = ranks.get(raw)
+            if whole is not None:
+                known[piece] = whole.to_bytes(4, "little")
+            elif len(raw) > SIDE_BY_SIDE:
+                known[piece] = array("i", merge_piece(raw, ranks)).tobytes()
+            else:
+                sizes.setdefault(1 << (len(raw) + 1).bit_length(), []).append((piece, raw))
+        for size, group in sizes.items():
+            step = CELLS // size
+            for k in range(0, len(group), step):
+                names, raws = zip(*group[k : k + step])
+                known.update(zip(names, merge_rows(raws, size, self.byte_ids, self.pairs)))
+
+    def chunk(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as 32-bit integers; the texts share their new parts."""
+        if len(self.parts) >= CACHE:
+            self.parts.clear()
+        if len(self.pieces) >= CACHE:
+            self.pieces.clear()
+        cut = [self.cut(t) for t in texts]
+        heads = [self.find(c[0]) for c in cut]
+        new = list(set().union(*[c[1:] for c in cut]).difference(self.parts))
+        found = [self.find(" " + part) for part in new]
+        unknown = list(set().union(*heads, *found).difference(self.pieces))
+        self.merge_new(unknown)
+        get = self.pieces.__getitem__
+        self.parts.update((part, b"".join(map(get, pieces))) for part, pieces in zip(new, found))
+        part = self.parts.__getitem__
+        out = [b"".join((*map(get, head), *map(part, c[1:]))) for head, c in zip(heads, cut)]
+        for memory, names in ((self.parts, new), (self.pieces, unknown)):
+            for name in names:
+                if len(name) > LONG:
+                    del memory[name]
         return out
 
-    def encode(self, text: str) -> bytes:
-        """Ids as 32-bit integers."""
-        first, *rest = self.cut(text)
-        get, inner = self.parts.get, self.inner
-        return self.fresh(first) + b"".join([get(p) or inner(p) for p in rest])
+    def encode(self, texts: Iterator[str]) -> Iterator[bytes]:
+        """Ids of each text, in order; about CHUNK characters at a time."""
+        held, total = [], 0
+        for t in texts:
+            held.append(t)
+            total += len(t)
+            if total >= CHUNK:
+                yield from self.chunk(held)
+                held, total = [], 0
+        yield from self.chunk(held)
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
@@ -158,12 +280,13 @@ def _encoder_udf(rank_path: str, pattern: str) -> Callable:
     def encode(texts: pa.Array) -> pa.Array:
         work = encoder(rank_path, pattern)
         ids, ends = bytearray(), [0]
-        for t in texts:  # one text at a time: a batch's ids are large
-            ids += work.encode(t.as_py() or "")
+        for got in work.encode(t.as_py() or "" for t in texts):
+            ids += got
             ends.append(len(ids) // 4)
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, dtype=np.int32)))
 
-    return F.arrow_udf(encode, T.ArrayType(T.IntegerType()))
+    # marked so that Spark never copies the call into what uses the ids and encodes twice
+    return F.arrow_udf(encode, T.ArrayType(T.IntegerType())).asNondeterministic()
 
 
 def _decoder_udf(rank_path: str) -> Callable:

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,6 +102,21 @@ def test_byte_bpe(docs):
     assert got == sorted(brute.byte_bpe([(i or -1, t) for i, t in pairs()]), key=repr) or [r[1:] for r in got if r[0] is not None] == [r[1:] for r in sorted(brute.byte_bpe(pairs(False)), key=repr)]
 
 
+def test_bpe_trees_side_by_side_give_what_single_trees_give():
+    import public_tokenizers as P
+
+    work = bpe.Encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    rng = random.Random(5)
+    for size in (4, 8, 16, 64):
+        raws = [bytes(rng.choice(b"aeinrst \xc3\xa9x") for _ in range(rng.randint(1, size - 2))) for _ in range(300)]
+        raws += [b"a" * (size - 2), b"\xff", *raws[:5]]
+        got = bpe.merge_rows(raws, size, work.byte_ids, work.pairs)
+        for raw, ids in zip(raws, got):
+            whole = work.ranks.get(raw)
+            if whole is None:
+                assert np.frombuffer(ids, np.int32).tolist() == bpe.merge_piece(raw, work.ranks)
+
+
 def test_secrets(spark, docs, tmp_path):
     ledger = str(tmp_path / "ledger")
     first = docs.where("doc_id < 7")
