@@ -101,27 +101,38 @@ def latest_per_key(df: DataFrame, keys: list[str] | str, order_desc: list[str] |
 
 
 def apply_updates(
-    current: DataFrame, updates: DataFrame, key: str, version_col: str = "_updated_at", tie_break: list[str] | None = None
+    current: DataFrame, updates: DataFrame, key: str, version_col: str = "_updated_at",
+    tie_break: list[str] | None = None, set_fields: str | None = None,
 ) -> DataFrame:
-    """Upsert by latest version: unknown update fields are ignored, missing fields
-    keep their current value, keys absent from ``current`` are not created.
+    """``current`` after partial updates: each field takes the value of the latest update
+    that sets it, among those not older than the current row.
+
+    A NULL does not set a field, unless the update's array column ``set_fields`` names it.
+    Unknown fields are ignored and keys absent from ``current`` are not created.
     ``tie_break`` columns of ``updates`` order versions with equal timestamps."""
-    tie_break = list(tie_break or [])
     known = [c for c in updates.columns if c in current.columns and c not in (key, version_col)]
-    u = updates.join(current.select(key), on=key, how="left_semi")
-    base = current.select(key, version_col, *[c for c in current.columns if c not in (key, version_col)])
-    upd = u.select(key, version_col, *tie_break, *[F.col(c).alias(f"__new_{c}") for c in known])
-    latest = latest_per_key(upd, key, [version_col] + tie_break).drop(*tie_break)
-    merged = base.join(latest.withColumnRenamed(version_col, "__new_version"), on=key, how="left")
-    cols = [F.col(key), F.greatest(F.col(version_col), F.coalesce(F.col("__new_version"), F.col(version_col))).alias(version_col)]
-    for c in current.columns:
-        if c in (key, version_col):
-            continue
+    since = current.select(F.col(key), F.col(version_col).alias("__since"))
+    fresh = updates.join(since, on=key).where(F.col("__since").isNull() | (F.col(version_col) >= F.col("__since")))
+    order = F.struct(version_col, *(tie_break or []))
+
+    def latest(c: str):
+        is_set = F.col(c).isNotNull()
+        if set_fields:
+            is_set = is_set | F.coalesce(F.array_contains(set_fields, c), F.lit(False))
+        # the value is wrapped, so that a NULL that was set differs from none
+        return F.max_by(F.struct(F.col(c).alias("v")), F.when(is_set, order)).alias(f"__new_{c}")
+
+    new = fresh.groupBy(key).agg(F.max(version_col).alias("__new_version"), *[latest(c) for c in known])
+    merged = current.join(new, on=key, how="left")
+
+    def field(c: str):
+        if c == version_col:
+            return F.coalesce("__new_version", version_col).alias(c)
         if c in known:
-            cols.append(F.when(F.col("__new_version").isNotNull(), F.col(f"__new_{c}")).otherwise(F.col(c)).alias(c))
-        else:
-            cols.append(F.col(c))
-    return merged.select(*cols).select(*current.columns)
+            return F.when(F.col(f"__new_{c}").isNotNull(), F.col(f"__new_{c}.v")).otherwise(F.col(c)).alias(c)
+        return F.col(c)
+
+    return merged.select(*[field(c) for c in current.columns])
 
 
 def delete_keys(df: DataFrame, tombstones: DataFrame, key: str, tomb_key: str | None = None) -> DataFrame:

@@ -639,18 +639,23 @@ def q_latest_job(spark, d):
 # M-2, W-7: customer balances updated by an append-only log of versions (the orders)
 @register(
     "q_upsert_latest",
-    "WITH u AS (SELECT o_custkey AS c_custkey, o_orderdate AS _updated_at, o_totalprice / 100 AS c_acctbal FROM orders "
-    "QUALIFY ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1) "
-    "SELECT c.c_custkey, GREATEST(TIMESTAMP '1990-01-01 00:00:00', COALESCE(u._updated_at, TIMESTAMP '1990-01-01 00:00:00')) AS _updated_at, "
-    "c.c_name, COALESCE(u.c_acctbal, c.c_acctbal) AS c_acctbal, c.c_mktsegment FROM customer c LEFT JOIN u USING (c_custkey)",
+    "WITH u AS (SELECT o_custkey AS c_custkey, MAX(o_orderdate) AS seen, "
+    "last(o_totalprice / 100 ORDER BY o_orderdate, o_orderkey) FILTER (WHERE o_orderstatus = 'F') AS balance, "
+    "last(o_orderpriority ORDER BY o_orderdate, o_orderkey) FILTER (WHERE o_orderstatus <> 'F') AS segment "
+    "FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01 00:00:00' GROUP BY o_custkey) "
+    "SELECT c_custkey, COALESCE(seen, TIMESTAMP '1995-01-01 00:00:00') AS _updated_at, c_name, "
+    "COALESCE(balance, c_acctbal) AS c_acctbal, COALESCE(segment, c_mktsegment) AS c_mktsegment FROM customer LEFT JOIN u USING (c_custkey)",
 )
 def q_upsert_latest(spark, d):
+    """Orders as updates of customers: each sets one of two fields, and those before 1995 are stale."""
     cust = TD.table(spark, d, "customer").select(
-        "c_custkey", ts_lit("1990-01-01 00:00:00").alias("_updated_at"), "c_name", "c_acctbal", "c_mktsegment"
+        "c_custkey", ts_lit("1995-01-01 00:00:00").alias("_updated_at"), "c_name", "c_acctbal", "c_mktsegment"
     )
+    final = F.col("o_orderstatus") == "F"
     upd = TD.table(spark, d, "orders").select(
-        F.col("o_custkey").alias("c_custkey"), F.col("o_orderdate").alias("_updated_at"),
-        (F.col("o_totalprice") / 100).alias("c_acctbal"), F.col("o_orderpriority").alias("unknown_field"), "o_orderkey",
+        F.col("o_custkey").alias("c_custkey"), F.col("o_orderdate").alias("_updated_at"), "o_orderkey",
+        F.when(final, F.col("o_totalprice") / 100).alias("c_acctbal"),
+        F.when(~final, F.col("o_orderpriority")).alias("c_mktsegment"), F.col("o_orderpriority").alias("unknown_field"),
     )
     return E.apply_updates(cust, upd, "c_custkey", "_updated_at", tie_break=["o_orderkey"])
 
@@ -723,9 +728,8 @@ def _guard_sql() -> str:
     checks = ", ".join(f"CASE WHEN regexp_matches(clean, '{p}') THEN '{n}' END" for n, p in rules)
     return (
         "WITH c AS (SELECT conv_id, turn, text, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS raw FROM conversations), "
-        "c2 AS (SELECT *, CASE WHEN ends_with(raw, ';') THEN regexp_replace(substr(raw, 1, length(raw) - 1), '\\s+$', '') ELSE raw END AS t1 FROM c), "
-        "c3 AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t1, '(?s)/\\*.*?\\*/', ' ', 'g'), "
-        "'--[^\\n\\r]*', ' ', 'g'), '#[^\\n\\r]*', ' ', 'g'), '\\s+', ' ', 'g')) AS clean FROM c2), "
+        "c3 AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(raw, '\\s*;$', ''), "
+        f"'{Q.LITERAL_OR_COMMENT_RE.replace(chr(39), chr(39) * 2)}', '\\1 ', 'g'), '\\s+', ' ', 'g')) AS clean FROM c), "
         "c4 AS (SELECT *, upper(regexp_extract(clean, '^([a-zA-Z_][a-zA-Z0-9_]*)', 1)) AS first FROM c3) "
         "SELECT conv_id, turn, CASE WHEN text IS NULL THEN NULL ELSE concat_ws(',', "
         "CASE WHEN strpos(substr(raw, 1, greatest(length(raw) - 1, 0)), ';') > 0 THEN 'multiple_statements' END, "

@@ -82,4 +82,4 @@ def guarded_sql(spark: SparkSession, sql: str) -> DataFrame:
     read-only guard first, then planned by Spark."""
     from ..operators.quality import ensure_read_only
 
-    return lower_columns(spark.sql(ensure_read_only(sql)))
+    return lower_columns(spark.sql(ensure_read_only(sql, spark)))

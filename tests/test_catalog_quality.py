@@ -111,11 +111,33 @@ GUARD_CASES = [
 def test_read_only_violations(spark, text, codes):
     got = spark.createDataFrame([(text,)], "q string").select(Q.read_only_violations(F.col("q")).alias("v")).collect()[0].v
     assert sorted(got) == sorted(codes)
-    if codes:
-        with pytest.raises(ValueError):
-            Q.ensure_read_only(text)
-    elif text.strip() and not text.strip().startswith("--"):
-        assert Q.ensure_read_only(text) == text
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "SELECT * FROM t", " with a as (select 1) select * from a; ", "VALUES (1)", "/* c */ SELECT 1", "(SELECT 1)", "FROM t SELECT a",
+        "SELECT replace(x, 'a', 'b') FROM t", "SELECT ';' AS semicolon", "SELECT 'drop table' AS words -- delete", "SELECT * FROM default.t",
+    ],
+)
+def test_queries_that_only_read_pass(spark, text):
+    assert Q.ensure_read_only(text, spark) == text
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "", "-- only a comment", "DELETE FROM t", "SELECT 1; DROP TABLE t", "SELECT a INTO b FROM t", "SELECT * FROM t FOR UPDATE", "SHOW TABLES",
+        "WITH x AS (SELECT 1) INSERT INTO t SELECT * FROM x", "FROM t INSERT INTO u SELECT a", "SET a = 1", "CACHE TABLE t", "SELECT pg_sleep(5)",
+        "SELECT java_method('java.lang.System', 'exit', 0)", "SELECT a FROM t WHERE b IN (SELECT reflect('a.B', 'c'))",
+        "WITH x AS (SELECT Java_Method('a.B', 'c')) SELECT * FROM x", "SELECT 1 + (SELECT max(reflect('a.B', 'c')) FROM t)",
+        "SELECT * FROM text.`/etc/passwd`", "SELECT a FROM t WHERE EXISTS (SELECT 1 FROM parquet.`/data`)", "WITH x AS (SELECT * FROM csv.`/a`) SELECT 1 FROM x",
+        "SELECT TRANSFORM (a) USING 'cat' FROM t",
+    ],
+)
+def test_other_statements_do_not_pass(spark, text):
+    with pytest.raises(ValueError):
+        Q.ensure_read_only(text, spark)
 
 
 @pytest.mark.parametrize(
@@ -161,6 +183,7 @@ def test_contract_violations(spark):
     [
         ("SELECT 1 # trailing mysql comment", []),
         ("SELECT 1;   ", []),
+        ("SELECT '/*' a, drop b, '*/' c", ["forbidden_keyword"]),
         ("select * from t for share", ["row_lock"]),
         ("VALUES (1), (2);\n", []),
         ("SELECT 'a;b' FROM t", ["multiple_statements"]),  # the rule is textual, as in the reference

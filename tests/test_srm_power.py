@@ -20,33 +20,39 @@ def run_srm(spark, counts, shares=None):
     return SRM.srm_test(df, sh).collect()[0].asDict()
 
 
-@pytest.mark.parametrize(
-    "counts,shares,is_srm",
-    [([1000, 1010], None, False), ([1000, 1200], None, True), ([100, 205], [1 / 3, 2 / 3], False), ([300, 700], [0.25, 0.75], True)],
-)
-def test_srm_cases(spark, counts, shares, is_srm):
-    r = run_srm(spark, counts, shares)
-    assert r["error"] is None
-    assert r["is_srm"] is is_srm
-    n = sum(counts)
-    alloc = shares or [1 / len(counts)] * len(counts)
-    stat = sum((o - n * a) ** 2 / (n * a) for o, a in zip(counts, alloc))
-    assert r["statistic"] == pytest.approx(stat)
-    assert r["df"] == len(counts) - 1
-    assert r["observed"] == counts
+# Group sizes a given distance from the plan: n units, shares a and 1 - a, first group off by
+# k: the statistic is k^2 / (n a (1 - a)), the tail with one degree of freedom erfc(sqrt(x / 2)).
+@pytest.mark.parametrize("n,a", [(4000, 0.5), (900, 0.2), (50_000, 0.36)])
+@pytest.mark.parametrize("sigmas", [0.0, 1.5, 3.1, 6.0])
+def test_two_groups_off_by_some_sigmas(spark, n, a, sigmas):
+    off = round(sigmas * math.sqrt(n * a * (1 - a)))
+    first = round(n * a) + off
+    r = run_srm(spark, [first, n - first], None if a == 0.5 else [a, 1 - a])
+    x = off**2 / (n * a * (1 - a))
+    p = math.erfc(math.sqrt(x / 2))
+    assert r["error"] is None and r["df"] == 1 and r["observed"] == [first, n - first]
+    assert r["statistic"] == pytest.approx(x, abs=1e-9)
+    assert r["p_value"] == pytest.approx(p, rel=1e-9)
+    assert r["is_srm"] is (p < 0.05)
 
 
-@pytest.mark.parametrize(
-    "counts,shares",
-    [([100], None), ([100, -10], None), ([100, 100], [0.2, 0.3, 0.5]), ([100, 100], [0.6, 0.6]), ([0, 0], None)],
-)
-def test_srm_errors(spark, counts, shares):
-    if shares is not None and len(shares) != len(counts):
-        df = spark.createDataFrame([(f"g{i}", int(c)) for i, c in enumerate(counts)], "group_name string, observation_cnt long")
-        sh = spark.createDataFrame([(f"g{i}", float(s)) for i, s in enumerate(shares)], "group_name string, share double")
-        r = SRM.srm_test(df, sh).collect()[0].asDict()
-    else:
-        r = run_srm(spark, counts, shares)
+def shares_table(spark, shares):
+    return spark.createDataFrame([(f"g{i}", float(s)) for i, s in enumerate(shares)], "group_name string, share double")
+
+
+def counts_table(spark, counts):
+    return spark.createDataFrame([(f"g{i}", int(c)) for i, c in enumerate(counts)], "group_name string, observation_cnt long")
+
+
+@pytest.mark.parametrize("counts", [[7], [40, -1, 30], [0, 0, 0]])
+def test_counts_that_allow_no_test(spark, counts):
+    r = run_srm(spark, counts)
+    assert r["error"] is not None and r["p_value"] is None
+
+
+@pytest.mark.parametrize("shares", [[0.25] * 4, [0.7, 0.2, 0.2], [0.5, 0.4, 0.05]])
+def test_shares_that_do_not_fit(spark, shares):
+    r = SRM.srm_test(counts_table(spark, [31, 29, 30]), shares_table(spark, shares)).collect()[0].asDict()
     assert r["error"] is not None and r["p_value"] is None
 
 

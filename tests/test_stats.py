@@ -35,7 +35,7 @@ def test_welch_detects_difference(spark):
 
 @pytest.mark.parametrize(
     "spec",
-    [((10, 20, 30), (10, 20, 30)), ((0.01, 18, 55), (0.05, 19, 60)), ((0.84, 2, 10000), (0.89, 3, 10000))],
+    [((4.5, 1.2, 17), (4.5, 6.1, 23)), ((-2.0, 0.3, 400), (-1.9, 0.9, 12)), ((130.0, 45.0, 2500), (128.0, 40.0, 7100))],
 )
 def test_welch_matches_independent_numpy(spark, spec):
     rng = np.random.default_rng(7)

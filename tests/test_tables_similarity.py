@@ -63,6 +63,22 @@ def test_updates_and_latest(spark, experiments):
     assert "unknown" not in cur[1].asDict()
 
 
+def test_partial_and_stale_updates(spark):
+    cur = spark.createDataFrame(
+        [(1, "n0", "s0", dt(2024, 1, 5)), (2, "n0", "s0", dt(2024, 1, 5)), (3, "n0", "s0", None)], "id long, name string, status string, _updated_at timestamp_ntz"
+    )
+    upd = spark.createDataFrame(
+        [
+            (1, "n1", None, dt(2024, 1, 6), None), (1, None, "s1", dt(2024, 1, 7), None),  # two halves
+            (2, "old", "old", dt(2024, 1, 4), None),  # older than the row
+            (3, "n1", "s1", dt(2023, 1, 1), None), (3, None, None, dt(2023, 1, 2), ["status"]),  # a NULL that is set
+        ],
+        "id long, name string, status string, _updated_at timestamp_ntz, given array<string>",
+    )
+    got = {r.id: (r.name, r.status, r._updated_at) for r in E.apply_updates(cur, upd, "id", set_fields="given").collect()}
+    assert got == {1: ("n1", "s1", dt(2024, 1, 7)), 2: ("n0", "s0", dt(2024, 1, 5)), 3: ("n1", None, dt(2023, 1, 2))}
+
+
 def test_delete_and_cascade(spark):
     exp = spark.createDataFrame([(1,), (2,)], "id long")
     obs = spark.createDataFrame([(10, 1), (11, 2), (12, 2)], "id long, experiment_id long")
