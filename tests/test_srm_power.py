@@ -33,7 +33,7 @@ def test_two_groups_off_by_some_sigmas(spark, n, a, sigmas):
     assert r["error"] is None and r["df"] == 1 and r["observed"] == [first, n - first]
     assert r["statistic"] == pytest.approx(x, abs=1e-9)
     assert r["p_value"] == pytest.approx(p, rel=1e-9)
-    assert r["is_srm"] is (p < 0.05)
+    assert r["is_srm"] is (p < SRM.SRM_ALPHA)
 
 
 def shares_table(spark, shares):
