@@ -1,6 +1,6 @@
 """Quality rules: word rules of a document, and line frequency across documents.
 
-Lines are normalised and hashed.  A short line that too many different texts of one host
+Lines are normalised and hashed.  A line that too many different texts of one host
 hold is boilerplate: it is removed, and a document that keeps too little is rejected.
 Counting combines before it shuffles (host, line hash, text hash); the frequent lines of
 a host are few (each is in at least ``share`` of the host's texts), so they come back as
@@ -21,11 +21,10 @@ SYMBOLS = r"[#*$%&|<>]"
 
 @dataclass(frozen=True)
 class LineLimits:
-    """A line is removed if it has at most ``longest`` words and at least ``least`` texts of
-    its host, and at least ``share`` of the host's texts, hold it.  A document is depleted
-    if fewer than ``words_left`` words remain, or more than ``lost`` of its words are gone."""
+    """A line, however long, is removed if at least ``least`` texts of its host, and at least
+    ``share`` of the host's texts, hold it.  A document is depleted if fewer than
+    ``words_left`` words remain, or more than ``lost`` of its words are gone."""
 
-    longest: int = 30
     least: int = 20
     share: float = 0.01
     words_left: int = 10
@@ -41,11 +40,11 @@ def _split_lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def line_marks(text: Column, limits: LineLimits) -> Column:
-    """(hash, words) of the text's lines that have words and may be boilerplate, in order."""
+def line_marks(text: Column) -> Column:
+    """(hash, words) of the text's lines that have words, in order."""
     words = F.transform(_split_lines(text), lambda x: F.struct(normal_line(x).alias("x"), F.size(words_of(x)).alias("n")))
-    short = F.filter(words, lambda x: (x["n"] > 0) & (x["n"] <= limits.longest))
-    return F.transform(short, lambda x: F.struct(F.xxhash64(x["x"]).alias("hash"), x["n"].alias("n")))
+    full = F.filter(words, lambda x: x["n"] > 0)
+    return F.transform(full, lambda x: F.struct(F.xxhash64(x["x"]).alias("hash"), x["n"].alias("n")))
 
 
 def _host_key(host: Column) -> Column:
@@ -56,7 +55,7 @@ def frequent_lines(docs: DataFrame, host_col: str, text_col: str, limits: LineLi
     """(host, lines): hashes of the lines above the limits, for each host that has some.
     Different texts are counted, so copies of one text count once."""
     text = column(docs, text_col)
-    rows = docs.select(_host_key(column(docs, host_col)).alias("host"), F.xxhash64(text).alias("doc"), F.array_distinct(F.transform(line_marks(text, limits), lambda x: x["hash"])).alias("lines"))
+    rows = docs.select(_host_key(column(docs, host_col)).alias("host"), F.xxhash64(text).alias("doc"), F.array_distinct(F.transform(line_marks(text), lambda x: x["hash"])).alias("lines"))
     texts = rows.groupBy("host").agg(F.count_distinct("doc").alias("texts")).where(f"texts >= {limits.least}")
     seen = rows.select("host", "doc", F.explode("lines").alias("line")).distinct()
     counts = seen.groupBy("host", "line").agg(F.count("*").alias("n")).where(f"n >= {limits.least}")
@@ -89,7 +88,7 @@ def repeat_words(words: Column) -> Column:
     return let(hashes, count).cast("bigint")
 
 
-def _profile(text: Column, limits: LineLimits) -> Column:
+def _profile(text: Column) -> Column:
     """What the text alone says, and its line marks."""
 
     def of_words(words: Column) -> Column:
@@ -103,7 +102,7 @@ def _profile(text: Column, limits: LineLimits) -> Column:
         let(full, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
         w["n_repeat_words"].alias("n_repeat_words"),
         ((w["n_words"] < 10) | (100 * w["n_repeat_words"] > 20 * w["n_words"])).alias("base_failed"),
-        line_marks(text, limits).alias("_marks"),
+        line_marks(text).alias("_marks"),
     )))
 
 
@@ -124,7 +123,7 @@ def judge(docs: DataFrame, host_col: str = "source", text_col: str = "text", lim
     text = F.coalesce(column(docs, text_col), F.lit(""))
     given = F.struct(*[column(docs, c).alias(c) for c in docs.columns if c.lower() not in OUT])
     # inline() makes one row of one profile: it is computed once, whatever is done with it
-    rows = docs.select(given.alias(row), _host_key(column(docs, host_col)).alias(key), F.inline(F.array(_profile(text, limits))))
+    rows = docs.select(given.alias(row), _host_key(column(docs, host_col)).alias(key), F.inline(F.array(_profile(text))))
     rows = rows.join(frequent.select(F.col("host").alias("_frequent_host"), F.col("lines").alias(lines)), F.col(key) == F.col("_frequent_host"), "left")
     gone = F.when(F.col(lines).isNull(), F.filter("_marks", lambda x: F.lit(False))).otherwise(F.filter("_marks", lambda x: F.array_contains(lines, x["hash"])))
     rows = rows.withColumns({
@@ -141,7 +140,7 @@ def clean(docs: DataFrame, host_col: str = "source", text_col: str = "text", lim
     """The documents that pass, without their removed lines; all columns are kept."""
     narrow = docs.select(column(docs, text_col).alias("_text"), column(docs, host_col).alias("_from"), F.struct(*[column(docs, c).alias(c) for c in docs.columns]).alias("_all"))
     judged = judge(narrow, "_from", "_text", limits).where("kept")
-    dropped = lambda x, gone: F.array_contains(gone, F.xxhash64(normal_line(x))) & (F.size(words_of(x)) <= limits.longest)
+    dropped = lambda x, gone: F.array_contains(gone, F.xxhash64(normal_line(x)))
     without = let(F.col("removed_lines"), lambda gone: F.array_join(F.filter(_split_lines(F.col("_text")), lambda x: ~dropped(x, gone)), "\n"))
     text = F.when(F.size("removed_lines") > 0, without).otherwise(F.col("_text"))
     return judged.select(*[text.alias(c) if c == text_col else F.col("_all")[c].alias(c) for c in docs.columns])

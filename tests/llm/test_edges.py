@@ -149,6 +149,17 @@ def test_quality_removes_frequent_lines(spark):
     assert out == {k: filler(k) for k in range(30)}  # 99 keeps too little
 
 
+def test_quality_removes_long_frequent_lines(spark):
+    filler = lambda k: " ".join(f"w{chr(65 + k)}x{chr(65 + j)}" for j in range(60))
+    notice = " ".join(f"notice{chr(97 + j)}" for j in range(26)) + " " + " ".join(f"Right{chr(97 + j)} 12" for j in range(20))
+    few = "ten words are here so that base rules do pass"
+    data = [(k, f"{notice}\n{filler(k)}", "h") for k in range(30)] + [(99, f"{notice}\n{few}", "h"), (100, f"{notice}\n{few}", "other")]
+    df = spark.createDataFrame(data, SCHEMA)
+    out = {r.doc_id: r.text for r in quality.clean(df).collect()}
+    assert out == {k: filler(k) for k in range(30)} | {100: f"{notice}\n{few}"}  # 99 keeps too little
+    assert {r.n_line_words for r in quality.judge(df).where("source = 'h'").collect()} == {66}
+
+
 def test_records(spark, docs, tmp_path):
     import public_tokenizers as P
 
