@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import column, free_name, staged, utf8, with_arrow
@@ -63,18 +63,27 @@ def text_fingerprint(text: bytes, size: int, seed: int = SEED) -> int:
     return int(np.packbits(set_bits, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, size: int = 3) -> DataFrame:
-    """(id, fp): one row per row of ``docs``; fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, size: int = 3, named: bool = False) -> DataFrame:
+    """(id, fp): one row per row of ``docs``; fp is the fingerprint as a signed long.  If
+    ``named``, with the text's name (t1, t2) too."""
 
     def make():
-        def work(ids: pa.Array, texts: pa.Array):
+        def work(ids: pa.Array, texts: pa.Array, *names: pa.Array):
             fps = np.array([text_fingerprint(t, size) for t in utf8(texts)], dtype=np.uint64)
-            return [ids, pa.array(fps.view(np.int64))]
+            return [ids, pa.array(fps.view(np.int64)), *names]
 
         return work
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return with_arrow(docs, [column(docs, id_col).alias("id"), column(docs, text_col).alias("t")], f"id {kind}, fp bigint", make)
+    text = column(docs, text_col)
+    inputs = [column(docs, id_col).alias("id"), text.alias("t"), *(_text_name(text) if named else [])]
+    return with_arrow(docs, inputs, f"id {kind}, fp bigint" + (", t1 bigint, t2 bigint" if named else ""), make)
+
+
+def _text_name(text: Column) -> list[Column]:
+    """128 bits of a text in two columns; null counts as the empty text."""
+    text = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
 
 
 # ------------------------------------------------------------ index in a task
@@ -257,36 +266,43 @@ def simhash_components(
     several rows; a null id never becomes a component_id (null if no row has an id).
     Other columns of ``docs`` are not read.  An empty table gives an empty result."""
     marks = staged(fingerprints(docs, id_col, text_col, size), "simhash-fingerprints")
+    return marks.join(_classes(marks, most, unit), "fp").select(
+        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+def _classes(marks: DataFrame, most: int, unit: int) -> DataFrame:
+    """(fp, root, component_id) of each fingerprint of ``marks``.  The root is a fingerprint
+    of the component and names it; a component_id may be that of several components, if
+    an id has several texts."""
     reps = staged(marks.groupBy("fp").agg(F.min("id").alias("rep")), "simhash-distinct")
     found = components(staged(links(reps.select("fp"), most, unit), "simhash-links"), "simhash")
     linked = found.join(reps, F.col("node") == F.col("fp"))
     least = linked.groupBy("root").agg(F.min("rep").alias("least"))
-    known = found.join(least, "root").select(F.col("node").alias("fp"), "least")
-    classes = reps.join(known, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
-    return marks.join(classes, "fp").select(
-        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    known = found.join(least, "root").select(F.col("node").alias("fp"), "root", "least")
+    return reps.join(known, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("least", "rep").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, most: int = 3) -> DataFrame:
     """One document of each component: the row with the smallest id (of rows with the
     same id and component, the smallest fingerprint, then one of equal rows).  Rows
     without an id are kept, as they can't be named.  All columns are kept."""
-    judged = staged(simhash_components(docs, id_col, text_col, size, most), "simhash-classes")
-    mine, other = free_name(docs, "_first"), free_name(docs, "_n")
-    firsts = judged.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias(mine)).distinct()
-    named = column(docs, id_col)
-    kept = docs.join(firsts, named == F.col(mine), "left")
-    kept = kept.where(F.col(mine).isNotNull() | named.isNull()).drop(mine)
-    many = judged.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias(other)).where(F.col(other) > 1)
-    if many.isEmpty():
-        return kept
-    # an id that comes more than once: only then rows must be told apart
-    repeated = many.select(F.col(id_col).alias(mine))
-    once = kept.join(repeated, named == F.col(mine), "left_anti")
-    twice = kept.join(repeated, named == F.col(mine), "left_semi")
-    order = [F.md5(F.coalesce(column(docs, text_col), F.lit(""))), *[column(docs, c).cast("string") for c in docs.columns]]
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy(named).orderBy(*order))
-    return once.unionByName(twice.withColumn(other, rank).where(F.col(other) == 1).drop(other))
+    marks = staged(fingerprints(docs, id_col, text_col, size, named=True), "simhash-fingerprints")
+    judged = marks.join(_classes(marks, most, UNIT), "fp").where(F.col("id") == F.col("component_id"))
+    judged = staged(judged.select("id", "root", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fp"), "t1", "t2"), "simhash-classes")
+    # an id may stand for several components: the row of each is named by its id and text
+    first = F.min(F.struct("fp", "t1", "t2")).alias("first")
+    firsts = staged(judged.groupBy("root", "id").agg(first, F.count("*").alias("n")), "simhash-firsts")
+    mine, t1, t2, other = (free_name(docs, c) for c in ("_first", "_t1", "_t2", "_n"))
+    named, name = column(docs, id_col), _text_name(column(docs, text_col))
+    wanted = firsts.select(F.col("id").alias(mine), F.col("first.t1").alias(t1), F.col("first.t2").alias(t2), F.col("n").alias(other))
+    kept = docs.join(wanted, (named == F.col(mine)) & (name[0] == F.col(t1)) & (name[1] == F.col(t2)), "left")
+    kept = kept.where(F.col(mine).isNotNull() | named.isNull())
+    if firsts.where("n > 1").isEmpty():
+        return kept.drop(mine, t1, t2, other)
+    # rows of one id and text: only then rows must be told apart
+    many = F.coalesce(F.col(other), F.lit(1)) > 1
+    order = [column(docs, c).cast("string") for c in docs.columns]
+    rank = F.row_number().over(Window.partitionBy(named, t1, t2).orderBy(*order))
+    twice = kept.where(many).withColumn(other, rank).where(F.col(other) == 1)
+    return kept.where(~many).drop(mine, t1, t2, other).unionByName(twice.drop(mine, t1, t2, other))
