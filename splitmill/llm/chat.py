@@ -65,9 +65,7 @@ def rendered_turn(role: Column, text: Column) -> Column:
     plain = render_turn(name, text)
     escaped = render_turn(name, escape(text))
     lost = F.raise_error(F.lit("a turn does not survive its round trip"))
-    # a text without a backslash and without a closing mark is the same after parsing
-    bare = ~text.contains("\\") & ~text.contains("</")
-    return F.when(bare, plain).when(_same(plain, role, text), plain).when(_same(escaped, role, text), escaped).otherwise(lost)
+    return F.when(_same(plain, role, text), plain).when(_same(escaped, role, text), escaped).otherwise(lost)
 
 
 def format_conversations(
