@@ -16,13 +16,17 @@ from pyspark.sql import functions as F
 
 from .common import column, free_name, shared_folder, staged, utf8, with_arrow
 
-RULES_VERSION = "2"
+RULES_VERSION = "3"
 
 # The base rules, then those that this scan adds.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
-PRIVATE_KEY = r"-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----"
+PRIVATE_KEY = r"-----BEGIN ((?:[A-Z]+ ){0,3}PRIVATE KEY)-----"
+# Lines of a key without its end: base64, or a header of an encrypted key.  A line break
+# may also stand as \\n, as in JSON.
+_BREAK = r"(?:[\x20\t]*+(?:\r\n|\r|\n|(?:\\r)?\\n))++[\x20\t]*+"
+KEY_LINES = rf"(?:{_BREAK}(?:(?:Proc-Type|DEK-Info):[^\r\n\\]*+|[A-Za-z0-9+/]++={{0,2}}+)(?=[\x20\t]*+(?:[\r\n\\\"',]|\Z)))*+"
 WEB_TOKEN = r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"
 
 KINDS = ("assign", "access", "hex", "private_key", "web_token")
@@ -32,6 +36,18 @@ ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apike
 SPAN = "struct<kind:string,start:int,end:int>"
 
 
+def key_spans(text: str) -> list[tuple[int, int]]:
+    """(start, end) of private keys: from BEGIN to the END of the same name, if it comes
+    before another BEGIN, else over the key's lines that follow."""
+    begins = list(re.finditer(PRIVATE_KEY, text))
+    found = []
+    for m, after in zip(begins, [*[n.start() for n in begins[1:]], len(text)]):
+        close = f"-----END {m[1]}-----"
+        at = text.find(close, m.end(), after)
+        found.append((m.start(), at + len(close) if at >= 0 else re.compile(KEY_LINES).match(text, m.end(), after).end()))
+    return found
+
+
 def text_spans(raw: bytes) -> list[tuple[int, str, int]]:
     """(start, kind, end) in code points, by start, then kind in the order of KINDS."""
     lower = raw.lower()
@@ -43,7 +59,7 @@ def text_spans(raw: bytes) -> list[tuple[int, str, int]]:
         found += [(m.start(), 1, m.end()) for m in re.finditer(ACCESS, text)]
     found += [(m.start(), 2, m.end()) for m in re.finditer(HEX, text)]
     if b"PRIVATE KEY-----" in raw:
-        found += [(m.start(), 3, m.end()) for m in re.finditer(PRIVATE_KEY, text)]
+        found += [(a, 3, b) for a, b in key_spans(text)]
     if b"eyJ" in raw:
         found += [(m.start(), 4, m.end()) for m in re.finditer(WEB_TOKEN, text)]
     return [(a, KINDS[k], b) for a, k, b in sorted(found)]
