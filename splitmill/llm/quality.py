@@ -2,9 +2,12 @@
 
 Lines are normalised and hashed.  A line that too many different texts of one host
 hold is boilerplate: it is removed, and a document that keeps too little is rejected.
-Counting combines before it shuffles (host, line hash, text hash); the frequent lines of
-a host are few (each is in at least ``share`` of the host's texts), so they come back as
-one small array per host and documents are judged in place."""
+The limit is a number of texts, whatever the size of the host.  Counting combines before
+it shuffles (host, line hash, text hash).  Frequent lines are joined back to the lines by
+(host, line hash): the HOT most frequent ones by a broadcast, so that no key of the other
+join has more than one HOT-th of the rows.  What a text loses is then joined to the rows
+by (host, text hash): texts do not move for the counting, and only for this last join if
+what it joins is too large for a broadcast."""
 
 from __future__ import annotations
 
@@ -17,16 +20,16 @@ from .common import NOT_SPACE, SPACE, column, let, staged, words_of
 
 WINDOW = 5
 SYMBOLS = r"[#*$%&|<>]"
+HOT = 10_000  # frequent lines that are broadcast
 
 
 @dataclass(frozen=True)
 class LineLimits:
-    """A line, however long, is removed if at least ``least`` texts of its host, and at least
-    ``share`` of the host's texts, hold it.  A document is depleted if fewer than
-    ``words_left`` words remain, or more than ``lost`` of its words are gone."""
+    """A line, however long, is removed if at least ``least`` different texts of its host
+    hold it.  A document is depleted if fewer than ``words_left`` words remain, or more than
+    ``lost`` of its words are gone."""
 
     least: int = 20
-    share: float = 0.01
     words_left: int = 10
     lost: float = 0.7
 
@@ -51,16 +54,43 @@ def _host_key(host: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), host.cast("string")), F.lit("-"))
 
 
-def frequent_lines(docs: DataFrame, host_col: str, text_col: str, limits: LineLimits) -> DataFrame:
-    """(host, lines): hashes of the lines above the limits, for each host that has some.
-    Different texts are counted, so copies of one text count once."""
+def _text_key(text: Column) -> list[Column]:
+    """A text's name: 128 bits in two columns; null counts as the empty text."""
+    text = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(text).alias("doc"), F.xxhash64(F.lit(1), text).alias("doc2")]
+
+
+def line_rows(docs: DataFrame, host_col: str, text_col: str) -> DataFrame:
+    """(host, doc, doc2, line, n): the distinct lines of each different text of a host, with
+    the words that the text has in them."""
     text = column(docs, text_col)
-    rows = docs.select(_host_key(column(docs, host_col)).alias("host"), F.xxhash64(text).alias("doc"), F.array_distinct(F.transform(line_marks(text), lambda x: x["hash"])).alias("lines"))
-    texts = rows.groupBy("host").agg(F.count_distinct("doc").alias("texts")).where(f"texts >= {limits.least}")
-    seen = rows.select("host", "doc", F.explode("lines").alias("line")).distinct()
-    counts = seen.groupBy("host", "line").agg(F.count("*").alias("n")).where(f"n >= {limits.least}")
-    above = counts.join(texts, "host").where(F.col("n") >= limits.share * F.col("texts"))
-    return above.groupBy("host").agg(F.collect_set("line").alias("lines"))
+
+    def told(order: Column) -> Column:
+        first = lambda x, k: F.coalesce(x["hash"] != F.get(order, k - 1)["hash"], F.lit(True))
+        return F.transform(order, lambda x, k: F.struct(x["hash"].alias("line"), x["n"].alias("n"), first(x, k).cast("int").alias("first")))
+
+    rows = docs.select(_host_key(column(docs, host_col)).alias("host"), *_text_key(text), F.inline(let(F.sort_array(line_marks(text)), told)))
+    # the sum of firsts is the number of copies of the text
+    return rows.groupBy("host", "doc", "doc2", "line").agg(F.expr("sum(n) div sum(first)").alias("n"))
+
+
+def frequent_lines(lines: DataFrame, limits: LineLimits) -> DataFrame:
+    """(host, line, texts) of the lines that enough texts hold.  Different texts are counted,
+    so copies of one text count once."""
+    return lines.groupBy("host", "line").agg(F.count("*").alias("texts")).where(f"texts >= {limits.least}")
+
+
+def lost_lines(lines: DataFrame, frequent: DataFrame, hot: int = HOT) -> DataFrame:
+    """(host, doc, doc2, n_line_words, removed_lines) of the texts that hold frequent lines."""
+    keys = ["host", "line"]
+    frequent = frequent.select(*keys, "texts")
+    if frequent.count() <= hot:
+        gone = lines.join(F.broadcast(frequent), keys)
+    else:
+        top = staged(frequent.orderBy(F.desc("texts"), *keys).limit(hot), "quality-hot")
+        rest = frequent.join(F.broadcast(top.select(*keys)), keys, "left_anti")
+        gone = lines.join(F.broadcast(top), keys).unionByName(lines.join(rest, keys))
+    return gone.groupBy("host", "doc", "doc2").agg(F.sum("n").alias("n_line_words"), F.sort_array(F.collect_list("line")).alias("removed_lines"))
 
 
 def repeat_words(words: Column) -> Column:
@@ -89,7 +119,7 @@ def repeat_words(words: Column) -> Column:
 
 
 def _profile(text: Column) -> Column:
-    """What the text alone says, and its line marks."""
+    """What the text alone says."""
 
     def of_words(words: Column) -> Column:
         return F.struct(F.size(words).cast("bigint").alias("n_words"), F.length(F.array_join(words, "")).cast("bigint").alias("word_chars"), repeat_words(words).alias("n_repeat_words"))
@@ -102,44 +132,43 @@ def _profile(text: Column) -> Column:
         let(full, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
         w["n_repeat_words"].alias("n_repeat_words"),
         ((w["n_words"] < 10) | (100 * w["n_repeat_words"] > 20 * w["n_words"])).alias("base_failed"),
-        line_marks(text).alias("_marks"),
     )))
 
 
 OUT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_line_words", "removed_lines", "kept")
 
 
-def judge(docs: DataFrame, host_col: str = "source", text_col: str = "text", limits: LineLimits = LineLimits()) -> DataFrame:
+def judge(docs: DataFrame, host_col: str = "source", text_col: str = "text", limits: LineLimits = LineLimits(), hot: int = HOT) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    n_line_words (words of removed lines), removed_lines (their hashes, distinct) and kept
+    n_line_words (words of removed lines), removed_lines (their hashes, distinct, sorted) and kept
     (columns of these names are replaced).
 
     base_failed: fewer than 10 words, or over 20 % of the words in repeated windows (windows
     are compared by 64-bit hashes within one text).  kept: neither base_failed nor depleted.
     Null text has no words and fails; rows without a host form one host; equal rows are
     judged alike; an empty table stays empty."""
-    frequent = staged(frequent_lines(docs, host_col, text_col, limits), "quality-lines")
-    row, key, lines = "_row", "_host", "_lines"
+    lines = staged(line_rows(docs, host_col, text_col), "quality-lines")
+    frequent = staged(frequent_lines(lines, limits), "quality-frequent")
+    lost = staged(lost_lines(lines, frequent, hot), "quality-lost")
     text = F.coalesce(column(docs, text_col), F.lit(""))
-    given = F.struct(*[column(docs, c).alias(c) for c in docs.columns if c.lower() not in OUT])
+    # plain columns, not a struct: those that the caller does not read stay out of the join
+    given = {c: f"_given{k}" for k, c in enumerate(docs.columns) if c.lower() not in OUT}
     # inline() makes one row of one profile: it is computed once, whatever is done with it
-    rows = docs.select(given.alias(row), _host_key(column(docs, host_col)).alias(key), F.inline(F.array(_profile(text))))
-    rows = rows.join(frequent.select(F.col("host").alias("_frequent_host"), F.col("lines").alias(lines)), F.col(key) == F.col("_frequent_host"), "left")
-    gone = F.when(F.col(lines).isNull(), F.filter("_marks", lambda x: F.lit(False))).otherwise(F.filter("_marks", lambda x: F.array_contains(lines, x["hash"])))
-    rows = rows.withColumns({
-        "n_line_words": F.aggregate(gone, F.lit(0), lambda a, x: a + x["n"]).cast("bigint"),
-        "removed_lines": F.array_distinct(F.transform(gone, lambda x: x["hash"])),
+    rows = docs.select(*[column(docs, c).alias(g) for c, g in given.items()], _host_key(column(docs, host_col)).alias("host"), *_text_key(text), F.inline(F.array(_profile(text))))
+    rows = rows.join(lost, ["host", "doc", "doc2"], "left").withColumns({
+        "n_line_words": F.coalesce("n_line_words", F.lit(0).cast("bigint")),
+        "removed_lines": F.coalesce("removed_lines", F.expr("cast(array() as array<bigint>)")),
     })
     left = F.col("n_words") - F.col("n_line_words")
     depleted = (left < limits.words_left) | (F.col("n_line_words") > limits.lost * F.col("n_words"))
     rows = rows.withColumn("kept", ~F.col("base_failed") & ~depleted)
-    return rows.select(*[F.col(row)[c].alias(c) for c in docs.columns if c.lower() not in OUT], *OUT)
+    return rows.select(*[F.col(g).alias(c) for c, g in given.items()], *OUT)
 
 
-def clean(docs: DataFrame, host_col: str = "source", text_col: str = "text", limits: LineLimits = LineLimits()) -> DataFrame:
+def clean(docs: DataFrame, host_col: str = "source", text_col: str = "text", limits: LineLimits = LineLimits(), hot: int = HOT) -> DataFrame:
     """The documents that pass, without their removed lines; all columns are kept."""
     narrow = docs.select(column(docs, text_col).alias("_text"), column(docs, host_col).alias("_from"), F.struct(*[column(docs, c).alias(c) for c in docs.columns]).alias("_all"))
-    judged = judge(narrow, "_from", "_text", limits).where("kept")
+    judged = judge(narrow, "_from", "_text", limits, hot).where("kept")
     dropped = lambda x, gone: F.array_contains(gone, F.xxhash64(normal_line(x)))
     without = let(F.col("removed_lines"), lambda gone: F.array_join(F.filter(_split_lines(F.col("_text")), lambda x: ~dropped(x, gone)), "\n"))
     text = F.when(F.size("removed_lines") > 0, without).otherwise(F.col("_text"))

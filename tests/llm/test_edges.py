@@ -160,6 +160,19 @@ def test_quality_removes_long_frequent_lines(spark):
     assert {r.n_line_words for r in quality.judge(df).where("source = 'h'").collect()} == {66}
 
 
+@pytest.mark.parametrize("hot", [quality.HOT, 1])
+def test_quality_limit_is_the_same_in_a_large_host(spark, hot):
+    filler = lambda k: " ".join(f"w{k}x{chr(97 + j % 26)}{chr(97 + j // 26)}{'abcdefghij'[k % 10]}{'abcdefghij'[k // 10 % 10]}{'abcdefghij'[k // 100 % 10]}{'abcdefghij'[k // 1000]}" for j in range(20))
+    line = lambda k, n, mark: f"{mark} {mark}ly {mark}most {mark}ness\n" * 2 if k < n else ""
+    data = [(k, line(k, 25, "first") + line(k, 20, "second") + line(k, 19, "third") + filler(k), "large") for k in range(3000)]
+    data += [(9000 + k, data[0][1], "large") for k in range(30)]  # copies of one text count once
+    df = spark.createDataFrame(data, SCHEMA)
+    want = {k: line(k, 19, "third") + filler(k) for k in range(3000)} | {9000 + k: line(0, 19, "third") + filler(0) for k in range(30)}
+    assert {r.doc_id: r.text for r in quality.clean(df, hot=hot).collect()} == want
+    lost = {r.doc_id: r.n_line_words for r in quality.judge(df, hot=hot).where("n_line_words > 0").collect()}
+    assert lost == {k: 8 * ((k < 25) + (k < 20)) for k in range(25)} | {9000 + k: 16 for k in range(30)}
+
+
 def test_records(spark, docs, tmp_path):
     import public_tokenizers as P
 
