@@ -37,10 +37,15 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids) of every document; the ids decode to its text."""
+    """(doc_id, n_tokens, ids) of every document; the ids are decoded and compared with its
+    text, and a difference is an error."""
     import public_tokenizers as P
 
-    ids = bpe.encode(docs.select("doc_id", "text"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    ranks = P.path("byte_bpe_50k.tiktoken")
+    ids = bpe.decode(bpe.encode(docs.select("doc_id", "text"), ranks, P.PATTERN), ranks)
+    same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
+    lost = F.raise_error(F.lit("a text does not survive its encoding"))
+    ids = ids.withColumn("ids", F.when(same, F.col("ids")).otherwise(lost))
     return ids.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids")
 
 
@@ -52,7 +57,7 @@ STAGES = [
     ("encode", encode),
 ]
 
-# SQL has no SimHash components and no byte-level BPE: tested against a plain version.
+# SQL has no SimHash components and no byte-level BPE: tests/llm compares run() with a plain version.
 ORACLE_SQL = None
 
 
