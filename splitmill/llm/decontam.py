@@ -5,8 +5,9 @@ window).  The windows' hashes form a set that every task holds; each document's
 are hashed in place and looked up.  What is found is verified word by word, and spans or
 documents are removed.  Documents stay where they are: nothing of them is shuffled.
 
-The set travels with the plan, so its size is checked first (INLINE windows).  A larger
-benchmark is joined as a table instead; the results are the same."""
+The set travels with the plan, so its size is checked first (INLINE windows, BYTES of words
+and item ids).  A larger benchmark is joined as a table instead: windows first, then the
+items of the windows that a document holds; the results are the same."""
 
 from __future__ import annotations
 
@@ -19,9 +20,11 @@ from .common import ascii_lower, column, free_name, let, staged
 
 SIZE = 10
 INLINE = 20_000
+BYTES = 8 << 20
 BUCKETS = 4096
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 HIT = "struct<at:int,len:int,words:array<string>,items:array<string>>"
+BARE = "struct<at:int,len:int,words:array<string>>"
 
 
 def normal_words(text: Column) -> Column:
@@ -31,12 +34,17 @@ def normal_words(text: Column) -> Column:
 
 
 def test_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
-    """(len, hash, words, items): the distinct windows and the ids (as text) of the items
-    that hold them.  Items without words give none; an item without an id is in no list."""
+    """(len, words, item): the distinct windows, a row for each id (as text) of an item that
+    holds them.  Items without words give none; an item without an id is null."""
     items = benchmark.select(column(benchmark, id_col).cast("string").alias("item"), normal_words(column(benchmark, text_col)).alias("w")).where(F.size("w") > 0)
     items = items.withColumn("len", F.least(F.size("w"), F.lit(size)))
     each = items.select("item", "len", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("len") + 1), lambda i: F.slice("w", i, F.col("len")))).alias("words"))
-    return each.groupBy("len", "words").agg(F.collect_set("item").alias("items")).select("len", F.xxhash64("words").alias("hash"), "words", "items")
+    return each.select("len", "words", "item").distinct()
+
+
+def _name(words: Column) -> Column:
+    """A window's name; words have no spaces."""
+    return F.sha2(F.array_join(words, " "), 256)
 
 
 def _positions(words: Column, n: int) -> Column:
@@ -64,9 +72,9 @@ def _looked_up(words: Column, windows: DataFrame) -> Column:
     return F.concat(*[hits(n, hashes) for n, hashes in sorted(lens.items())]) if lens else F.expr(f"cast(array() as array<{HIT}>)")
 
 
-def _joined(docs: DataFrame, windows: DataFrame, text_col: str, hits: str) -> DataFrame:
-    """``docs`` with the same hits in column ``hits``, found by a join: for a benchmark that is
-    too large for the plan."""
+def _joined(docs: DataFrame, windows: DataFrame, owners: DataFrame, text_col: str, hits: str, items: str) -> DataFrame:
+    """``docs`` with the same hits in column ``hits`` (without items) and the items of the true
+    ones in ``items``, found by joins: for a benchmark that is too large for the plan."""
     row = free_name(docs, "_row")
     rows = staged(docs.withColumn(row, F.monotonically_increasing_id()), "decontam-rows")
     lens = sorted(r["len"] for r in windows.select("len").distinct().collect())  # at most SIZE of them
@@ -78,12 +86,22 @@ def _joined(docs: DataFrame, windows: DataFrame, text_col: str, hits: str) -> Da
         return F.concat(*[mark(w, n) for n in lens])
 
     seen = rows.select(row, F.inline(let(normal_words(column(rows, text_col)), marks))).join(windows, ["len", "hash"])
-    lists = seen.groupBy(row).agg(F.collect_list(F.struct("at", "len", "words", "items")).alias(hits))
-    return rows.join(lists, row, "left").withColumn(hits, F.coalesce(hits, F.expr(f"cast(array() as array<{HIT}>)"))).drop(row)
+    lists = staged(seen.groupBy(row).agg(F.collect_list(F.struct("at", "len", "words")).alias(hits)), "decontam-hits")
+    names = lambda w: F.array_distinct(F.transform(_true(w, F.col(hits)), lambda x: _name(x["words"])))
+    held = rows.select(row, column(rows, text_col).alias("_held")).join(lists, row).select(row, F.explode(let(normal_words(F.col("_held")), names)).alias("_window"))
+    found = held.join(owners, "_window").groupBy(row).agg(F.collect_set("item").alias(items))
+    return rows.join(lists, row, "left").join(found, row, "left").withColumns({
+        hits: F.coalesce(hits, F.expr(f"cast(array() as array<{BARE}>)")),
+        items: F.coalesce(items, F.expr("cast(array() as array<string>)")),
+    }).drop(row)
+
+
+def _true(words: Column, hits: Column) -> Column:
+    return F.filter(hits, lambda x: F.slice(words, x["at"], x["len"]) == x["words"])
 
 
-def _verdict(words: Column, hits: Column) -> Column:
-    """What find_contamination returns of one document."""
+def _verdict(words: Column, hits: Column, items: Column | None = None) -> Column:
+    """What find_contamination returns of one document; ``items`` if the hits have none."""
 
     def covered(spans: Column) -> Column:
         new = lambda a, x: F.greatest(F.lit(0), x["at"] + x["len"] - F.greatest(a["end"], x["at"]))
@@ -98,35 +116,39 @@ def _verdict(words: Column, hits: Column) -> Column:
         return F.struct(
             F.size(words).cast("bigint").alias("n_words"),
             covered(spans).alias("n_hit"),
-            F.array_sort(F.array_distinct(F.flatten(F.transform(spans, lambda x: x["items"])))).alias("hit_items"),
+            F.array_sort(F.array_distinct(F.flatten(F.transform(spans, lambda x: x["items"]))) if items is None else items).alias("hit_items"),
             F.transform(spans, lambda x: F.struct(x["at"].alias("at"), x["len"].alias("len"))).alias("hit_spans"),
             (F.size(spans) > 0).alias("contaminated"),
         )
 
-    true = F.filter(hits, lambda x: F.slice(words, x["at"], x["len"]) == x["words"])
-    return let(F.array_sort(true), out)
+    return let(F.array_sort(_true(words, hits)), out)
 
 
 OUT = ("n_words", "n_hit", "hit_items", "hit_spans", "contaminated")
 
 
 def find_contamination(
-    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = SIZE, inline: int = INLINE
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = SIZE, inline: int = INLINE, most_bytes: int = BYTES
 ) -> DataFrame:
     """``docs`` with n_words, n_hit (words inside any occurrence of a test window),
     hit_items (ids of items with an occurring window, as text, sorted), hit_spans (array of
     at, len: verified windows, words counted from 1) and contaminated (n_hit > 0).  Columns
     of these names are replaced.  Null and wordless texts have no words and no hits; an
     empty benchmark hits nothing; equal items count by their id; equal rows stay."""
-    windows = staged(test_windows(benchmark, item_col, item_text_col, size), "decontam-windows")
+    pairs = staged(test_windows(benchmark, item_col, item_text_col, size), "decontam-items")
+    windows = staged(pairs.select("len", "words").distinct().withColumn("hash", F.xxhash64("words")), "decontam-windows")
+    n, word_bytes = windows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.array_join("words", " "))), F.lit(0))).first()
+    item_bytes = pairs.agg(F.coalesce(F.sum(F.octet_length("item") + 4), F.lit(0))).first()[0]
     # inline() makes one row of one verdict: it is computed once, whatever is done with it
-    if windows.count() <= inline:
+    if n <= inline and word_bytes + item_bytes <= most_bytes:
+        windows = pairs.groupBy("len", "words").agg(F.collect_set("item").alias("items")).withColumn("hash", F.xxhash64("words"))
         verdict = let(normal_words(column(docs, text_col)), lambda w: let(_looked_up(w, windows), lambda h: _verdict(w, h)))
         return _replaced(docs, F.inline(F.array(verdict)))
-    hits = free_name(docs, "_hits")
-    rows = _joined(docs, windows, text_col, hits)
-    verdict = let(normal_words(column(rows, text_col)), lambda w: _verdict(w, F.col(hits)))
-    return _replaced(rows, F.inline(F.array(verdict))).drop(hits)
+    hits, items = free_name(docs, "_hits"), free_name(docs, "_items")
+    owners = pairs.where("item is not null").select(_name(F.col("words")).alias("_window"), "item")
+    rows = _joined(docs, windows, owners, text_col, hits, items)
+    verdict = let(normal_words(column(rows, text_col)), lambda w: _verdict(w, F.col(hits), F.col(items)))
+    return _replaced(rows, F.inline(F.array(verdict))).drop(hits, items)
 
 
 def _replaced(rows: DataFrame, made: Column) -> DataFrame:
