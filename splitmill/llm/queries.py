@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, oracle_sql, quality, records, secrets, sharding, simhash, substring, urls
+from . import align, bpe, chat, decontam, fim, oracle_sql, quality, records, secrets, sharding, simhash, substring, urls
 from .common import shared_folder
 
 URL_RULES = [("net/", True), ("example.net/en/", False), ("example.com/de/", True), ("org/fr/", False)]
@@ -109,6 +109,22 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as P
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = align.align(docs, P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"))
+    digest = F.when(F.col("groups") == "", "").otherwise(_sha(F.col("groups")))
+    return made.withColumn("groups_sha256", digest).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_shared")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = fim.fill_in_middle(docs, seed=7, percent=100, spm=50)
+    back = fim.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", _sha(F.col("output")).alias("output_sha256"), _sha(back).alias("restored_sha256"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_url_filters": op2_url_filters,
@@ -120,6 +136,8 @@ QUERIES = {
     "op8_records": op8_records,
     "op9_chat": op9_chat,
     "op10_decontaminate": op10_decontaminate,
+    "op12_align": op12_align,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 ORACLE: dict[str, str] = {
@@ -127,4 +145,5 @@ ORACLE: dict[str, str] = {
     "op3_substring_dedup": oracle_sql.SUBSTRING,
     "op9_chat": oracle_sql.chat(OWN_CONVERSATION),
     "op10_decontaminate": oracle_sql.DECONTAMINATE,
+    "op13_fill_in_middle": oracle_sql.FILL_IN_MIDDLE,
 }
