@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, bpe, chat, decontam, fim, oracle_sql, quality, records, secrets, sharding, simhash, substring, urls
+from . import align, bpe, chat, decontam, fim, oracle_sql, pii, quality, records, secrets, sharding, simhash, substring, urls
 from .common import shared_folder
 
 URL_RULES = [("net/", True), ("example.net/en/", False), ("example.com/de/", True), ("org/fr/", False)]
@@ -109,6 +109,16 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    spans = F.col("pii_spans")
+    base = F.filter(spans, lambda s: s["base"])
+    of = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("bigint")
+    return pii.find_pii(docs, pii.trained_on(docs)).select(
+        "doc_id", *[of(kind).alias(f"n_{kind}") for kind in pii.BASE], _sha(pii.spans_text(base)).alias("base_sha256"), pii.spans_text(spans).alias("spans")
+    )
+
+
 def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
@@ -136,6 +146,7 @@ QUERIES = {
     "op8_records": op8_records,
     "op9_chat": op9_chat,
     "op10_decontaminate": op10_decontaminate,
+    "op11_pii": op11_pii,
     "op12_align": op12_align,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
