@@ -33,9 +33,11 @@ from .bpe import merge_piece
 from .common import column, shared_folder, staged
 
 HOT = 1 << 19  # id pairs whose counts travel to every task: 12 bytes each
-CACHE = 120_000  # parts of texts that a worker remembers, of LONG characters at most
+CACHE = 200_000  # parts of texts that a worker remembers, of LONG characters at most
 LONG = 48
-CHUNK = 1_000_000  # code points, or token bytes, that are worked on together
+RUN = 1000  # characters of a part that the merge table's own encoder is given
+TOGETHER = 200  # new parts in one call of the tokenizers
+CHUNK = 500_000  # code points, or token bytes, that are worked on together
 GATHERED = 2_000_000  # id pairs that a task holds before it hands on their counts
 SPACE_MARK = "▁"
 
@@ -65,13 +67,12 @@ class Rows:
     def times(self, other: Rows) -> Rows:
         """The product, row by row: an entry (r, k) brings row k of ``other``, and entries of
         r that meet in a column are added up."""
-        many = np.diff(other.starts)[self.cols]
-        ends = np.cumsum(many)
-        total = int(ends[-1]) if len(ends) else 0
-        take = np.arange(total) - np.repeat(ends - many, many) + np.repeat(other.starts[self.cols], many)
-        row = np.repeat(self.row_of_entry(), many)
-        col = other.cols[take]
-        value = np.repeat(self.data, many) * other.data[take]
+        many, take, row, value = np.diff(other.starts)[self.cols], other.starts[self.cols], self.row_of_entry(), self.data
+        if (many != 1).any():
+            ends = np.cumsum(many)
+            take = np.arange(ends[-1]) - np.repeat(ends - many - take, many)
+            row, value = np.repeat(row, many), np.repeat(value, many)
+        col, value = other.cols[take], value * other.data[take]
         key = row.astype(np.int64) * other.width + col
         if len(key) and (key[1:] < key[:-1]).any():
             order = np.argsort(key, kind="stable")
@@ -184,12 +185,13 @@ class BytePairs:
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         return sorted(known[c] for c in byte_alphabet()) == list(range(256)) and all(known.get(x + y) == 256 + k for k, (x, y) in enumerate(merges))
 
-    def __call__(self, text: str) -> list[int]:
+    def __call__(self, text: str, longest: int | None = None) -> list[int]:
+        """Ids of a text without runs of over ``longest`` characters between white space."""
         if not self.ranked:
             return self.slow.encode(text, add_special_tokens=False).ids
-        if len(text) <= 1000:
+        if (longest or len(text)) <= RUN:
             return self.quick.encode_ordinary(text)
-        # a long run without white space: time in proportion to n log n
+        # maybe a long run: time in proportion to n log n
         return [k for piece in self.find(text) for k in merge_piece(piece.encode(), self.ranks)]
 
 
@@ -207,23 +209,52 @@ class Pair:
 
         self.a = BytePairs(a_path)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
-        self.a_vocabulary, self.b_vocabulary = self.a.vocabulary, piece_vocabulary(self.b)
-        self.kinds = [np.dtype("<u2" if max(v) < 1 << 16 else "<u4") for v in (self.a_vocabulary, self.b_vocabulary)]
+        known = self.a.vocabulary, piece_vocabulary(self.b)
+        self.kinds = [np.dtype("<u2" if max(v) < 1 << 16 else "<u4") for v in known]
+        self.tables = [[v.get(k, b"") for k in range(max(max(v) + 1, self.b.vocab_size()))] for v in known]
         self.parts: dict[str, tuple[bytes, bytes] | None] = {}
-        self.cut = re.compile(r" (?<=\S )(?=\S)").split if self._parts_are_apart() else lambda text: [text]
+        self.apart = self._parts_are_apart(known[1])
+        self.cut = re.compile(r" (?<=\S )(?=\S)").split if self.apart else lambda text: [text]
 
-    def _parts_are_apart(self) -> bool:
+    def _parts_are_apart(self, pieces: dict[int, bytes]) -> bool:
         """Whether no piece of b goes on after a space that follows something else, and a
         space is put before a text; what the cut relies on (a's pattern sees to its side)."""
-        inner = any(SPACE_MARK in self.b.id_to_piece(k).lstrip(SPACE_MARK) for k in self.b_vocabulary)
+        inner = any(SPACE_MARK in self.b.id_to_piece(k).lstrip(SPACE_MARK) for k in pieces)
         return self.a.ranked and not inner and self.b.encode("a a") == self.b.encode("a") * 2 and len(self.b.encode("a")) == 1
 
     def learn(self, parts: list[str]) -> None:
         """Ids of new parts; None if a side does not give the bytes of space + part."""
-        mine, theirs = self.a_vocabulary, self.b_vocabulary
+        inner = [p for p in parts if len(p) <= RUN and not (p[:1].isspace() or p[-1:].isspace())] if self.apart else []
+        for k in range(0, len(inner), TOGETHER):
+            some = inner[k : k + TOGETHER]
+            if not self._together(some):
+                self._one_by_one(some)
+        if len(inner) < len(parts):
+            self._one_by_one(list(set(parts).difference(inner)))
+
+    def _together(self, parts: list[str]) -> bool:
+        """Ids of parts that are neighbours in one text; they end where the bytes of a part do.
+        False if they don't, or the bytes differ."""
+        text = " ".join(parts)
+        raw = f" {text}".encode()
+        upto = np.cumsum(np.fromiter((len(p.encode()) for p in parts), np.int64, len(parts)) + 1)
+        found = []
+        for side, ids in enumerate((self.a(f" {text}", RUN), self.b.encode(text))):
+            tokens = list(map(self.tables[side].__getitem__, ids))
+            ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)))
+            at = np.searchsorted(ends, upto)
+            if b"".join(tokens) != raw or (ends[at] != upto).any():
+                return False
+            size = self.kinds[side].itemsize
+            got, cuts = np.array(ids, self.kinds[side]).tobytes(), ((at + 1) * size).tolist()
+            found.append([got[i:j] for i, j in zip([0, *cuts], cuts)])
+        self.parts.update(zip(parts, zip(*found)))
+        return True
+
+    def _one_by_one(self, parts: list[str]) -> None:
         for part, b in zip(parts, self.b.encode(parts, num_threads=1)):
             a, raw = self.a(f" {part}"), f" {part}".encode()
-            same = b"".join([theirs.get(k, b"") for k in b]) == raw and b"".join([mine.get(k, b"") for k in a]) == raw
+            same = all(b"".join(map(table.__getitem__, ids)) == raw for table, ids in zip(self.tables, (a, b)))
             self.parts[part] = (np.array(a, self.kinds[0]).tobytes(), np.array(b, self.kinds[1]).tobytes()) if same else None
 
     def chunk(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
@@ -262,15 +293,14 @@ def tokens(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = pair(a_path, b_path)
         for batch in batches:
-            done, held, total = [], [], 0
-            for text in batch.column(1):
+            held, total, begin = [], 0, 0
+            for end, text in enumerate(batch.column(1), 1):
                 held.append(text.as_py() or "")
                 total += len(held[-1])
-                if total >= CHUNK:
-                    done += work.chunk(held)
-                    held, total = [], 0
-            done += work.chunk(held)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([d[k] for d in done], pa.binary()) for k in (0, 1)]], names=["id", "a", "b"])
+                if total >= CHUNK or end == batch.num_rows:
+                    made = work.chunk(held)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), *[pa.array([m[k] for m in made], pa.binary()) for k in (0, 1)]], names=["id", "a", "b"])
+                    held, total, begin = [], 0, end
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(column(docs, id_col).alias("id"), column(docs, text_col).alias("text")).mapInArrow(run, f"id {kind}, a binary, b binary")
@@ -343,13 +373,13 @@ class Batch:
 
 def _batches(batch: pa.RecordBatch, known: Lengths) -> Iterator[tuple[int, int, Batch]]:
     """(first row, end row, texts) of an Arrow batch: about CHUNK token bytes at a time."""
-    a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-    begin = total = 0
-    for k in range(len(a)):
-        total += 2 * len(a[k])  # an id of two bytes stands for about four
-        if total >= CHUNK or k == len(a) - 1:
-            yield begin, k + 1, Batch(known, list(zip(a[begin : k + 1], b[begin : k + 1])))
-            begin, total = k + 1, 0
+    held, begin, total = [], 0, 0
+    for end, (a, b) in enumerate(zip(batch.column("a"), batch.column("b")), 1):
+        held.append((a.as_py(), b.as_py()))
+        total += 2 * len(held[-1][0])  # an id of two bytes stands for about four
+        if total >= CHUNK or end == batch.num_rows:
+            yield begin, end, Batch(known, held)
+            held, begin, total = [], end, 0
 
 
 def pair_counts(ids: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -450,14 +480,12 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _known(a_path, b_path)
         for batch in batches:
-            columns: list[list] = [[] for _ in range(8)]
-            for _, _, texts in _batches(batch, known):
-                for into, got in zip(columns, _summed(texts, *shared.value)):
-                    into.extend(got)
-            arrays = [pa.array(c, pa.string() if k == 7 else pa.int64()) for k, c in enumerate(columns)]
-            for k, name in ((5, "more_best"), (6, "more_sum")):
-                arrays[k] = pa.compute.add(arrays[k], pa.compute.fill_null(batch.column(name), 0))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *arrays], names=fields)
+            for begin, end, texts in _batches(batch, known):
+                own = batch.slice(begin, end - begin)
+                arrays = [pa.array(c, pa.string() if k == 7 else pa.int64()) for k, c in enumerate(_summed(texts, *shared.value))]
+                for k, name in ((5, "more_best"), (6, "more_sum")):
+                    arrays[k] = pa.compute.add(arrays[k], pa.compute.fill_null(own.column(name), 0))
+                yield pa.RecordBatch.from_arrays([own.column("id"), *arrays], names=fields)
 
     out = ids.select("id", "a", "b", "more_best", "more_sum").mapInArrow(run, f"id {made.schema['id'].dataType.simpleString()}, {RESULT}")
     return out.withColumnRenamed("id", id_col)
