@@ -165,11 +165,24 @@ def judge(docs: DataFrame, host_col: str = "source", text_col: str = "text", lim
     return rows.select(*[F.col(g).alias(c) for c, g in given.items()], *OUT)
 
 
+def _holds(ordered: Column, x: Column) -> Column:
+    """Whether a sorted array holds ``x``: halved until one place is left."""
+    def halved(at: Column, _: Column) -> Column:
+        middle = F.floor((at["low"] + at["high"]) / 2).cast("int")
+        less = F.get(ordered, middle) < x
+        return F.struct(F.when(less, middle + 1).otherwise(at["low"]).alias("low"), F.when(less, at["high"]).otherwise(middle).alias("high"))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(ordered) + 1)).cast("int"))
+    found = F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.size(ordered).alias("high")), halved, lambda at: F.get(ordered, at["low"]))
+    return F.coalesce(found == x, F.lit(False))
+
+
 def clean(docs: DataFrame, host_col: str = "source", text_col: str = "text", limits: LineLimits = LineLimits(), hot: int = HOT) -> DataFrame:
-    """The documents that pass, without their removed lines; all columns are kept."""
-    narrow = docs.select(column(docs, text_col).alias("_text"), column(docs, host_col).alias("_from"), F.struct(*[column(docs, c).alias(c) for c in docs.columns]).alias("_all"))
-    judged = judge(narrow, "_from", "_text", limits, hot).where("kept")
-    dropped = lambda x, gone: F.array_contains(gone, F.xxhash64(normal_line(x)))
-    without = let(F.col("removed_lines"), lambda gone: F.array_join(F.filter(_split_lines(F.col("_text")), lambda x: ~dropped(x, gone)), "\n"))
-    text = F.when(F.size("removed_lines") > 0, without).otherwise(F.col("_text"))
-    return judged.select(*[text.alias(c) if c == text_col else F.col("_all")[c].alias(c) for c in docs.columns])
+    """The documents that pass, without their removed lines; all columns are kept.  A text
+    is carried once; its lines are looked up in the sorted hashes that it loses."""
+    mine = {c: f"_mine{k}" for k, c in enumerate(docs.columns)}
+    judged = judge(docs.toDF(*mine.values()), mine[host_col], mine[text_col], limits, hot).where("kept")
+    given = F.col(mine[text_col])
+    without = let(F.col("removed_lines"), lambda gone: F.array_join(F.filter(_split_lines(given), lambda x: ~_holds(gone, F.xxhash64(normal_line(x)))), "\n"))
+    text = F.when(F.size("removed_lines") > 0, without).otherwise(given)
+    return judged.select(*[(text if c == text_col else F.col(m)).alias(c) for c, m in mine.items()])
