@@ -5,24 +5,32 @@
     role         := lower-case word | "%" hex digits of its UTF-8 bytes
     text         := characters; a backslash stands for the character after it
 
-The parser cuts at ``</turn>\\n`` and at the first ``:\\n``, and undoes escapes.  Every turn is
-rendered as it is, parsed, and compared with its source.  If they differ it is rendered
-with a backslash before each backslash and inside each ``</``, so that ``</turn>`` can't
-occur in a text, and compared again."""
+The marks that open (``### role:``, in any case) and close (``</turn>``) a turn are control
+strings wherever they stand.  The parser finds every mark, cuts at ``</turn>\\n`` and at the
+first ``:\\n``, and undoes escapes.  Every turn is rendered as it is and parsed; if the marks
+are not just its own two, or what is recovered is not its source, it is rendered with a
+backslash before each backslash, inside each ``</`` and between neighbouring ``#``, so that no
+mark can occur in a text, and parsed again.
+
+The loss mask is a list of code-point spans over the formatted text: what the assistant
+says, as it stands there."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import column
 
 OPEN, MIDDLE, CLOSE = "### ", ":\n", "</turn>\n"
 LEARNED = "assistant"
+MARKS = r"(?i)### [a-z0-9_%]*:|</turn>"
+MASK = "array<struct<turn:int,at:int,start:int,end:int>>"
 
 
 def escape(text: Column) -> Column:
-    return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("</"), F.lit("<\\/"))
+    slashes = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("</"), F.lit("<\\/"))
+    return F.regexp_replace(slashes, "#(?=#)", r"#\\")
 
 
 def unescape(text: Column) -> Column:
@@ -53,39 +61,60 @@ def parse(formatted: Column) -> Column:
 
 
 def _same(rendered: Column, role: Column, text: Column) -> Column:
-    """Whether a rendered turn is parsed back to exactly its source."""
+    """Whether a rendered turn has just its own two marks and is parsed back to exactly its
+    source.  (A backslash that stands for itself might hide a mark: it is never the same.)"""
     turns = split_turns(rendered)
     got = parse_turn(F.element_at(turns, 1))
-    return (F.size(turns) == 1) & (got["role"] == role) & (got["text"] == text)
+    alone = (F.size(turns) == 1) & (F.regexp_count(rendered, F.lit(MARKS)) == 2) & ~rendered.contains("\\" + CLOSE)
+    return alone & (got["role"] == role) & (got["text"] == text)
+
+
+def _role_name(role: Column) -> Column:
+    return F.when(role.rlike(r"\A[a-z_]+\z"), role).otherwise(F.concat(F.lit("%"), F.hex(F.encode(role, "utf-8"))))
 
 
 def rendered_turn(role: Column, text: Column) -> Column:
-    """A turn, escaped no more than it needs for its round trip."""
-    name = F.when(role.rlike(r"\A[a-z_]+\z"), role).otherwise(F.concat(F.lit("%"), F.hex(F.encode(role, "utf-8"))))
-    plain = render_turn(name, text)
-    escaped = render_turn(name, escape(text))
+    """A turn, escaped if its round trip needs it."""
+    plain = render_turn(_role_name(role), text)
+    escaped = render_turn(_role_name(role), escape(text))
+    again = parse_turn(F.element_at(split_turns(escaped), 1))
+    whole = (F.size(split_turns(escaped)) == 1) & (F.regexp_count(escaped, F.lit(MARKS)) == 2) & (again["role"] == role) & (again["text"] == text)
     lost = F.raise_error(F.lit("a turn does not survive its round trip"))
-    return F.when(_same(plain, role, text), plain).when(_same(escaped, role, text), escaped).otherwise(lost)
+    return F.when(_same(plain, role, text), plain).when(whole, escaped).otherwise(lost)
 
 
 def format_conversations(
     rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text"
 ) -> DataFrame:
-    """(conv_col, formatted): one row per conversation, its turns in the order of ``turn_col``
-    (null first; ties by role, then text; equal rows stay).  Null roles and texts are
-    empty; rows without a conversation id form one conversation.  Other columns are not
-    read.  An empty table gives no conversations.  A conversation is one value, so it is
-    put together in one task and has Spark's limit of 2 GB for a value."""
+    """(conv_col, formatted, loss_spans): one row per conversation, its turns in the order of
+    ``turn_col`` (null first; ties by role, then text; equal rows stay).  Null roles and
+    texts are empty; rows without a conversation id form one conversation.  Other columns
+    are not read.  An empty table gives no conversations.
+
+    loss_spans, the loss mask, has an entry for each turn of the assistant: ``start`` and ``end``
+    in ``formatted`` (code points from 0, end exclusive), ``turn`` (its number, from 0) and ``at``
+    (where its text starts in the turn).  A conversation is one value, so it is put
+    together in one task and has Spark's limit of 2 GB for a value."""
     role = F.coalesce(column(rows, role_col), F.lit(""))
     text = F.coalesce(column(rows, text_col), F.lit(""))
-    turns = rows.select(
-        column(rows, conv_col).alias(conv_col),
-        F.struct(column(rows, turn_col).alias("turn"), role.alias("role"), text.alias("text"), rendered_turn(role, text).alias("out")).alias("_turn"),
+    turns = rows.select(column(rows, conv_col).alias("conv"), column(rows, turn_col).alias("turn"), role.alias("role"), text.alias("text"), rendered_turn(role, text).alias("out"))
+    order = Window.partitionBy("conv").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    turns = turns.withColumns({"number": F.row_number().over(order) - 1, "begin": F.coalesce(F.sum(F.length("out")).over(before), F.lit(0)).cast("int")})
+    at = F.length(_role_name(F.col("role"))) + len(OPEN) + len(MIDDLE)
+    made = F.struct("number", "begin", "out", (F.col("role") == LEARNED).alias("learned"), at.alias("at"))
+    grouped = turns.select("conv", made.alias("t")).groupBy("conv").agg(F.sort_array(F.collect_list("t")).alias("ts"))
+    span = lambda t: F.struct(t["number"].alias("turn"), t["at"].alias("at"), (t["begin"] + t["at"]).alias("start"), (t["begin"] + F.length(t["out"]) - len(CLOSE)).alias("end"))
+    return grouped.select(
+        F.col("conv").alias(conv_col),
+        F.array_join(F.transform("ts", lambda t: t["out"]), "").alias("formatted"),
+        F.transform(F.filter("ts", lambda t: t["learned"]), span).cast(MASK).alias("loss_spans"),
     )
-    grouped = turns.groupBy(conv_col).agg(F.sort_array(F.collect_list("_turn")).alias("_turns"))
-    return grouped.select(conv_col, F.array_join(F.transform("_turns", lambda t: t["out"]), "").alias("formatted"))
 
 
-def loss_text(turns: Column) -> Column:
-    """All text under the loss mask: what the assistant says, in order."""
-    return F.array_join(F.transform(F.filter(turns, lambda t: t["role"] == LEARNED), lambda t: t["text"]), "")
+def loss_text(formatted: Column, loss_spans: Column) -> Column:
+    """All text under the loss mask, unescaped, in order.  Each span is read in its own turn
+    (so that a long conversation is gone through once, not from its start for each)."""
+    turns = split_turns(formatted)
+    said = lambda s: F.substr(F.get(turns, s["turn"]), s["at"] + 1, s["end"] - s["start"])
+    return F.array_join(F.transform(loss_spans, lambda s: unescape(said(s))), "")

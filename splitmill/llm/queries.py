@@ -86,7 +86,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     own = spark.createDataFrame([(-7, 0, "user", OWN_CONVERSATION), (-7, 1, "assistant", OWN_CONVERSATION)], rows.schema)
     made = chat.format_conversations(rows.unionByName(own)).withColumn("turns", chat.parse(F.col("formatted")))
-    said = chat.loss_text(F.col("turns"))
+    said = chat.loss_text(F.col("formatted"), F.col("loss_spans"))
     all_turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return made.select(
         "conv_id",
