@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ensure_worker_path
 from .common import column, free_name, shared_folder, staged, utf8, with_arrow
 
 RULES_VERSION = "3"
@@ -117,35 +118,41 @@ def find_secrets(docs: DataFrame, key_cols: list[str], ledger: str | None = None
     and version of a blob gets the blob's findings.  Columns of these names are replaced.
     Null text is empty; an empty table gives an empty result; equal rows stay."""
     known = update_ledger(docs, ledger or shared_folder(docs.sparkSession, "secrets-ledger"), key_cols, text_col, version)
-    hits = known.where(F.size("spans") > 0).dropDuplicates(["blob"]).select(F.col("blob").alias("_b"), F.col("spans").alias("_s"))
-    rows = docs.withColumn("blob", blob_of(column(docs, text_col)))
-    rows = rows.drop("secret_spans", *([text_col] if text_col != "blob" else []))
-    out = rows.join(hits, F.col("blob") == F.col("_b"), "left")
-    return out.withColumn("secret_spans", F.coalesce("_s", F.expr(f"cast(array() as array<{SPAN}>)"))).drop("_b", "_s")
+    key, found = free_name(docs, "_blob"), free_name(docs, "_spans")
+    hits = known.where(F.size("spans") > 0).dropDuplicates(["blob"]).select(F.col("blob").alias(key), F.col("spans").alias(found))
+    kept = [column(docs, c).alias(c) for c in docs.columns if c not in (text_col, "blob", "secret_spans")]
+    rows = docs.select(*kept, blob_of(column(docs, text_col)).alias("blob"))
+    out = rows.join(hits, F.col("blob") == F.col(key), "left")
+    return out.withColumn("secret_spans", F.coalesce(found, F.expr(f"cast(array() as array<{SPAN}>)"))).drop(key, found)
+
+
+def masked(text: str, spans: list[dict]) -> str:
+    """``text`` with its spans (by start, then kind) replaced; one pass over both."""
+    out, at = [], 0
+    for s in spans:
+        if s["start"] >= at:
+            out += [text[at : s["start"]], "[", s["kind"], "]"]
+        at = max(at, s["end"])
+    return "".join([*out, text[at:]])
 
 
 def mask_secrets(docs: DataFrame, key_cols: list[str], ledger: str | None = None, text_col: str = "text", version: str = RULES_VERSION) -> DataFrame:
     """``docs`` with every span replaced by ``[kind]`` in the text (of overlapping spans the
     first by start, then kind; the rest of a later one is masked too).  Documents without
     findings, null texts included, stay as they are.  All columns are kept."""
+    ensure_worker_path(docs.sparkSession)
     known = update_ledger(docs, ledger or shared_folder(docs.sparkSession, "secrets-ledger"), key_cols, text_col, version)
     blob, spans = free_name(docs, "_blob"), free_name(docs, "_spans")
     hits = known.where(F.size("spans") > 0).dropDuplicates(["blob"]).select(F.col("blob").alias(blob), F.col("spans").alias(spans))
-    text = column(docs, text_col)
+    text, made = column(docs, text_col), free_name(docs, "_masked")
     marked = docs.join(hits, blob_of(text) == F.col(blob), "left")
-    masked = F.aggregate(
-        spans,
-        F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
-        lambda acc, s: F.struct(
-            F.when(
-                s["start"] >= acc["at"],
-                F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), s["kind"], F.lit("]")),
-            ).otherwise(acc["out"]).alias("out"),
-            F.greatest(acc["at"], s["end"]).alias("at"),
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
-    )
-    return marked.withColumn(text_col, F.when(F.col(spans).isNotNull(), masked).otherwise(text)).drop(blob, spans)
+
+    def work(texts: pa.Array, found: pa.Array) -> pa.Array:
+        rows = (None if t is None else masked(t, s) if s else t for t, s in zip(texts.to_pylist(), found.to_pylist()))
+        return pa.array(rows, pa.string())
+
+    rows = marked.withColumn(made, F.arrow_udf(work, "string")(text, F.col(spans)))
+    return rows.select(*[column(rows, made if c == text_col else c).alias(c) for c in docs.columns])
 
 
 def spans_text(spans: Column) -> Column:
