@@ -1,86 +1,106 @@
 """Exact top-k vector retrieval (O-4) and cross-query de-duplication (U-6).
 
-The query set is checked for size and shipped to every task in bounded chunks;
-each task scores its share of the corpus with NumPy on Arrow batches and keeps a
-running top-k per query, so only ``k x tasks`` candidates per query are
-shuffled.  The final ranking is a window over (query) with ``row_number``.
-No pair table is ever materialised and no corpus row reaches the driver."""
+Queries and corpus are packed into blocks of bounded bytes on the executors, and each
+query block meets each corpus block once (a join of the two block tables; Spark
+broadcasts the query blocks if their measured size allows it, else it reads the written
+table of them in each task).  A pair of blocks is scored with one matrix product.  The
+product's distances carry an error that is bounded from the vectors' lengths; every row
+that may be among the ``k`` nearest within that bound is then measured from its own
+differences, so close vectors of large norm rank right.  A pair gives ``k`` rows for each
+query; Spark keeps ``k`` of a task's rows per query before it shuffles them, and ``k`` of
+all after.  No vector reaches the driver and no table of pairs is built."""
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-MAX_QUERIES_PER_CHUNK = 4096  # rows of the query matrix shipped to tasks at once
-SCORE_BLOCK = 2048  # corpus rows scored per NumPy block
+from ..session import ensure_worker_path, materialize
+
+BLOCK_BYTES = 1 << 20  # of a packed block; at least one vector
+SLICE = 1 << 22  # numbers in the arrays of exact differences
 METRICS = ("l2", "cosine")
 
 
-def _smallest_k(dist: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per row the k smallest distances, ordered by (distance, id).
-
-    Linear-time selection (``argpartition``); rows whose k-th distance is tied
-    with an unselected entry fall back to a full (distance, id) sort, so ties
-    are always resolved by the smaller id."""
-    n = dist.shape[1]
-    keep = min(k, n)
-    if n > keep:
-        dist_nan = np.where(np.isnan(dist), np.inf, dist)
-        part = np.argpartition(dist_nan, keep - 1, axis=1)[:, :keep]
-        kth = np.take_along_axis(dist_nan, part, axis=1).max(axis=1)
-        ties = (dist_nan == kth[:, None]).sum(axis=1) > (np.take_along_axis(dist_nan, part, axis=1) == kth[:, None]).sum(axis=1)
-        sel_d = np.take_along_axis(dist, part, axis=1)
-        sel_i = np.take_along_axis(ids, part, axis=1)
-        if np.any(ties):
-            rows = np.nonzero(ties)[0]
-            full = np.lexsort((ids[rows], dist[rows]), axis=1)[:, :keep]
-            sel_d[rows] = np.take_along_axis(dist[rows], full, axis=1)
-            sel_i[rows] = np.take_along_axis(ids[rows], full, axis=1)
+# ---------------------------------------------------------------- one pair of blocks
+
+
+def _unit(mat: np.ndarray) -> np.ndarray:
+    """Rows scaled to length one; a zero row becomes NaN."""
+    size = np.abs(mat).max(axis=1, keepdims=True)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        mat = mat / size  # so that squares neither overflow nor vanish
+        return mat / np.linalg.norm(mat, axis=1, keepdims=True)
+
+
+def _exact(q: np.ndarray, d: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Squared distances of the pairs (q[rows], d[cols]) from their differences."""
+    step = max(1, SLICE // max(q.shape[1], 1))
+    return np.concatenate([((q[rows[k : k + step]] - d[cols[k : k + step]]) ** 2).sum(axis=1) for k in range(0, len(rows), step)] or [np.zeros(0)])
+
+
+def nearest(q: np.ndarray, d: np.ndarray, order: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, corpus row, distance) of the ``k`` nearest rows of ``d`` for each row of
+    ``q``; equal distances by ``order``, the rank of each corpus row's id."""
+    if metric == "cosine":
+        q, d = _unit(q), _unit(d)
+    with np.errstate(over="ignore", invalid="ignore"):
+        qq, dd = (q * q).sum(axis=1), (d * d).sum(axis=1)
+        about = qq[:, None] + dd[None, :] - 2.0 * (q @ d.T)
+        # rounding of sums of dim products, of lengths up to |q| and |d|
+        error = 4 * (q.shape[1] + 8) * np.finfo(float).eps * (np.sqrt(qq)[:, None] + np.sqrt(dd)[None, :]) ** 2
+        low, high = about - error, about + error
+    lost = ~np.isfinite(low) | ~np.isfinite(high)
+    low[lost], high[lost] = -np.inf, np.inf
+    if d.shape[0] > k:
+        limit = np.partition(high, k - 1, axis=1)[:, k - 1]
+        rows, cols = np.nonzero(low <= limit[:, None])
     else:
-        sel_d, sel_i = dist, ids
-    order = np.lexsort((sel_i, sel_d), axis=1)
-    return np.take_along_axis(sel_d, order, axis=1), np.take_along_axis(sel_i, order, axis=1)
-
-
-def _candidates_fn(q_ids: np.ndarray, q_mat: np.ndarray, k: int, metric: str, doc_id: str, vec: str):
-    qn = np.linalg.norm(q_mat, axis=1)
-    q_sq = qn * qn
-
-    def run(batches):
-        best_d = np.full((len(q_ids), 0), np.inf)
-        best_i = np.zeros((len(q_ids), 0), dtype=np.int64)
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            ids = pdf[doc_id].to_numpy(np.int64)
-            mat = np.stack(pdf[vec].to_numpy()).astype(np.float64)
-            for s in range(0, len(ids), SCORE_BLOCK):
-                m = mat[s : s + SCORE_BLOCK]
-                bid = ids[s : s + SCORE_BLOCK]
-                dot = q_mat @ m.T
-                dn = np.linalg.norm(m, axis=1)
-                if metric == "l2":
-                    dist = np.sqrt(np.maximum(q_sq[:, None] + (dn * dn)[None, :] - 2.0 * dot, 0.0))
-                else:
-                    denom = qn[:, None] * dn[None, :]
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        dist = np.where(denom > 0, 1.0 - dot / denom, np.nan)
-                all_d = np.concatenate([best_d, dist], axis=1)
-                all_i = np.concatenate([best_i, np.broadcast_to(bid, dist.shape)], axis=1)
-                best_d, best_i = _smallest_k(all_d, all_i, k)
-        if best_d.shape[1] == 0:
-            return
-        n = best_d.shape[1]
-        yield pd.DataFrame(
-            {"query_id": np.repeat(q_ids, n), "doc_id": best_i.reshape(-1), "distance": best_d.reshape(-1)}
-        )
-
-    return run
+        rows, cols = np.divmod(np.arange(len(q) * len(d)), max(len(d), 1))
+    with np.errstate(over="ignore", invalid="ignore"):
+        far = _exact(q, d, rows, cols)
+        far = far / 2 if metric == "cosine" else np.sqrt(far)
+    by = np.lexsort((order[cols], far, rows))  # NaN (a zero vector's cosine) comes last
+    rows, cols, far = rows[by], cols[by], far[by]
+    first = np.searchsorted(rows, rows)
+    kept = np.arange(len(rows)) - first < k
+    return rows[kept], cols[kept], far[kept]
+
+
+# ---------------------------------------------------------------- on Spark
+
+
+def _vectors(df: DataFrame, id_col: str, vec: str) -> DataFrame:
+    """(id, v) of the rows that have a vector: not NULL, not empty, without NULL or NaN."""
+    v = F.col(vec).cast("array<double>")
+    whole = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x))
+    return df.select(F.col(id_col).alias("id"), v.alias("v")).where(F.coalesce(whole, F.lit(False)))
+
+
+def _packed(df: DataFrame, id_col: str, vec: str, block_bytes: int) -> DataFrame:
+    """(ids, dim, mat): blocks of rows of one dimension, as bytes of doubles."""
+    rows = _vectors(df, id_col, vec)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, vectors = batch.column(0), batch.column(1)
+            dims = pa.compute.list_value_length(vectors).to_numpy(zero_copy_only=False)
+            for dim in np.unique(dims).tolist():
+                at = np.flatnonzero(dims == dim)
+                step = max(1, block_bytes // (8 * dim))
+                for k in range(0, len(at), step):
+                    own = pa.array(at[k : k + step])
+                    mat = vectors.take(own).flatten().to_numpy(zero_copy_only=False).tobytes()
+                    names = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), ids.take(own))
+                    yield pa.RecordBatch.from_arrays([names, pa.array([dim], pa.int32()), pa.array([mat], pa.binary())], names=["ids", "dim", "mat"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"ids array<{kind}>, dim int, mat binary")
 
 
 def topk_similar(
@@ -92,45 +112,40 @@ def topk_similar(
     query_id: str = "query_id",
     vec: str = "embedding",
     metric: str = "l2",
-    max_queries_per_chunk: int = MAX_QUERIES_PER_CHUNK,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """``query_id, rank, doc_id, distance`` for the ``k`` nearest corpus rows of every query.
-
-    Exact: every corpus row is scored against every query.  Queries travel in
-    chunks of at most ``max_queries_per_chunk`` rows (the size check); larger
-    query sets run as several chunks whose results are unioned."""
-    from ..session import ensure_worker_path
+    """``query_id, rank, doc_id, distance`` for the ``k`` nearest corpus rows of every query,
+    equal distances by id.  Ids may be of any type that Spark can sort.
 
+    Exact: every query is compared with every corpus row of its dimension.  Rows whose
+    vector is NULL, empty, or holds a NULL or NaN take no part on either side; a zero
+    vector has no cosine (NaN, ranked last).  An id that several rows have counts for
+    each of them; queries of one id share their ``k`` rows.  Queries without a comparable row give no rows."""
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
-    ensure_worker_path(spark)
     if k <= 0:
         raise ValueError("k must be positive")
-    n_queries = queries.count()
-    chunks = max(1, math.ceil(n_queries / max_queries_per_chunk))
-    schema = T.StructType(
-        [T.StructField("query_id", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("distance", T.DoubleType())]
-    )
-    docs = corpus.select(F.col(doc_id).cast("long").alias(doc_id), F.col(vec).cast("array<double>").alias(vec))
-    parts = []
-    for c in range(chunks):
-        q = queries.select(F.col(query_id).cast("long").alias("qid"), F.col(vec).cast("array<double>").alias("qv"))
-        if chunks > 1:
-            q = q.where(F.pmod(F.xxhash64("qid"), F.lit(chunks)) == c)
-        qpdf = q.toPandas()  # bounded: at most ~max_queries_per_chunk rows by construction
-        if qpdf.empty:
-            continue
-        q_ids = qpdf["qid"].to_numpy(np.int64)
-        q_mat = np.stack(qpdf["qv"].to_numpy()).astype(np.float64)
-        parts.append(docs.mapInPandas(_candidates_fn(q_ids, q_mat, k, metric, doc_id, vec), schema))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, rank int, doc_id long, distance double")
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
+    ensure_worker_path(spark)
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((queries, query_id), (corpus, doc_id))]
+    blocks = materialize(_packed(queries, query_id, vec, block_bytes).withColumnsRenamed({"ids": "q_ids", "dim": "q_dim", "mat": "q_mat"}))
+    met = _packed(corpus, doc_id, vec, block_bytes).crossJoin(blocks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(batch.num_rows):
+                ids, dim, mat, q_ids, q_dim, q_mat = (c[n] for c in batch.columns)
+                if dim.as_py() != q_dim.as_py():
+                    continue
+                d, q = (np.frombuffer(m.as_py(), np.float64).reshape(-1, dim.as_py()) for m in (mat, q_mat))
+                order = np.empty(len(d), np.int64)
+                order[pa.compute.sort_indices(ids.values, null_placement="at_start").to_numpy()] = np.arange(len(d))
+                rows, cols, far = nearest(q, d, order, k, metric)
+                yield pa.RecordBatch.from_arrays([q_ids.values.take(pa.array(rows)), ids.values.take(pa.array(cols)), pa.array(far)], names=["query_id", "doc_id", "distance"])
+
+    cand = met.mapInArrow(run, f"query_id {kinds[0]}, doc_id {kinds[1]}, distance double")
     w = Window.partitionBy("query_id").orderBy(F.col("distance").asc(), F.col("doc_id").asc())
     ranked = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return ranked.select(F.col("query_id"), F.col("rank"), F.col("doc_id"), F.col("distance"))
+    return ranked.select("query_id", "rank", "doc_id", "distance")
 
 
 def dedupe_across_queries(hits: DataFrame, query_order: str = "query_id", rank: str = "rank") -> DataFrame:

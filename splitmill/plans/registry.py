@@ -785,13 +785,25 @@ def q_topk_similar(spark, d):
     return R.significant_digits(_topk(spark, d), 8, ["distance"])
 
 
-# U-6
-@register(
-    "q_topk_dedup",
-    _topk_ranked_sql() + f" SELECT {_TOPK_OUT} FROM top QUALIFY ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY query_id, rank) = 1",
-)
+# U-6: vectors with an id divisible by 100 as queries; their neighbours overlap
+_NEIGHBOURS = 20
+
+
+def _neighbours_sql() -> str:
+    return (
+        "WITH q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 100 = 0), "
+        "dist AS (SELECT q.query_id, e.vec_id AS doc_id, sqrt(list_sum(list_transform(range(1, 65), "
+        "lambda i: power(CAST(e.embedding[i] AS DOUBLE) - CAST(q.qv[i] AS DOUBLE), 2)))) AS distance FROM q, embeddings e), "
+        f"top AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY distance, doc_id) AS rank FROM dist QUALIFY rank <= {_NEIGHBOURS}) "
+        f"SELECT {_TOPK_OUT} FROM top QUALIFY ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY query_id, rank) = 1"
+    )
+
+
+@register("q_topk_dedup", _neighbours_sql())
 def q_topk_dedup(spark, d):
-    return R.significant_digits(SIM.dedupe_across_queries(_topk(spark, d)), 8, ["distance"])
+    emb = TD.table(spark, d, "embeddings")
+    hits = SIM.topk_similar(spark, emb, emb.where("vec_id % 100 = 0"), k=_NEIGHBOURS, query_id="vec_id")
+    return R.significant_digits(SIM.dedupe_across_queries(hits), 8, ["distance"])
 
 
 # S-16 on the document table, under paths of which some are in skipped folders

@@ -156,7 +156,7 @@ def test_topk_matches_brute_force(spark):
     q = rng.normal(size=(7, 64))
     queries = spark.createDataFrame([(i, [float(x) for x in q[i]]) for i in range(7)], "query_id long, embedding array<double>")
     got = SIM.topk_similar(spark, emb, queries, k=4).collect()
-    chunked = SIM.topk_similar(spark, emb, queries, k=4, max_queries_per_chunk=2).collect()
+    chunked = SIM.topk_similar(spark, emb, queries, k=4, block_bytes=3 * 8 * 64).collect()
     pdf = emb.toPandas()
     mat = np.stack(pdf["embedding"].to_numpy()).astype(float)
     ids_ = pdf["vec_id"].to_numpy()
@@ -189,14 +189,47 @@ def test_label_centroids(spark):
     assert np.allclose(cents[lab], want, rtol=1e-12)
 
 
-def test_smallest_k_with_ties():
-    from splitmill.operators.similarity import _smallest_k
-
+def test_nearest_of_a_pair_of_blocks():
     rng = np.random.default_rng(0)
-    for _ in range(300):
-        q, n, k = rng.integers(1, 6), rng.integers(1, 40), rng.integers(1, 6)
-        d = rng.integers(0, 5, size=(q, n)).astype(float)  # many ties
-        ids = np.broadcast_to(rng.permutation(1000)[:n], (q, n)).copy()
-        gd, gi = _smallest_k(d, ids, k)
-        order = np.lexsort((ids, d), axis=1)[:, : min(k, n)]
-        assert (gd == np.take_along_axis(d, order, axis=1)).all() and (gi == np.take_along_axis(ids, order, axis=1)).all()
+    for n in range(300):
+        metric = SIM.METRICS[n % 2]
+        q = rng.integers(-2, 3, size=(rng.integers(1, 6), 3)).astype(float)  # many ties
+        d = rng.integers(-2, 3, size=(rng.integers(1, 40), 3)).astype(float)
+        order, k = rng.permutation(len(d)), int(rng.integers(1, 6))
+        rows, cols, far = SIM.nearest(q, d, order, k, metric)
+        for i in range(len(q)):
+            if metric == "l2":
+                dist = np.sqrt(((d - q[i]) ** 2).sum(axis=1))
+            else:
+                with np.errstate(invalid="ignore"):
+                    dist = 1 - d @ q[i] / (np.linalg.norm(d, axis=1) * np.linalg.norm(q[i]))
+            mine = far[rows == i]
+            assert np.allclose(mine, np.sort(dist)[: min(k, len(d))], atol=1e-12, equal_nan=True)
+            if metric == "l2":
+                assert cols[rows == i].tolist() == np.lexsort((order, dist))[:k].tolist()
+
+
+def test_topk_of_close_vectors_odd_rows_and_text_ids(spark):
+    corpus = [("a", [1e6 + 0.01, 0.0]), ("b", [1e6 + 0.001, 0.0]), ("c", [1e6 + 0.1, 0.0]), ("d", None), ("e", [1.0, None]), ("f", [float("nan"), 0.0]), ("g", []), ("h", [1.0, 2.0, 3.0]), ("i", [1e150, -1e150]), (None, [5.0, 5.0]), ("b", [1e6 + 0.001, 0.0])]
+    docs = spark.createDataFrame(corpus, "name string, v array<double>").repartition(4)
+    queries = spark.createDataFrame([("x", [1e6, 0.0]), ("y", None), ("z", [1.0, 2.0, 3.0]), ("w", [1.0])], "who string, v array<double>")
+    for block_bytes in (16, 1 << 20):
+        got = SIM.topk_similar(spark, docs, queries, k=4, doc_id="name", query_id="who", vec="v", block_bytes=block_bytes).collect()
+        near = sorted((r.rank, r.doc_id, r.distance) for r in got if r.query_id == "x")
+        assert [n[1] for n in near] == ["b", "b", "a", "c"]
+        assert np.allclose([n[2] for n in near], [0.001, 0.001, 0.01, 0.1], rtol=1e-6)
+        assert [(r.query_id, r.doc_id, r.distance) for r in got if r.query_id != "x"] == [("z", "h", 0.0)]
+    far = SIM.topk_similar(spark, docs, queries, k=50, doc_id="name", query_id="who", vec="v").where("query_id = 'x'").orderBy("rank").collect()
+    assert [r.doc_id for r in far] == ["b", "b", "a", "c", None, "i"] and np.isclose(far[-1].distance, np.sqrt(2) * 1e150)
+    cos = SIM.topk_similar(spark, docs, spark.createDataFrame([(1, [1.0, 0.0])], "q int, v array<double>"), k=6, doc_id="name", query_id="q", vec="v", metric="cosine").orderBy("rank").collect()
+    assert [r.doc_id for r in cos] == ["a", "b", "b", "c", None, "i"]  # ties by id
+    assert SIM.topk_similar(spark, docs.where("false"), queries, doc_id="name", query_id="who", vec="v").count() == 0
+    assert SIM.topk_similar(spark, docs, queries.where("false"), doc_id="name", query_id="who", vec="v").count() == 0
+
+
+def test_topk_plan_keeps_k_rows_of_a_task_before_the_shuffle(spark):
+    emb = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    plan = SIM.topk_similar(spark, emb, emb.where("vec_id % 100 = 0"), query_id="vec_id")._jdf.queryExecution().executedPlan().toString()
+    partial, final = plan.index("WindowGroupLimit"), plan.rindex("WindowGroupLimit")
+    assert partial < plan.index("Exchange hashpartitioning(query_id") < final
+    assert "SinglePartition" not in plan
