@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from ..sources.catalog import FormulaSpec
 from ..sources.events import ts_lit
+from .guard import audited_expression
 
 
 def row_filter(filters) -> Column | None:
-    """AND of user predicates, each parenthesised so an ``OR`` inside cannot leak."""
-    parts = [F.expr(f"({f})") for f in (filters or []) if f and f.strip()]
+    """AND of user predicates, each audited and parenthesised so an ``OR`` inside cannot leak."""
+    parts = [audited_expression(f"({f})") for f in (filters or []) if f and f.strip()]
     return reduce(lambda a, b: a & b, parts) if parts else None
 
 
@@ -23,7 +24,7 @@ def calc_window(start, end, keep_inactive: bool = False) -> Column:
 
 
 def formula_columns(formulas: list[FormulaSpec]) -> list[Column]:
-    return [F.expr(f.sql).alias(f.alias) for f in formulas]
+    return [audited_expression(f.sql).alias(f.alias) for f in formulas]
 
 
 def unit_aggregate(events_joined: DataFrame, split_id: str, formulas: list[FormulaSpec]) -> DataFrame:

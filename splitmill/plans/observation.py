@@ -54,3 +54,17 @@ class Observation:
     @property
     def reference_days(self) -> int:
         return (self.exposure_end - self.exposure_start).days
+
+
+def submitted(audience_tables: tuple[str, ...] = (), custom_query: str | None = None, spark=None, **fields) -> Observation:
+    """An observation from fields that a user typed in: ValueError naming every field that
+    holds an injection pattern, and a custom assignment query must be read-only."""
+    from ..operators.guard import ensure_read_only, field_violations
+
+    typed = {k: fields.get(k) for k in ("experiment_name", "split_id", "exposure_event", "filters")}
+    bad = field_violations(typed | {"audience_tables": audience_tables})
+    if bad:
+        raise ValueError("; ".join(f"{name}: {code} in {text!r}" for name, text, code in bad))
+    if custom_query and custom_query.strip():
+        ensure_read_only(custom_query, spark)
+    return Observation(**fields)

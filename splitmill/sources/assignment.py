@@ -69,9 +69,9 @@ def planning_assignment(
 
 def custom_assignment(spark: SparkSession, source, split_id: str) -> DataFrame:
     """User-supplied assignment: a DataFrame, or read-only SQL checked by the guard."""
-    from ..operators.quality import ensure_read_only
+    from ..operators.guard import audited_query
 
-    df = source if isinstance(source, DataFrame) else spark.sql(ensure_read_only(source, spark))
+    df = source if isinstance(source, DataFrame) else audited_query(source, spark)
     df = df.toDF(*[c.lower() for c in df.columns])
     need = {split_id, "group_name", "record_timestamp"}
     missing = need - set(df.columns)

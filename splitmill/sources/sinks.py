@@ -78,8 +78,8 @@ def current_jobs(job_log: DataFrame) -> DataFrame:
 
 
 def guarded_sql(spark: SparkSession, sql: str) -> DataFrame:
-    """Ad-hoc read-only SQL over registered result tables (S-17): checked by the
-    read-only guard first, then planned by Spark."""
-    from ..operators.quality import ensure_read_only
+    """Ad-hoc read-only SQL over registered result tables (S-17), after the audit of its
+    parsed and analysed plans."""
+    from ..operators.guard import audited_query
 
-    return lower_columns(spark.sql(ensure_read_only(sql, spark)))
+    return lower_columns(audited_query(sql, spark))

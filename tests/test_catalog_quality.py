@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from splitmill.operators import guard as G
 from splitmill.operators import quality as Q
 from splitmill.operators.precompute import PRECOMPUTE_SCHEMA
 from splitmill.sources import catalog as C
@@ -121,7 +122,7 @@ def test_read_only_violations(spark, text, codes):
     ],
 )
 def test_queries_that_only_read_pass(spark, text):
-    assert Q.ensure_read_only(text, spark) == text
+    assert G.ensure_read_only(text, spark) == text
 
 
 @pytest.mark.parametrize(
@@ -137,7 +138,7 @@ def test_queries_that_only_read_pass(spark, text):
 )
 def test_other_statements_do_not_pass(spark, text):
     with pytest.raises(ValueError):
-        Q.ensure_read_only(text, spark)
+        G.ensure_read_only(text, spark)
 
 
 @pytest.mark.parametrize(
@@ -157,6 +158,68 @@ def test_injection_hits(spark, expr, hit):
     assert (hit in got) if hit else got == []
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "SELECT * FROM IDENTIFIER('text.`/etc/hostname`')", "SELECT IDENTIFIER('reflect')('java.lang.System','currentTimeMillis')", "SELECT IDENTIFIER('ref' || 'lect')('java.lang.System','currentTimeMillis')",
+        "SELECT * FROM IDENTIFIER(concat('text.', '`/etc/hostname`'))", "SELECT * FROM text.`/etc/hostname`", "SELECT 1 WHERE EXISTS (SELECT * FROM IDENTIFIER('csv.`/etc/hosts`'))",
+        "WITH x AS (SELECT IDENTIFIER('java_method')('java.lang.System', 'currentTimeMillis') AS y) SELECT y FROM x",
+    ],
+)
+def test_identifier_hides_nothing(spark, text):
+    with pytest.raises(ValueError):
+        G.audited_query(text, spark)
+
+
+def test_analysed_plan_is_audited(spark):
+    spark.range(3).createOrReplaceTempView("guard_own")
+    spark.read.parquet("/root/testdata/sf0.001/nation.parquet").createOrReplaceTempView("guard_files")
+    assert G.audited_query("SELECT count(*) AS n FROM guard_files JOIN guard_own ON n_nationkey = id;", spark).first().n == 3
+    assert G.audited_query("SELECT * FROM IDENTIFIER('guard_own')", spark).count() == 3
+    spark.sql("SELECT reflect('java.lang.System', 'currentTimeMillis') AS t").createOrReplaceTempView("guard_hidden")
+    with pytest.raises(ValueError):
+        G.audited_query("SELECT t FROM guard_hidden", spark)
+
+
+@pytest.mark.parametrize("text", ["a > 1 OR (b = 2 AND c IS NULL)", "SUM(CASE WHEN event_name = 'select' THEN 1 ELSE 0 END)", "exists(array(1, 2), x -> x > 1)"])
+def test_expressions_that_pass(spark, text):
+    G.audited_expression(text, spark)
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "a IN (SELECT x FROM t)", "EXISTS (SELECT 1)", "(SELECT max(x) FROM t) > 1", "reflect('java.lang.System', 'exit', 0) = 1", "1 = 1) OR (reflect('a.B', 'c') = 'd'", "a = 1; DROP TABLE t", "IDENTIFIER('reflect')('a.B', 'c') = 'x'",
+        "x IN (SELECT * FROM text.`/etc/hosts`)",
+    ],
+)
+def test_expressions_that_do_not_pass(spark, text):
+    with pytest.raises(ValueError):
+        G.audited_expression(text, spark)
+
+
+def test_filters_and_formulas_are_audited(spark):
+    from splitmill.operators import unit_agg as U
+
+    with pytest.raises(ValueError):
+        U.row_filter(["event_value > 1", "event_value = (SELECT 1)"])
+    with pytest.raises(ValueError):
+        U.formula_columns([C.FormulaSpec("x", "SUM(java_method('a.B', 'c'))")])
+
+
+def test_typed_fields_of_an_observation(spark):
+    from datetime import datetime
+
+    from splitmill.plans.observation import submitted
+
+    when = dict(exposure_start=datetime(2024, 1, 1), exposure_end=datetime(2024, 1, 2), calc_start=datetime(2024, 1, 1), calc_end=datetime(2024, 1, 3))
+    good = submitted(name="o", split_id="user_id", experiment_name="e", filters=("country = 'US'",), audience_tables=("aud.one",), custom_query="SELECT 1", spark=spark, **when)
+    assert good.filters == ("country = 'US'",)
+    for bad in (dict(experiment_name="x'; --"), dict(filters=("a = 1 OR 1=1",)), dict(exposure_event="union all select"), dict(split_id="sleep"), dict(audience_tables=("t; drop",)), dict(custom_query="DELETE FROM t")):
+        with pytest.raises(ValueError):
+            submitted(**{"name": "o", "split_id": "user_id", "spark": spark, **when, **bad})
+
+
 def test_parentheses_balanced(spark):
     df = spark.createDataFrame([("(a(b))",), ("(()",), (")(",), ("",)], "t string")
     assert [r.b for r in df.select(Q.parentheses_balanced(F.col("t")).alias("b")).collect()] == [True, False, False, True]
