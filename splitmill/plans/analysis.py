@@ -17,7 +17,7 @@ from ..operators import unit_agg as U
 from ..operators.precompute import precompute
 from ..sources import assignment as A
 from ..sources.catalog import MetricSpec, filter_metrics, required_formulas
-from ..sources.events import visible_events
+from ..sources.events import ts_lit, visible_events
 from .observation import PLANNING, Observation
 
 
@@ -38,8 +38,8 @@ class Inputs:
     assignment_attributes: list[str] = field(default_factory=list)
     event_tie_break: list[str] = field(default_factory=list)
     event_date_col: str | None = None  # DATE partition column of the event tables, for pruning
-    row_number_strategy: str = "bucketed"
-    row_number_bucket_seconds: int = 3600
+    row_number_strategy: str = "ranges"
+    rows_per_range: int = X.ROWS_PER_RANGE
 
 
 def assigned_units(spark: SparkSession, inputs: Inputs, obs: Observation) -> DataFrame:
@@ -58,6 +58,20 @@ def assigned_units(spark: SparkSession, inputs: Inputs, obs: Observation) -> Dat
     )
 
 
+def reduced_events(inputs: Inputs, obs: Observation, events: DataFrame) -> DataFrame:
+    """Events of units that the assignment log names for this observation, before anything is
+    shuffled: a semi join, which Spark runs as a broadcast if the ids are few, and else below a
+    runtime filter made of them (``session.cluster_conf``); the event join that follows
+    reuses its exchange."""
+    if inputs.custom_assignment is not None or inputs.testids is None:
+        return events
+    if obs.purpose == PLANNING:
+        rows = inputs.testids.where(F.col("record_timestamp").between(ts_lit(obs.exposure_start), ts_lit(obs.calc_end)))
+    else:
+        rows = inputs.testids.where(F.col("experiment_name") == F.lit(obs.experiment_name))
+    return events.join(rows.select(obs.split_id), on=obs.split_id, how="left_semi")
+
+
 def joined_events(spark: SparkSession, inputs: Inputs, obs: Observation, formulas=()) -> DataFrame:
     """Event rows of exposed, assigned units (before the calculation window)."""
     events = visible_events(inputs.events, obs.exposure_start, obs.calc_end, inputs.event_date_col)
@@ -65,11 +79,13 @@ def joined_events(spark: SparkSession, inputs: Inputs, obs: Observation, formula
     units = X.exposed_units(units, events, obs.split_id, obs.exposure_event, obs.exposure_start, obs.exposure_end, obs.exposure_rule)
     if inputs.audiences:
         units = X.restrict_to_audiences(units, inputs.audiences, obs.split_id, obs.audience_join)
-    joined = X.attach_events(units, events, obs.split_id, keep_inactive=obs.keep_inactive_units)
+    joined = X.attach_events(units, reduced_events(inputs, obs, events), obs.split_id, keep_inactive=obs.keep_inactive_units)
     if U.references_row_number(list(formulas), obs.filters):
-        joined = X.with_event_row_number(
-            joined, obs.split_id, inputs.event_tie_break, inputs.row_number_strategy, inputs.row_number_bucket_seconds
-        )
+        cuts = hot_rows = None
+        if inputs.row_number_strategy == "ranges":
+            cuts = X.hot_ranges(events, obs.split_id, inputs.rows_per_range)
+            hot_rows = X.attach_events(units, X.hot_events(events, cuts, obs.split_id), obs.split_id)
+        joined = X.with_event_row_number(joined, obs.split_id, inputs.event_tie_break, inputs.row_number_strategy, inputs.rows_per_range, cuts, hot_rows)
         if obs.keep_inactive_units:
             joined = joined.withColumn(
                 "event_row_number", F.when(F.col("event_timestamp").isNull(), F.lit(1)).otherwise(F.col("event_row_number"))
@@ -89,9 +105,7 @@ def unit_table(spark: SparkSession, inputs: Inputs, obs: Observation, metrics: l
 
 
 def observation_metrics(obs: Observation, metrics: list[MetricSpec]) -> list[MetricSpec]:
-    """Metric selection stored on the observation (tags / groups); unset = all."""
-    if obs.metric_tags is None and obs.metric_groups is None:
-        return list(metrics)
+    """Metric selection stored on the observation (tags / groups); unset or empty = all."""
     return filter_metrics(metrics, tags=obs.metric_tags, group_names=obs.metric_groups)
 
 

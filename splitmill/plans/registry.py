@@ -25,7 +25,7 @@ from ..operators.stats import delta_ratio_variance
 from ..sources import assignment as A
 from ..sources import corpus as C
 from ..sources import testdata as TD
-from ..sources.catalog import catalog_frame
+from ..sources.catalog import catalog_frame, distinct_labels
 from ..sources.events import bounded, ts_lit, union_sources
 from . import oracle_sql as O
 from .analysis import Inputs, joined_events, run_observation, unit_table
@@ -186,13 +186,23 @@ def q_exposure_first(spark, d):
     return X.first_exposure(ev, "user_id", "view")
 
 
+# units of the log that no event has: each unit again under a negative id
+_NO_EVENTS_SQL = f"SELECT * FROM ({O.LIGHT_TESTIDS}) UNION ALL SELECT * REPLACE (-1 - user_id AS user_id) FROM ({O.LIGHT_TESTIDS})"
+
+
+def _with_units_without_events(inputs: Inputs) -> Inputs:
+    inputs.testids = inputs.testids.unionByName(inputs.testids.withColumn("user_id", -1 - F.col("user_id")))
+    return inputs
+
+
 # J-1, J-2, P-2, F-2: events x assignment (LEFT JOIN semantics: units without events keep one NULL row)
 @register(
     "q_events_x_assignment",
-    _p.with_clause() + f" SELECT * EXCLUDE (event_row_number) FROM j WHERE exposure_timestamp BETWEEN {O.ts(LW['exposure_start'])} AND {O.ts(LW['exposure_end'])}",
+    light_psql(testids=_NO_EVENTS_SQL, exposure_event=None).with_clause()
+    + f" SELECT * EXCLUDE (event_row_number) FROM j WHERE exposure_timestamp BETWEEN {O.ts(LW['exposure_start'])} AND {O.ts(LW['exposure_end'])}",
 )
 def q_events_x_assignment(spark, d):
-    return joined_events(spark, light_inputs(spark, d), light_obs(keep_inactive_units=True))
+    return joined_events(spark, _with_units_without_events(light_inputs(spark, d)), light_obs(keep_inactive_units=True, exposure_event=None))
 
 
 # W-4
@@ -235,9 +245,10 @@ _KEEP = dict(experiment_name="exp_click", exposure_event=None)
 
 
 # P-16
-@register("q_unit_agg_keep_inactive", _ua_sql_rounded(light_psql(keep_inactive=True, **_KEEP), LIGHT_METRICS, LIGHT_DOUBLE_FORMULAS))
+@register("q_unit_agg_keep_inactive", _ua_sql_rounded(light_psql(keep_inactive=True, testids=_NO_EVENTS_SQL, **_KEEP), LIGHT_METRICS, LIGHT_DOUBLE_FORMULAS))
 def q_unit_agg_keep_inactive(spark, d):
-    return _unit_out(unit_table(spark, light_inputs(spark, d), light_obs(keep_inactive_units=True, **_KEEP), LIGHT_METRICS))
+    inputs = _with_units_without_events(light_inputs(spark, d))
+    return _unit_out(unit_table(spark, inputs, light_obs(keep_inactive_units=True, **_KEEP), LIGHT_METRICS))
 
 
 _FILTERS = ("event_value > 20 OR event_name = 'view'", "k < 80")
@@ -325,6 +336,19 @@ def q_distinct_exposure_events(spark, d):
     return ev.where(F.col("event_timestamp") >= ts_lit(LW["exposure_end"])).select("event_name").distinct()
 
 
+# A-23, U-7: distinct groups and tags of a metric catalog, here one metric per customer
+@register(
+    "q_distinct_labels",
+    "WITH m AS (SELECT c_custkey, c_mktsegment AS g, [CASE WHEN c_acctbal < 0 THEN 'debt' END, 'nation' || c_nationkey % 7, CASE WHEN c_custkey % 3 = 0 THEN 'nation1' END, ' '] AS tags FROM customer), "
+    "x AS (SELECT DISTINCT 'tag' AS kind, unnest(tags) AS label, c_custkey FROM m UNION SELECT 'group', g, c_custkey FROM m) "
+    "SELECT kind, label, count(*) AS n_metrics FROM x WHERE trim(label) <> '' GROUP BY kind, label",
+)
+def q_distinct_labels(spark, d):
+    tags = F.array(F.when(F.col("c_acctbal") < 0, "debt"), F.concat(F.lit("nation"), F.col("c_nationkey") % 7), F.when(F.col("c_custkey") % 3 == 0, "nation1"), F.lit(" "))
+    catalog = TD.table(spark, d, "customer").select(F.col("c_custkey").alias("metric_name"), F.col("c_mktsegment").alias("metric_group"), tags.alias("tags"))
+    return distinct_labels(catalog)
+
+
 def _both_pc_sql() -> str:
     lp, hp = light_psql(), heavy_psql()
     light = lp.with_clause({"ua": lp.unit_agg(LIGHT_METRICS), "pc": O.precompute_selects(LIGHT_METRICS, "user_id")}) + " SELECT 'light' AS analysis, * FROM pc"
@@ -351,13 +375,32 @@ _CONTRACT_CASE = (
 )
 
 
-# P-25 over every precompute row of both analyses
+# P-25 over every precompute row of both analyses, and over rows made of each customer that
+# break the rules by what the customer's key and balance are
+_MADE_CONTRACT_SQL = (
+    "SELECT 'customer' AS analysis, CAST(c_custkey AS VARCHAR) AS group_name, c_mktsegment AS metric_name, "
+    "CASE c_custkey % 4 WHEN 0 THEN 'avg' WHEN 1 THEN 'ratio' WHEN 2 THEN 'proportion' ELSE CASE WHEN c_custkey % 8 = 3 THEN 'median' END END AS metric_type, "
+    "CAST(c_custkey % 5 AS BIGINT) AS observation_cnt, CASE WHEN c_nationkey < 22 THEN CAST(c_acctbal AS DOUBLE) / 5000 END AS metric_value, "
+    "CAST(c_nationkey AS DOUBLE) AS numerator_avg, CASE WHEN c_custkey % 7 > 1 THEN CAST(c_acctbal AS DOUBLE) END AS numerator_var, "
+    "CAST(1 AS DOUBLE) AS denominator_avg, CASE WHEN c_custkey % 9 > 0 THEN CAST(1 AS DOUBLE) END AS denominator_var, CAST(0 AS DOUBLE) AS covariance FROM customer"
+)
+
+
 @register(
     "q_contract_violations",
-    f"SELECT analysis, group_name, metric_name, {_CONTRACT_CASE} AS violations FROM ({_both_pc_sql()})",
+    f"SELECT analysis, group_name, metric_name, {_CONTRACT_CASE} AS violations FROM ({_both_pc_sql()}) UNION ALL "
+    f"SELECT analysis, group_name, metric_name, {_CONTRACT_CASE} AS violations FROM ({_MADE_CONTRACT_SQL})",
 )
 def q_contract_violations(spark, d):
-    pc = _both_pc(spark, d)
+    key, balance = F.col("c_custkey"), F.col("c_acctbal").cast("double")
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("avg", "ratio", "proportion", None)]), (key % 4 + 1).cast("int"))
+    made = TD.table(spark, d, "customer").select(
+        F.lit("customer").alias("analysis"), key.cast("string").alias("group_name"), F.col("c_mktsegment").alias("metric_name"),
+        F.coalesce(kind, F.when(key % 8 == 3, "median")).alias("metric_type"), (key % 5).cast("bigint").alias("observation_cnt"),
+        F.when(F.col("c_nationkey") < 22, balance / 5000).alias("metric_value"), F.col("c_nationkey").cast("double").alias("numerator_avg"),
+        F.when(key % 7 > 1, balance).alias("numerator_var"), F.lit(1.0).alias("denominator_avg"), F.when(key % 9 > 0, 1.0).alias("denominator_var"), F.lit(0.0).alias("covariance"),
+    )
+    pc = _both_pc(spark, d).select(*made.columns).unionByName(made)
     return pc.select("analysis", "group_name", "metric_name", F.array_join(Q.contract_violations(), ",").alias("violations"))
 
 
@@ -692,10 +735,33 @@ def q_hierarchy(spark, d):
     )
 
 
-# P-24 on every conversation turn (whole texts)
+# P-23, P-24: query and expression texts of every kind, made of the nations' names and keys,
+# next to every conversation turn
+_TEXTS = [
+    "SELECT * FROM nation WHERE n_nationkey = {k}", "with a as (select {k} as x) select x from a;", "VALUES ({k}), ('{n}')", "-- only a comment on {n}", "(SELECT {k})", "SHOW TABLES LIKE '{n}'",
+    "SELECT {k}; DROP TABLE t{k}", "DELETE FROM t WHERE n = '{n}'", "SELECT n_name INTO t{k} FROM nation", "SELECT a FROM t{k} FOR UPDATE", "select a from t{k} for  share", "SELECT pg_sleep({k})",
+    "WITH x AS (INSERT INTO t{k} VALUES (1)) SELECT 1", "SELECT 'drop table {n}' AS words /* delete */", "SELECT '/*' a, drop b, '{n}*/' c", "WITH u AS (SELECT {k}), v AS ( DELETE FROM t) TABLE v", "  ",
+    "n_name = '{n}'", "n_nationkey > {k} AND n_name IS NOT NULL", "n_nationkey = {k} OR 1=1", "n_name = '{n}' -- end", "x{k}; stop", "name UNION ALL SELECT {k}", "xp_cmdshell '{n}'", "utl_http.request('{n}')", "benchmark({k}, 1)", "exec ('{n}')", "pg_sleep({k})",
+]
+_TEXT_VALUES = ", ".join(f"({k}, '{t.replace(chr(39), chr(39) * 2)}')" for k, t in enumerate(_TEXTS))
+_TEXTS_SQL = (
+    "SELECT conv_id, turn, text FROM conversations UNION ALL SELECT -1 - n_nationkey, t.k, replace(replace(t.text, '{k}', CAST(n_nationkey AS VARCHAR)), '{n}', n_name) "
+    f"FROM nation, (VALUES {_TEXT_VALUES}) t(k, text)"
+)
+
+
+def _query_texts(spark, d) -> DataFrame:
+    made = F.array(*[F.struct(F.lit(k).alias("turn"), F.lit(t).alias("text")) for k, t in enumerate(_TEXTS)])
+    rows = TD.table(spark, d, "nation").select("n_nationkey", "n_name", F.inline(made))
+    text = F.replace(F.replace("text", F.lit("{k}"), F.col("n_nationkey").cast("string")), F.lit("{n}"), F.col("n_name"))
+    conv = TD.table(spark, d, "conversations")
+    own = rows.select((-1 - F.col("n_nationkey")).cast(conv.schema["conv_id"].dataType).alias("conv_id"), F.col("turn").cast(conv.schema["turn"].dataType).alias("turn"), text.alias("text"))
+    return conv.select("conv_id", "turn", "text").unionByName(own)
+
+
 def _audit_sql() -> str:
     cases = ", ".join(f"CASE WHEN regexp_matches(text, '{pat.replace(chr(39), chr(39) * 2)}') THEN '{name}' END" for name, pat in ORACLE_INJECTION_PATTERNS)
-    return f"SELECT conv_id, turn, concat_ws(',', {cases}) AS hits FROM conversations"
+    return f"SELECT conv_id, turn, concat_ws(',', {cases}) AS hits FROM ({_TEXTS_SQL})"
 
 
 # RE2 spellings of the same rules: a Unicode-aware word boundary (as in the JVM
@@ -716,40 +782,37 @@ ORACLE_INJECTION_PATTERNS = [
 
 
 def _guard_sql() -> str:
-    nw = _NW
-    nwx = r"[^\p{L}\p{Nd}_;]"
-    rules = [
-        ("forbidden_keyword", f"(?i)(?:^|{nw})(" + "|".join(Q.FORBIDDEN_QUERY_WORDS) + f")(?:$|{nw})"),
-        ("select_into", f"(?i)(?:^|{nw})SELECT(?:{nwx}|{nwx}[^;]*{nwx})INTO(?:$|{nw})"),
-        ("row_lock", f"(?i)(?:^|{nw})FOR\\s+(UPDATE|SHARE|KEY\\s+SHARE|NO\\s+KEY\\s+UPDATE)(?:$|{nw})".replace("\\\\", "\\")),
-        ("timing_function", f"(?i)(?:^|{nw})(pg_sleep|sleep|benchmark)\\s*\\(".replace("\\\\", "\\")),
-        ("modifying_cte", f"(?i)(?:^|{nw})WITH\\s+[a-zA-Z_]\\w*\\s+AS\\s*\\(\\s*(INSERT|UPDATE|DELETE|MERGE|REPLACE|UPSERT)(?:$|{nw})".replace("\\\\", "\\")),
+    listed = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    token = Q.TOKEN_RE.replace("'", "''")
+    any_at = lambda cond: f"len(list_filter(range(1, len(w) + 1), lambda i: {cond})) > 0"
+    codes = [
+        (r"contains(regexp_replace(text, '[\s;]+$', ''), ';')", "multiple_statements"),
+        ("len(w) > 0 AND NOT regexp_matches(w[1], '^[A-Z_]')", "unknown_statement"),
+        (f"regexp_matches(w[1], '^[A-Z_]') AND NOT list_contains({listed(Q.READ_ONLY_FIRST_WORDS)}, w[1])", "not_read_only"),
+        (f"list_has_any(w, {listed(Q.FORBIDDEN_QUERY_WORDS)})", "forbidden_keyword"),
+        (any_at("w[i] = 'INTO' AND list_contains(w[1:i], 'SELECT')"), "select_into"),
+        (any_at(f"w[i] = 'FOR' AND list_contains({listed(Q.LOCKING_WORDS)}, w[i + 1])"), "row_lock"),
+        (any_at(f"list_contains({listed(Q.TIMING_FUNCTIONS)}, w[i]) AND w[i + 1] = '('"), "timing_function"),
+        (any_at(f"w[i] = 'AS' AND w[i + 1] = '(' AND list_contains({listed(Q.CHANGING_WORDS)}, w[i + 2])"), "modifying_cte"),
     ]
-    checks = ", ".join(f"CASE WHEN regexp_matches(clean, '{p}') THEN '{n}' END" for n, p in rules)
+    cases = ", ".join(f"CASE WHEN {cond} THEN '{code}' END" for cond, code in codes)
+    upper = "translate(x, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
     return (
-        "WITH c AS (SELECT conv_id, turn, text, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS raw FROM conversations), "
-        "c3 AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(raw, '\\s*;$', ''), "
-        f"'{Q.LITERAL_OR_COMMENT_RE.replace(chr(39), chr(39) * 2)}', '\\1 ', 'g'), '\\s+', ' ', 'g')) AS clean FROM c), "
-        "c4 AS (SELECT *, upper(regexp_extract(clean, '^([a-zA-Z_][a-zA-Z0-9_]*)', 1)) AS first FROM c3) "
-        "SELECT conv_id, turn, CASE WHEN text IS NULL THEN NULL ELSE concat_ws(',', "
-        "CASE WHEN strpos(substr(raw, 1, greatest(length(raw) - 1, 0)), ';') > 0 THEN 'multiple_statements' END, "
-        "CASE WHEN length(clean) > 0 AND first = '' THEN 'unknown_statement' END, "
-        "CASE WHEN length(clean) > 0 AND first <> '' AND first NOT IN ('SELECT', 'WITH', 'VALUES') THEN 'not_read_only' END, "
-        f"{checks}) END AS violations FROM c4"
+        f"WITH t AS (SELECT *, list_transform(list_filter(regexp_extract_all(text, '{token}'), lambda x: NOT regexp_matches(x, '^(/\\*|--|#)')), "
+        f"lambda x: CASE WHEN x[1] = chr(39) THEN x ELSE {upper} END) AS v "
+        f"FROM ({_TEXTS_SQL})), w AS (SELECT *, CASE WHEN v[-1] = ';' THEN v[1:-2] ELSE v END AS w FROM t) "
+        f"SELECT conv_id, turn, CASE WHEN text IS NULL THEN NULL ELSE concat_ws(',', {cases}) END AS violations FROM w"
     )
 
 
 @register("q_expression_audit", _audit_sql())
 def q_expression_audit(spark, d):
-    conv = TD.table(spark, d, "conversations")
-    return conv.select("conv_id", "turn", F.array_join(Q.injection_hits(F.col("text")), ",").alias("hits"))
+    return _query_texts(spark, d).select("conv_id", "turn", F.array_join(Q.injection_hits(F.col("text")), ",").alias("hits"))
 
 
-# P-23 on every conversation turn treated as a candidate query
 @register("q_guarded_sql", _guard_sql())
 def q_guarded_sql(spark, d):
-    conv = TD.table(spark, d, "conversations")
-    return conv.select("conv_id", "turn", F.array_join(Q.read_only_violations(F.col("text")), ",").alias("violations"))
+    return _query_texts(spark, d).select("conv_id", "turn", F.array_join(Q.read_only_violations(F.col("text")), ",").alias("violations"))
 
 
 # O-4: label centroids as queries, exact top-3 neighbours by L2 distance

@@ -90,6 +90,13 @@ def cluster_conf(input_bytes: float, executors: int, cores_per_executor: int = 4
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256m",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
         "spark.sql.autoBroadcastJoinThreshold": "-1",
+        # events of units that no one has assigned are dropped before the exchange, by a filter
+        # of at most 64 MB that is made of the assigned units
+        "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+        "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1g",
+        "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1t",
+        "spark.sql.optimizer.runtime.bloomFilter.maxNumItems": str(64 << 20),
+        "spark.sql.optimizer.runtime.bloomFilter.maxNumBits": str(64 << 23),
     }
 
 

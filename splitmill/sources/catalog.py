@@ -187,25 +187,30 @@ def load_catalog(directory: str | Path) -> list[MetricSpec]:
 
 
 def select_metrics(metrics: list[MetricSpec], aliases: list[str] | None) -> list[MetricSpec]:
-    """Metrics in request order, unknown aliases skipped; ``None`` = all."""
-    if aliases is None:
+    """Metrics in request order, unknown aliases skipped; ``None`` or empty = all."""
+    if not aliases:
         return list(metrics)
     by_alias = {m.alias: m for m in metrics}
     return [by_alias[a] for a in aliases if a in by_alias]
 
 
 def filter_metrics(metrics, types=None, tags=None, group_names=None) -> list[MetricSpec]:
-    """Type AND any-tag AND group (each criterion skipped when ``None``)."""
-    out = []
-    for m in metrics:
-        if types is not None and m.type not in types:
-            continue
-        if tags is not None and not set(m.tags or ()) & set(tags):
-            continue
-        if group_names is not None and m.group_name not in group_names:
-            continue
-        out.append(m)
-    return out
+    """Type AND any-tag AND group (each criterion skipped when ``None`` or empty)."""
+    kinds, wanted, groups = set(types or ()), set(tags or ()), set(group_names or ())
+    fits = lambda m: (not kinds or m.type in kinds) and (not wanted or bool(wanted & set(m.tags or ()))) and (not groups or m.group_name in groups)
+    return [m for m in metrics if fits(m)]
+
+
+def distinct_labels(catalog: DataFrame) -> DataFrame:
+    """``kind`` ("group" or "tag"), ``label``, ``n_metrics``: every metric group and tag of a
+    catalog table once, with the number of metrics that have it, sorted (A-23, U-7).  NULL
+    and blank labels are none; a tag that a metric has twice counts once."""
+    from pyspark.sql import functions as F
+
+    groups = catalog.select(F.lit("group").alias("kind"), F.col("metric_group").alias("label"), "metric_name")
+    tags = catalog.select(F.lit("tag").alias("kind"), F.explode("tags").alias("label"), "metric_name")
+    named = groups.unionByName(tags).where(F.trim("label") != "").distinct()
+    return named.groupBy("kind", "label").agg(F.count("*").alias("n_metrics")).orderBy("kind", "label")
 
 
 FORMULA_TYPE = T.StructType([T.StructField("alias", T.StringType()), T.StructField("sql", T.StringType())])

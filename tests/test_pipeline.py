@@ -180,7 +180,7 @@ def test_row_number_strategies_agree_on_hot_unit(spark):
         rows.append((1 if i < 500 else int(rng.integers(2, 6)), i, ["a", "b"][i % 2], ts))
     df = spark.createDataFrame(rows, "user_id long, event_id long, event_name string, event_timestamp timestamp_ntz")
     w = {r.event_id: r.event_row_number for r in with_event_row_number(df, "user_id", ["event_id"], "window").collect()}
-    b = {r.event_id: r.event_row_number for r in with_event_row_number(df, "user_id", ["event_id"], "bucketed", 600).collect()}
+    b = {r.event_id: r.event_row_number for r in with_event_row_number(df, "user_id", ["event_id"], "ranges", 40).collect()}
     assert w == b
 
 
@@ -238,7 +238,7 @@ def test_row_numbers_of_nameless_events(spark):
 
     at = [dt(2024, 1, d) for d in (1, 8, 20)]
     rows = spark.createDataFrame([(1, None, t) for t in at], "user_id long, event_name string, event_timestamp timestamp_ntz")
-    for strategy in ("bucketed", "window"):
+    for strategy in ("ranges", "window"):
         got = with_event_row_number(rows, "user_id", strategy=strategy).orderBy("event_timestamp").collect()
         assert [r.event_row_number for r in got] == [1, 2, 3]
 
@@ -262,3 +262,68 @@ def test_a_hot_unit_is_split_before_the_unit_aggregate(spark):
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_a_hot_hour_is_numbered_by_several_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from splitmill.operators.exposure import hot_events, hot_ranges, with_event_row_number
+
+    # a third of all rows: one unit, one name, one hour
+    hot = F.col("id") % 3 == 0
+    rows = spark.range(0, 30_000, 1, 6).select(
+        F.when(hot, 7).otherwise(F.col("id") % 900).alias("user_id"), F.when(hot, F.lit("a")).otherwise(F.lit("b")).alias("event_name"), F.col("id").alias("event_id"),
+        F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, pmod(xxhash64(id), 3600000) / 1000)").alias("event_timestamp"),
+    )
+    events = rows.select("user_id", "event_name", "event_timestamp")
+    (cuts,) = hot_ranges(events, "user_id", 1000).collect()
+    assert (cuts.user_id, cuts.event_name) == (7, "a") and 8 <= len(cuts.cuts) <= 12
+    table = hot_ranges(events, "user_id", 1000)
+    out = with_event_row_number(rows, "user_id", ["event_id"], "ranges", 1000, table, hot_events(events, table, "user_id"))
+    want = with_event_row_number(rows, "user_id", ["event_id"], "window")
+    assert out.select("event_id", "event_row_number").exceptAll(want.select("event_id", "event_row_number")).count() == 0
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "row_number() windowspecdefinition(__key" in plan  # numbered by key and range
+    sizes = rows.join(F.broadcast(spark.createDataFrame([(cuts.cuts,)], "cuts array<long>"))).where(hot_key := F.expr("user_id = 7 and event_name = 'a'"))
+    per = sizes.groupBy(F.size(F.filter("cuts", lambda x: x < F.unix_micros(F.col("event_timestamp").cast("timestamp")))).alias("r")).count().collect()
+    assert max(r["count"] for r in per) < 2000 and hot_key is not None
+
+
+def test_units_without_events_join_the_events_once(spark, data):
+    ev, ti = data
+    inp = Inputs(events=ev, testids=ti, assignment_tie_break=["record_id"])
+    from splitmill.plans.analysis import joined_events
+
+    rows = joined_events(spark, inp, obs(exposure_event=None, keep_inactive_units=True))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Join Inner" in line and "event_timestamp" in line for line in plan.split("\n")) == 1
+    seen = {(r.user_id, r.event_timestamp is None) for r in rows.collect()}
+    assert {u for u, none in seen if none} and not {u for u, none in seen if none} & {u for u, none in seen if not none}
+
+
+def test_events_of_other_units_are_dropped_before_the_exchange(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from splitmill.operators.exposure import attach_events
+    from splitmill.plans.analysis import assigned_units, reduced_events
+    from splitmill.session import cluster_conf
+
+    spark.range(200_000).select((F.col("id") % 50_000).alias("user_id"), F.lit("a").alias("event_name"), F.timestamp_seconds("id").cast("timestamp_ntz").alias("event_timestamp")).write.parquet(f"{tmp_path}/events")
+    spark.range(20_000).select(F.col("id").alias("user_id"), F.when(F.col("id") % 10 == 0, "mine").otherwise("other").alias("experiment_name"), F.lit("g").alias("group_name"), F.timestamp_seconds(F.lit(0)).cast("timestamp_ntz").alias("record_timestamp")).write.parquet(f"{tmp_path}/testids")
+    conf = {k: v for k, v in cluster_conf(1e12, 100).items() if "bloomFilter" in k or "runtime" in k} | {"spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        events, testids = spark.read.parquet(f"{tmp_path}/events"), spark.read.parquet(f"{tmp_path}/testids")
+        o, inp = obs(experiment_name="mine"), Inputs(events=events, testids=testids)
+        out = attach_events(assigned_units(spark, inp, o), reduced_events(inp, o, events), "user_id")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "might_contain" in plan
+        above = plan[: plan.index("might_contain")]
+        assert above.rindex("Exchange hashpartitioning(user_id") > above.rindex("SortMergeJoin")  # the filter is below the events' exchange
+        assert plan[plan.index("might_contain") :].index("FileScan") and plan.count("event_name") and plan.count("Exchange hashpartitioning(user_id") == 3  # events, ids, units
+        assert out.count() == 200_000 // 50_000 * 2_000
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
