@@ -11,19 +11,14 @@ from .significance import significance_flag
 
 OTHER_GROUP = "Other"
 ISO_TS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
-MAX_CATALOG_BROADCAST_ROWS = 100_000
 
 
-def with_metric_group(table: DataFrame, catalog: DataFrame, catalog_rows: int) -> DataFrame:
-    """Left join of the metric catalog; unknown metrics get group ``"Other"``.
-
-    The catalog is driver configuration of ``catalog_rows`` rows; it is broadcast
-    only under a fixed row bound, otherwise joined normally."""
+def with_metric_group(table: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Left join of the metric catalog (Spark broadcasts it if its measured size allows);
+    unknown metrics get group ``"Other"``."""
     cat = catalog.select(
         F.col("metric_name").alias("__m"), F.col("metric_group").alias("__group"), F.col("tags").alias("__tags")
     )
-    if catalog_rows <= MAX_CATALOG_BROADCAST_ROWS:
-        cat = F.broadcast(cat)
     out = table.join(cat, table["metric_name"] == cat["__m"], "left")
     return out.withColumn("metric_group", F.coalesce(F.col("__group"), F.lit(OTHER_GROUP))).withColumn(
         "metric_tags", F.coalesce(F.col("__tags"), F.array().cast("array<string>"))
@@ -45,14 +40,13 @@ def metric_filter(groups: list[str] | None = None, tags: list[str] | None = None
 def present(
     table: DataFrame,
     catalog: DataFrame,
-    catalog_rows: int,
     threshold: float | None = 0.05,
     groups: list[str] | None = None,
     tags: list[str] | None = None,
     compared_groups: list[str] | None = None,
 ) -> DataFrame:
     """Label, filter and flag a significance table, ordered by metric group."""
-    out = with_metric_group(table, catalog, catalog_rows)
+    out = with_metric_group(table, catalog)
     out = out.withColumn("metric_display_name", F.coalesce(F.col("metric_display_name"), F.col("metric_name")))
     out = out.where(metric_filter(groups, tags))
     if compared_groups is not None:

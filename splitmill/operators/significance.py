@@ -67,8 +67,7 @@ def significance_table(
 ) -> DataFrame:
     """Control vs every other group, per (keys, metric), with the test of the metric's type.
 
-    One pass over the precompute table: a window per analysis picks the control
-    group, a window per (analysis, metric) puts the control moments on every
+    A small aggregate per analysis picks the control group and is joined back, a window per (analysis, metric) puts the control moments on every
     compared row (the reference's left join, NULL-safe on the display name).
     Metrics only in a compared group drop out; metrics only in control keep one
     row with NULL compared values.  Analyses with fewer than two groups yield no
@@ -78,14 +77,11 @@ def significance_table(
     keys = list(keys or [])
     validate_input(precomputed)
     c = F.col
-    explicit = F.lit(False) if control_group is None else (c("group_name") == F.lit(control_group))
-    priority = F.when(explicit, 0).when(F.lower("group_name").contains("control"), 1).otherwise(2)
-    w_an = Window.partitionBy(*keys)
     w_m = Window.partitionBy(*keys, *METRIC_KEYS)
-    df = precomputed.withColumns({
-        "group_name_control": F.min(F.struct(priority.alias("p"), c("group_name").alias("g"))).over(w_an)["g"],
-        "__n_groups": F.size(F.collect_set("group_name").over(w_an)),
-    })
+    chosen = control_groups(precomputed, control_group, keys).select(*[c(k).alias(f"__k_{k}") for k in keys], c("control_group").alias("group_name_control"), c("n_groups").alias("__n_groups"))
+    # a row per analysis; without keys one row in all
+    same = [c(k).eqNullSafe(c(f"__k_{k}")) for k in keys]
+    df = (precomputed.join(chosen, on=same) if keys else precomputed.crossJoin(F.broadcast(chosen))).drop(*[f"__k_{k}" for k in keys])
     is_ctl = c("group_name") == c("group_name_control")
     df = df.withColumns({
         **{f"{m}_control": F.max(F.when(is_ctl, c(m))).over(w_m) for m in MOMENTS},

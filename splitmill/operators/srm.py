@@ -6,7 +6,7 @@ are ordered by group name."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dist
@@ -28,29 +28,28 @@ def srm_test(
     fewer than 2 groups, negative count, non-positive total, a group without a
     share or a share without a group, non-positive share, shares not summing to 1."""
     keys = list(keys or [])
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
     obs = counts.select(*keys, "group_name", F.col(count_col).cast("double").alias("observed"))
     if expected_shares is None:
-        rows = obs.withColumn("share", F.lit(1.0) / F.count("*").over(w)).withColumn("__orphan", F.lit(False))
+        rows = obs.withColumns({"share": F.lit(None).cast("double"), "__orphan": F.lit(False)})
     else:
         shares = expected_shares.select(*keys, "group_name", F.col("share").cast("double").alias("share"))
         rows = obs.join(shares, on=keys + ["group_name"], how="full").withColumn(
             "__orphan", F.col("observed").isNull() | F.col("share").isNull()
         )
-    rows = rows.withColumn("__total", F.sum("observed").over(w)).withColumn("expected", F.col("__total") * F.col("share"))
-    rows = rows.withColumn(
-        "__term", F.when(F.col("expected") > 0, F.pow(F.col("observed") - F.col("expected"), 2.0) / F.col("expected"))
-    )
+    # one row per analysis, its groups in a list; sums combine in tasks
     agg = rows.groupBy(*keys).agg(
         F.count("*").alias("k"),
-        F.sum("__term").alias("statistic"),
-        F.sum("share").alias("share_sum"),
+        F.sum("observed").alias("total"),
         F.min("observed").alias("min_observed"),
-        F.min("share").alias("min_share"),
         F.max(F.col("__orphan").cast("int")).alias("orphan"),
-        F.first("__total").alias("total"),
-        F.sort_array(F.collect_list(F.struct("group_name", "observed", "expected", "share"))).alias("__arr"),
-    )
+        F.sort_array(F.collect_list(F.struct("group_name", "observed", "share"))).alias("__groups"),
+    ).where("k > 0")
+    share = (lambda g: F.lit(1.0) / F.col("k")) if expected_shares is None else (lambda g: g["share"])
+    each = lambda g: F.struct(g["observed"].alias("observed"), (F.col("total") * share(g)).alias("expected"), share(g).alias("share"))
+    agg = agg.withColumn("__arr", F.transform("__groups", each))
+    term = lambda g: F.when(g["expected"] > 0, F.pow(g["observed"] - g["expected"], F.lit(2.0)) / g["expected"])
+    total = lambda value: F.aggregate(F.filter(F.transform("__arr", value), lambda x: x.isNotNull()), F.lit(0.0), lambda acc, x: acc + x)
+    agg = agg.withColumns({"statistic": total(term), "share_sum": total(lambda g: g["share"]), "min_share": F.array_min(F.transform("__arr", lambda g: g["share"]))})
     error = (
         F.when(F.col("k") < 2, F.lit("fewer_than_two_groups"))
         .when(F.col("orphan") == 1, F.lit("shares_do_not_match_groups"))
@@ -78,9 +77,11 @@ def srm_test(
 def group_shares(counts: DataFrame, keys: list[str] | None = None, count_col: str = "observation_cnt") -> DataFrame:
     """Observed share of total and the uniform expected share per group (W-5)."""
     keys = list(keys or [])
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
-    return counts.select(
+    totals = counts.groupBy(*keys).agg(F.sum(count_col).alias("__total"), F.count("*").alias("__k"))
+    # one row per analysis; without keys one row in all
+    rows = counts.join(totals, on=keys) if keys else counts.crossJoin(F.broadcast(totals))
+    return rows.select(
         *keys, "group_name", F.col(count_col),
-        (F.col(count_col) / F.sum(count_col).over(w)).alias("share"),
-        (F.lit(1.0) / F.count("*").over(w)).alias("expected_share"),
+        (F.col(count_col) / F.col("__total")).alias("share"),
+        (F.lit(1.0) / F.col("__k")).alias("expected_share"),
     )

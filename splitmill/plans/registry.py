@@ -7,6 +7,8 @@ two engines agree bit for bit after last-digit summation differences."""
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import replace
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +32,8 @@ from ..sources.events import bounded, ts_lit, union_sources
 from . import oracle_sql as O
 from .analysis import Inputs, joined_events, run_observation, unit_table
 from .observation import Observation
-from ..session import materialize
+from ..session import ensure_checkpoint_dir, materialize
+from ..sources import sinks
 from .testdata_metrics import HEAVY_METRICS, LIGHT_METRICS
 
 MOMENT_COLS = ["metric_value", "numerator_avg", "numerator_var", "denominator_avg", "denominator_var", "covariance"]
@@ -222,13 +225,13 @@ def _ua_sql(p: O.PipelineSQL, metrics) -> str:
     return p.with_clause({"ua": p.unit_agg(metrics)}) + " SELECT * FROM ua"
 
 
-# DuckDB's COUNT_IF is HUGEINT; Spark's is BIGINT
+# DuckDB's COUNT_IF is HUGEINT, and NULL if all conditions are; Spark's is BIGINT and counts 0
 LIGHT_HUGEINT_FORMULAS = ["big_purchases_cnt"]
 
 
 def _ua_sql_rounded(p: O.PipelineSQL, metrics, double_cols) -> str:
     inner = _ua_sql(p, metrics)
-    repl = [f"{O.sig(c)} AS {c}" for c in double_cols] + [f"CAST({c} AS BIGINT) AS {c}" for c in LIGHT_HUGEINT_FORMULAS]
+    repl = [f"{O.sig(c)} AS {c}" for c in double_cols] + [f"CAST(COALESCE({c}, 0) AS BIGINT) AS {c}" for c in LIGHT_HUGEINT_FORMULAS]
     return f"SELECT * REPLACE ({', '.join(repl)}) FROM ({inner})"
 
 
@@ -349,6 +352,38 @@ def q_distinct_labels(spark, d):
     return distinct_labels(catalog)
 
 
+# K-1, S-11: a job that ran in part, ran again and was killed during a third run
+@register("q_job_rerun", O.precompute_sql(light_psql(), LIGHT_METRICS))
+def q_job_rerun(spark, d):
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/job-{uuid.uuid4().hex}"
+    rows = materialize(light_precompute(spark, d))
+    sinks.append_precompute(rows.where("metric_type = 'avg'"), path, 5)
+    sinks.append_precompute(rows, path, 5)
+    rows.withColumns({"job_id": F.lit(5).cast("long"), "run": F.lit("killed")}).write.mode("append").partitionBy("job_id", "run").parquet(path)
+    return _pc_out(sinks.read_precompute(spark, path, 5).drop("job_id"))
+
+
+# K-3, M-6: current state of every job of a log (the orders: one job per customer), lost ones closed
+_LOG_STATUS = {"F": "completed", "O": "running", "P": "pending"}
+_LOG_NOW = "1998-08-02 00:00:00"
+
+
+@register(
+    "q_job_states",
+    "WITH cur AS (SELECT o_custkey AS job_id, o_orderdate AS seen, o_orderkey AS seq, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'running' ELSE 'pending' END AS status FROM orders "
+    "QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1), "
+    f"x AS (SELECT *, status <> 'completed' AND seen <= TIMESTAMP '{_LOG_NOW}' - INTERVAL 2400 HOUR AS lost FROM cur) "
+    f"SELECT job_id, CASE WHEN lost THEN 'failed' ELSE status END AS status, CASE WHEN lost THEN '{sinks.LOST}' END AS error_message, CAST(seq + CASE WHEN lost THEN 1 ELSE 0 END AS BIGINT) AS seq FROM x",
+)
+def q_job_states(spark, d):
+    status = F.element_at(F.create_map(*[F.lit(x) for kv in _LOG_STATUS.items() for x in kv]), F.col("o_orderstatus"))
+    log = TD.table(spark, d, "orders").select(
+        F.col("o_custkey").alias("job_id"), F.lit(None).cast("string").alias("error_message"), status.alias("status"), F.col("o_orderdate").cast("timestamp_ntz").alias("_created_at"), F.col("o_orderkey").cast("bigint").alias("seq")
+    )
+    closed = log.unionByName(sinks.lost_jobs(log, _LOG_NOW, hours=2400))
+    return sinks.current_jobs(closed).select("job_id", "status", "error_message", "seq")
+
+
 def _both_pc_sql() -> str:
     lp, hp = light_psql(), heavy_psql()
     light = lp.with_clause({"ua": lp.unit_agg(LIGHT_METRICS), "pc": O.precompute_selects(LIGHT_METRICS, "user_id")}) + " SELECT 'light' AS analysis, * FROM pc"
@@ -498,23 +533,28 @@ def q_significance_pivot(spark, d):
     return R.fixed_decimals(R.significant_digits(piv, 8, other), 6, p_cols)
 
 
+# two metrics without a display name, and two that the catalog lacks
+FLAG_METRICS = [replace(m, display_name=None) if m.alias in ("click_through", "error_share") else m for m in SIG_METRICS_LIGHT]
+FLAG_CATALOG = [m for m in FLAG_METRICS if m.alias not in ("max_event_value", "purchases_per_user")]
+FLAG_THRESHOLD = 0.5
+
 _CAT_VALUES = ", ".join(
     f"('{m.alias}', '{m.group_name}', {('[' + ', '.join(repr(t) for t in m.tags) + ']') if m.tags else 'CAST([] AS VARCHAR[])'})"
-    for m in LIGHT_METRICS
+    for m in FLAG_CATALOG
 )
 
 
 # P-21, P-28, P-29, J-7, R-4
 def _flagged_sql() -> str:
     p = light_psql()
-    pc_with = p.with_clause({"ua": p.unit_agg(SIG_METRICS_LIGHT), "pc": O.precompute_selects(SIG_METRICS_LIGHT, "user_id")})
+    pc_with = p.with_clause({"ua": p.unit_agg(FLAG_METRICS), "pc": O.precompute_selects(FLAG_METRICS, "user_id")})
     body = O.significance_sql(pc_with)
     return (
         body
         + f", cat AS (SELECT * FROM (VALUES {_CAT_VALUES}) v(metric_name, metric_group, tags)) "
         + "SELECT s.metric_name, s.group_name_compared, COALESCE(s.metric_display_name, s.metric_name) AS metric_display_name, "
         + "COALESCE(cat.metric_group, 'Other') AS metric_group, "
-        + f"{O.dec('s.p_value')} AS p_value, COALESCE(NOT isnan(s.p_value) AND s.p_value < 0.1, false) AS is_significant "
+        + f"{O.dec('s.p_value')} AS p_value, COALESCE(NOT isnan(s.p_value) AND s.p_value < {FLAG_THRESHOLD}, false) AS is_significant "
         + "FROM sig s LEFT JOIN cat ON s.metric_name = cat.metric_name "
         + "WHERE cat.metric_name IS NULL OR cat.metric_group IN ('money') OR list_has_any(cat.tags, ['ux'])"
     )
@@ -522,8 +562,9 @@ def _flagged_sql() -> str:
 
 @register("q_significance_flagged", _flagged_sql())
 def q_significance_flagged(spark, d):
-    cat = catalog_frame(spark, LIGHT_METRICS)
-    out = R.present(light_significance(spark, d), cat, len(LIGHT_METRICS), threshold=0.1, groups=["money"], tags=["ux"])
+    cat = catalog_frame(spark, FLAG_CATALOG)
+    table = S.significance_table(materialize(light_precompute(spark, d, FLAG_METRICS)))
+    out = R.present(table, cat, threshold=FLAG_THRESHOLD, groups=["money"], tags=["ux"])
     out = out.select("metric_name", "group_name_compared", "metric_display_name", "metric_group", "p_value", "is_significant")
     return R.fixed_decimals(out, 6, ["p_value"])
 
@@ -556,22 +597,26 @@ def _light_sizes_with() -> str:
     return p.with_clause({"ua": p.unit_agg(LIGHT_METRICS), "pc": O.precompute_selects(LIGHT_METRICS, "user_id")})
 
 
+_MADE_SHARES = {"even": (1 / 3, 1 / 3, 1 / 3), "skewed": (0.5, 0.3, 0.2)}
+_MADE_SHARES_SQL = ", ".join(f"('{check}', '{g}', {O.dbl(x)})" for check, shares in _MADE_SHARES.items() for g, x in zip(TD.LIGHT_GROUPS, shares))
+
+
 @register(
     "q_srm_expected",
     _light_sizes_with()
-    + f", sh AS (SELECT group_name, COUNT(*) / SUM(COUNT(*)) OVER () AS share FROM ({O.LIGHT_TESTIDS}) GROUP BY group_name), "
+    + f", sh AS (SELECT 'log' AS plan_name, group_name, COUNT(*) / SUM(COUNT(*)) OVER () AS share FROM ({O.LIGHT_TESTIDS}) GROUP BY group_name UNION ALL VALUES {_MADE_SHARES_SQL}), "
     + "gs AS (SELECT group_name, MAX(observation_cnt) AS o FROM pc GROUP BY group_name), "
     + "tot AS (SELECT SUM(o) AS n FROM gs), "
-    + "st AS (SELECT SUM(power(o - n * share, 2) / (n * share)) AS x, COUNT(*) AS k FROM gs JOIN sh USING (group_name), tot) "
-    + f"SELECT {O.sig('x')} AS statistic, {O.dec('exp(-x / 2)')} AS p_value, CAST(k - 1 AS INTEGER) AS df, exp(-x / 2) < 0.001 AS is_srm FROM st",
+    + "st AS (SELECT plan_name, SUM(power(o - n * share, 2) / (n * share)) AS x, COUNT(*) AS k FROM gs JOIN sh USING (group_name), tot GROUP BY plan_name) "
+    + f"SELECT plan_name, {O.sig('x')} AS statistic, {O.dec('exp(-x / 2)')} AS p_value, CAST(k - 1 AS INTEGER) AS df, exp(-x / 2) < 0.001 AS is_srm FROM st",
 )
 def q_srm_expected(spark, d):
-    log = TD.light_testids(spark, d)
-    shares = log.groupBy("group_name").count()
-    total = log.count()  # one number; the shares stay a DataFrame
-    shares = shares.withColumn("share", F.col("count") / F.lit(float(total)))
-    res = SRM.srm_test(group_sizes(light_precompute(spark, d)), shares.select("group_name", "share"))
-    out = res.select("statistic", "p_value", "df", "is_srm")
+    log = SRM.group_shares(TD.light_testids(spark, d).groupBy("group_name").agg(F.count("*").alias("observation_cnt")))
+    made = spark.createDataFrame([(check, g, float(x)) for check, shares in _MADE_SHARES.items() for g, x in zip(TD.LIGHT_GROUPS, shares)], "plan_name string, group_name string, share double")
+    shares = log.select(F.lit("log").alias("plan_name"), "group_name", "share").unionByName(made)
+    sizes = group_sizes(light_precompute(spark, d)).select(F.explode(F.array(*[F.lit(x) for x in ("log", *_MADE_SHARES)])).alias("plan_name"), "group_name", "observation_cnt")
+    res = SRM.srm_test(sizes, shares, keys=["plan_name"])
+    out = res.select("plan_name", "statistic", "p_value", "df", "is_srm")
     return R.fixed_decimals(R.significant_digits(out, 10, ["statistic"]), 6, ["p_value"])
 
 

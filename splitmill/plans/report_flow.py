@@ -44,7 +44,7 @@ def job_report(
     srm = SRM.srm_test(sizes, expected_shares)
     table = S.significance_table(pre, control_group)
     shown = R.present(
-        table, catalog_frame(spark, metrics), len(metrics), threshold=threshold,
+        table, catalog_frame(spark, metrics), threshold=threshold,
         groups=metric_groups, tags=metric_tags, compared_groups=compared_groups,
     )
     return Report(pre, sizes, srm, shown)

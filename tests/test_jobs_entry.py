@@ -44,6 +44,55 @@ def test_planning_job_not_stored(spark, tmp_path):
     assert not (tmp_path / "pre").exists()
 
 
+def test_a_rerun_and_a_killed_run_leave_one_set_of_rows(spark, tmp_path):
+    path = str(tmp_path / "pre")
+    rows = RG.light_precompute(spark, SF_SMALL)
+    sinks.append_precompute(rows.limit(3), path, 7)
+    sinks.append_precompute(rows, path, 8)
+    sinks.append_precompute(rows, path, 7)  # the rerun
+    from pyspark.sql import functions as F
+
+    rows.withColumns({"job_id": F.lit(7).cast("long"), "run": F.lit("killed")}).write.mode("append").partitionBy("job_id", "run").parquet(path)  # no commit
+    assert sinks.read_precompute(spark, path, 7).count() == sinks.read_precompute(spark, path, 8).count() == rows.count()
+    assert sinks.read_precompute(spark, path, 9).count() == 0
+
+
+def test_job_log_is_written_as_the_job_goes(spark, tmp_path, monkeypatch):
+    from datetime import datetime, timedelta, timezone
+
+    from splitmill.plans import jobs
+
+    log, seen = str(tmp_path / "log"), {}
+
+    def look(*a, **k):
+        seen["at start"] = [r.status for r in spark.read.parquet(log).collect()]
+        raise KeyboardInterrupt  # the driver dies
+
+    monkeypatch.setattr(jobs, "run_scenario", look)
+    with pytest.raises(KeyboardInterrupt):
+        run_job(spark, 41, _inputs(spark), RG.light_obs(), RG.LIGHT_METRICS, None, log)
+    assert seen["at start"] == ["pending"]
+    now = datetime.now(timezone.utc).replace(tzinfo=None)
+    stored = spark.read.parquet(log)
+    assert sinks.lost_jobs(stored, now, hours=1).count() == 0
+    (lost,) = sinks.lost_jobs(stored, now + timedelta(hours=2), hours=1).collect()
+    assert (lost.job_id, lost.status, lost.error_message) == (41, "failed", sinks.LOST)
+
+
+def test_job_that_cannot_be_created(spark, tmp_path):
+    blocker = tmp_path / "log"
+    blocker.write_text("a file where the log should be")
+    res = run_job(spark, 42, _inputs(spark), RG.light_obs(), RG.LIGHT_METRICS, str(tmp_path / "pre"), str(blocker))
+    assert res.status == "failed" and res.error_message.startswith("Job create failed") and not (tmp_path / "pre").exists()
+
+
+def test_every_violation_is_stored(spark, tmp_path):
+    bad = [MetricSpec(f"not_a_share_{k}", "proportion", FormulaSpec(f"n_events_{k}", "COUNT(*)")) for k in range(4)]
+    res = run_job(spark, 43, _inputs(spark), RG.light_obs(), bad, str(tmp_path / "pre"), violations_path=str(tmp_path / "bad"))
+    rows = spark.read.parquet(str(tmp_path / "bad")).collect()
+    assert len(rows) == 12 and {r.code for r in rows} == {"proportion_out_of_range"} and "12 x proportion_out_of_range" in res.error_message
+
+
 def test_contract_missing_columns(spark):
     df = spark.createDataFrame([("a", 1)], "GROUP_NAME string, Metric_Name int")
     with pytest.raises(ValueError, match="missing required columns"):

@@ -139,7 +139,7 @@ def test_pivot_and_report(spark):
     from splitmill.plans.testdata_metrics import LIGHT_METRICS
     from splitmill.sources.catalog import catalog_frame
 
-    pres = R.present(sig, catalog_frame(spark, LIGHT_METRICS), len(LIGHT_METRICS), threshold=0.05).collect()
+    pres = R.present(sig, catalog_frame(spark, LIGHT_METRICS), threshold=0.05).collect()
     assert {r.metric_group for r in pres} == {"Other"}
     assert all(r.metric_display_name is not None for r in pres)
     nan = spark.createDataFrame([(float("nan"),), (0.01,), (None,)], "p double")
