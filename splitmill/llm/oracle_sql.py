@@ -40,7 +40,7 @@ def chat(own: str) -> str:
     n AS (SELECT *, CASE WHEN regexp_full_match(role, '[a-z_]+') THEN length(role) ELSE 1 + 2 * strlen(role) END AS role_n,
                  CASE WHEN contains(text, '\') OR regexp_matches(text, '(?i)### [a-z0-9_%]*:|</turn>')
                       THEN length(text) + length(text) - length(replace(text, '\', '')) + (length(text) - length(replace(text, '</', ''))) / 2
-                           + len(list_filter(range(1, length(text)), i -> text[i] = '#' AND text[i + 1] = '#'))
+                           + len(list_filter(range(1, length(text)), lambda i: text[i] = '#' AND text[i + 1] = '#'))
                       ELSE length(text) END AS text_n FROM t)
     SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
            CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
