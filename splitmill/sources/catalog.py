@@ -51,15 +51,24 @@ def check_alias(alias: str) -> str:
     return alias
 
 
-def check_formula_sql(sql: str) -> str:
+COMMENT_MARKS = ("--", "/*", "*/")
+
+
+def formula_problems(sql: str) -> list[str]:
+    """Everything that keeps a text from being a unit formula."""
     if not isinstance(sql, str) or not sql.strip():
-        raise CatalogError("formula SQL cannot be empty")
-    if not parentheses_balanced(sql):
-        raise CatalogError(f"<{sql}> has unbalanced parentheses")
-    if _FORBIDDEN_RE.search(sql):
-        raise CatalogError(f"<{sql}> contains a forbidden keyword ({', '.join(FORBIDDEN_FORMULA_WORDS)})")
-    if "--" in sql or "/*" in sql or "*/" in sql:
-        raise CatalogError(f"<{sql}> contains comment syntax")
+        return ["it is blank"]
+    rules = {
+        "its parentheses do not pair up": not parentheses_balanced(sql),
+        f"it uses one of {', '.join(FORBIDDEN_FORMULA_WORDS)}": _FORBIDDEN_RE.search(sql) is not None,
+        "it holds a comment": any(mark in sql for mark in COMMENT_MARKS),
+    }
+    return [problem for problem, broken in rules.items() if broken]
+
+
+def check_formula_sql(sql: str) -> str:
+    if problems := formula_problems(sql):
+        raise CatalogError(f"no unit formula: {sql!r}: {'; '.join(problems)}")
     return sql
 
 
@@ -92,7 +101,7 @@ class MetricSpec:
         if self.type not in METRIC_TYPES:
             raise CatalogError(f"metric {self.alias}: type must be one of {METRIC_TYPES}")
         if self.type == "ratio" and self.denominator is None:
-            raise CatalogError(f"Denominator is required for ratio type. Check the formula for <{self.alias}>.")
+            raise CatalogError(f"metric {self.alias}: a ratio has two formulas, and one is missing")
         if self.display_name is not None and len(self.display_name) > MAX_DISPLAY_NAME:
             raise CatalogError(f"metric {self.alias}: display name longer than {MAX_DISPLAY_NAME}")
         if self.group_name is not None and len(self.group_name) > MAX_GROUP_NAME:
