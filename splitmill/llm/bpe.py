@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ensure_worker_path
-from .common import column
+from .common import column, free_name
 
 NONE = 1 << 62
-CACHE = 150_000  # parts and pieces that a worker remembers, of LONG characters at most
+CACHE = 120_000  # parts, and pieces, that a worker remembers, of LONG characters at most: some 30 MB each
 LONG = 40
 CHUNK = 1_000_000  # characters of the texts that are encoded together
 SIDE_BY_SIDE = 62  # bytes of a piece whose tree is a row of an array
@@ -276,14 +276,26 @@ def vocabulary(rank_path: str) -> list[bytes]:
     return _VOCABULARIES[rank_path]
 
 
+def _ids_of(texts: pa.Array, rank_path: str, pattern: str) -> pa.ListArray:
+    work = encoder(rank_path, pattern)
+    ids, ends = bytearray(), [0]
+    for got in work.encode(t.as_py() or "" for t in texts):
+        ids += got
+        ends.append(len(ids) // 4)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, dtype=np.int32)))
+
+
+def _bytes_of(ids: pa.ListArray, rank_path: str) -> pa.Array:
+    table = vocabulary(rank_path)
+    values, get = ids.values.to_numpy(), table.__getitem__
+    ends, known = ids.offsets.to_pylist(), ids.is_valid().to_pylist()
+    rows = (b"".join(map(get, values[a:b].tolist())) if ok else None for a, b, ok in zip(ends, ends[1:], known))
+    return pa.array(rows, pa.binary())
+
+
 def _encoder_udf(rank_path: str, pattern: str) -> Callable:
     def encode(texts: pa.Array) -> pa.Array:
-        work = encoder(rank_path, pattern)
-        ids, ends = bytearray(), [0]
-        for got in work.encode(t.as_py() or "" for t in texts):
-            ids += got
-            ends.append(len(ids) // 4)
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, dtype=np.int32)))
+        return _ids_of(texts, rank_path, pattern)
 
     # marked so that Spark never copies the call into what uses the ids and encodes twice
     return F.arrow_udf(encode, T.ArrayType(T.IntegerType())).asNondeterministic()
@@ -291,11 +303,7 @@ def _encoder_udf(rank_path: str, pattern: str) -> Callable:
 
 def _decoder_udf(rank_path: str) -> Callable:
     def decode(ids: pa.Array) -> pa.Array:
-        table = vocabulary(rank_path)
-        values, get = ids.values.to_numpy(), table.__getitem__
-        ends, known = ids.offsets.to_pylist(), ids.is_valid().to_pylist()
-        rows = (b"".join(map(get, values[a:b].tolist())) if ok else None for a, b, ok in zip(ends, ends[1:], known))
-        return pa.array(rows, pa.binary())
+        return _bytes_of(ids, rank_path)
 
     return F.arrow_udf(decode, T.BinaryType())
 
@@ -313,3 +321,19 @@ def decode(rows: DataFrame, rank_path: str, ids_col: str = "ids", bytes_col: str
     An id outside the vocabulary is an error."""
     ensure_worker_path(rows.sparkSession)
     return rows.withColumn(bytes_col, _decoder_udf(rank_path)(column(rows, ids_col)))
+
+
+def encode_decode(docs: DataFrame, rank_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
+    """``decode(encode(docs))`` in one call, so that a task has one Python worker, not two,
+    that remembers parts of texts."""
+    ensure_worker_path(docs.sparkSession)
+
+    def work(texts: pa.Array) -> pa.Array:
+        ids = _ids_of(texts, rank_path, pattern)
+        return pa.StructArray.from_arrays([ids, _bytes_of(ids, rank_path)], names=["ids", "decoded"])
+
+    udf = F.arrow_udf(work, "struct<ids:array<int>,decoded:binary>").asNondeterministic()
+    made = free_name(docs, "_made")
+    rows = docs.withColumn(made, udf(column(docs, text_col)))
+    kept = [column(rows, c).alias(c) for c in docs.columns if c not in (ids_col, bytes_col)]
+    return rows.select(*kept, F.col(made)["ids"].alias(ids_col), F.col(made)["decoded"].alias(bytes_col))

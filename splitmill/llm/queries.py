@@ -40,7 +40,7 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ranks = P.path("byte_bpe_50k.tiktoken")
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = bpe.decode(bpe.encode(docs, ranks, P.PATTERN), ranks)
+    rows = bpe.encode_decode(docs, ranks, P.PATTERN)
     return rows.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
