@@ -42,7 +42,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
     ranks = P.path("byte_bpe_50k.tiktoken")
-    ids = bpe.decode(bpe.encode(docs.select("doc_id", "text"), ranks, P.PATTERN), ranks)
+    ids = bpe.encode_decode(docs.select("doc_id", "text"), ranks, P.PATTERN)
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     lost = F.raise_error(F.lit("a text does not survive its encoding"))
     ids = ids.withColumn("ids", F.when(same, F.col("ids")).otherwise(lost))
