@@ -81,3 +81,25 @@ FILL_IN_MIDDLE = r"""
            sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
            sha256(p || m || s) AS restored_sha256
     FROM p"""
+
+
+def quality(least: int = 20, words_left: int = 10, lost: float = 0.7) -> str:
+    space = r"[\x20\x09-\x0D]"
+    return rf"""
+    WITH d AS (SELECT doc_id, coalesce('=' || source, '-') AS host, coalesce(text, '') AS text, {WORDS} AS w FROM documents),
+    x AS (SELECT doc_id, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5),
+    g AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS five FROM x JOIN d USING (doc_id)),
+    again AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, five) > 1),
+    r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM again) GROUP BY doc_id),
+    l AS (SELECT doc_id, host, text, unnest(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) AS line FROM d),
+    s AS (SELECT doc_id, host, text, trim(regexp_replace(regexp_replace(lower(line), '{space}+', ' ', 'g'), '[0-9]+', '0', 'g'), ' ') AS line,
+                 len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n, line AS given FROM l),
+    f AS (SELECT host, line FROM s GROUP BY host, line HAVING count(DISTINCT text) >= {least}),
+    gone AS (SELECT doc_id, sum(n) AS n FROM s JOIN f USING (host, line) GROUP BY doc_id),
+    twice AS (SELECT doc_id, count(*) - count(DISTINCT given) AS n FROM s GROUP BY doc_id),
+    o AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+                 CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, coalesce(twice.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
+                 CAST(coalesce(gone.n, 0) AS BIGINT) AS n_line_words
+          FROM d LEFT JOIN r USING (doc_id) LEFT JOIN gone USING (doc_id) LEFT JOIN twice USING (doc_id)),
+    b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM o)
+    SELECT *, NOT base_failed AND n_words - n_line_words >= {words_left} AND n_line_words <= {lost} * n_words AS kept FROM b"""

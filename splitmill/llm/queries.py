@@ -154,6 +154,7 @@ QUERIES = {
 ORACLE: dict[str, str] = {
     "op2_url_filters": oracle_sql.url_filters(URL_RULES),
     "op3_substring_dedup": oracle_sql.SUBSTRING,
+    "op6_quality_rules": oracle_sql.quality(),
     "op9_chat": oracle_sql.chat(OWN_CONVERSATION),
     "op10_decontaminate": oracle_sql.DECONTAMINATE,
     "op13_fill_in_middle": oracle_sql.FILL_IN_MIDDLE,
