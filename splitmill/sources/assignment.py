@@ -27,11 +27,12 @@ def first_per_unit(
 ) -> DataFrame:
     """Earliest record per unit; returns ``split_id, first_split_timestamp, group_name, <keep>``.
 
-    Ties on ``order_by`` are broken by ``tie_break`` columns, then by the kept values."""
+    A NULL ``order_by`` sorts last.  Ties on it are broken by ``tie_break`` columns, then by the kept values."""
     tie_break = list(tie_break or [])
     keep = [c for c in (keep if keep is not None else [c for c in records.columns]) if c not in (split_id, order_by)]
     payload = [order_by] + [c for c in tie_break if c not in keep] + ["group_name"] + [c for c in keep if c != "group_name"]
-    first = F.min(F.struct(*[F.col(c) for c in payload])).alias("__first")
+    # a record without a time comes after all others, as in an ascending sort with NULLs last
+    first = F.min(F.struct(F.col(order_by).isNull().alias("__timeless"), *[F.col(c) for c in payload])).alias("__first")
     out = records.groupBy(split_id).agg(first)
     cols = [F.col(split_id), F.col(f"__first.{order_by}").alias("first_split_timestamp"), F.col("__first.group_name").alias("group_name")]
     cols += [F.col(f"__first.{c}").alias(c) for c in keep if c not in ("group_name",)]

@@ -181,9 +181,13 @@ def metrics_from_group(doc: dict) -> list[MetricSpec]:
 
 
 def load_catalog(directory: str | Path) -> list[MetricSpec]:
-    """Every ``*.yaml`` below ``directory`` is one metric group (driver-side config)."""
+    """Every ``*.yaml`` below ``directory`` is one metric group (driver-side config); a missing
+    folder is an error."""
     import yaml
 
+    if not Path(directory).is_dir():
+        raise CatalogError(f"there is no metrics folder {str(directory)!r}")
+
     metrics: list[MetricSpec] = []
     for path in sorted(Path(directory).rglob("*.yaml")):
         with open(path, encoding="utf-8") as fh:

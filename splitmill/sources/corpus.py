@@ -34,6 +34,7 @@ def metric_documents(catalog: DataFrame) -> DataFrame:
         F.format_string("Metric: %s (%s)", F.col("metric_name"), F.col("metric_type")),
         F.concat(F.lit("Name: "), F.coalesce(F.col("metric_display_name"), F.col("metric_name"))),
         F.concat(F.lit("Description: "), F.coalesce(F.col("description"), F.lit(""))),
+        F.concat(F.lit("Owner: "), F.coalesce(F.col("owner"), F.lit(""))),
         F.concat(F.lit("Group: "), F.coalesce(F.col("metric_group"), F.lit(""))),
         F.concat(F.lit("Tags: "), F.array_join(F.coalesce(F.col("tags"), F.array().cast("array<string>")), ", ")),
         F.concat(F.lit("Numerator: "), F.col("numerator.sql")),
@@ -41,6 +42,6 @@ def metric_documents(catalog: DataFrame) -> DataFrame:
     )
     meta = F.create_map(
         F.lit("metric_name"), F.col("metric_name"), F.lit("metric_type"), F.col("metric_type"),
-        F.lit("metric_group"), F.coalesce(F.col("metric_group"), F.lit("")),
+        F.lit("metric_group"), F.coalesce(F.col("metric_group"), F.lit("")), F.lit("owner"), F.coalesce(F.col("owner"), F.lit("")),
     )
     return catalog.select(F.col("metric_name").alias("doc_id"), text.alias("document"), meta.alias("metadata"))

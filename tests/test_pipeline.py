@@ -327,3 +327,25 @@ def test_events_of_other_units_are_dropped_before_the_exchange(spark, tmp_path):
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_a_record_without_a_time_is_not_the_first(spark):
+    from splitmill.sources.assignment import first_per_unit
+
+    log = spark.createDataFrame([(1, None, "control"), (1, dt(2024, 1, 1), "treatment"), (2, None, "control")], "user_id long, record_timestamp timestamp_ntz, group_name string")
+    got = {r.user_id: (r.first_split_timestamp, r.group_name) for r in first_per_unit(log, "user_id").collect()}
+    assert got == {1: (dt(2024, 1, 1), "treatment"), 2: (None, "control")}
+
+
+def test_missing_folder_owner_and_empty_lists(spark, tmp_path):
+    from splitmill.sources.catalog import CatalogError, catalog_frame, distinct_labels, filter_metrics, load_catalog, select_metrics
+    from splitmill.sources.corpus import metric_documents
+
+    with pytest.raises(CatalogError):
+        load_catalog(tmp_path / "nowhere")
+    m = [MetricSpec("one", "avg", FormulaSpec("a", "SUM(1)"), owner="Ann", group_name="g", tags=("x", "y", "x")), MetricSpec("two", "avg", FormulaSpec("b", "SUM(2)"), group_name="g", tags=("y",))]
+    doc = metric_documents(catalog_frame(spark, m)).where("doc_id = 'one'").first()
+    assert "Owner: Ann" in doc.document and doc.metadata["owner"] == "Ann"
+    assert filter_metrics(m, types=[], tags=[], group_names=[]) == m == select_metrics(m, [])
+    assert [x.alias for x in filter_metrics(m, tags=["x"], group_names=[])] == ["one"]
+    assert [tuple(r) for r in distinct_labels(catalog_frame(spark, m)).collect()] == [("group", "g", 2), ("tag", "x", 1), ("tag", "y", 2)]
