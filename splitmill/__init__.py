@@ -7,7 +7,6 @@ Layers (each a set of DataFrame -> DataFrame functions):
                   planning, SRM, reporting, entity tables, quality checks, similarity
 * ``functions`` – Column helpers (numpy-like division, distribution tails, text)
 * ``plans``     – an observation run end to end, job wrapper, planner
-* ``streaming`` – nothing: the analysed workload is batch only
 """
 
 __version__ = "0.1.0"
