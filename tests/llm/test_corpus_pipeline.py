@@ -88,7 +88,8 @@ def test_encode_notices_wrong_ids(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "some words"), (2, None)], "doc_id long, text string")
     assert {r.doc_id: r.n_tokens > 0 for r in corpus_pipeline.encode(spark, docs, "").collect()} == {1: True, 2: False}
     right = bpe.encode
-    monkeypatch.setattr(bpe, "encode", lambda *a: right(*a).withColumn("ids", F.slice("ids", 1, 1)))
+    wrong = lambda rows, ranks, pattern: bpe.decode(right(rows, ranks, pattern).withColumn("ids", F.slice("ids", 1, 1)), ranks)
+    monkeypatch.setattr(bpe, "encode_decode", wrong)
     with pytest.raises(Exception, match="does not survive"):
         corpus_pipeline.encode(spark, docs, "").collect()
 
