@@ -114,9 +114,15 @@ def audited_query(sql: str, spark: SparkSession) -> DataFrame:
     return df
 
 
+MOST_PASSED = 10_000
+_PASSED: set[str] = set()  # expressions that have passed, so that a text is gone through once
+
+
 def audited_expression(text: str, spark: SparkSession | None = None) -> Column:
     """A filter or formula as a Column, if it parses as one expression without subqueries
     that passes the audit of a query's expressions; else ValueError."""
+    if text in _PASSED:  # what an expression may hold does not depend on the session
+        return F.expr(text)
     spark = spark or SparkSession.active()
     try:
         tree = _parser(spark).parseExpression(text)
@@ -126,6 +132,8 @@ def audited_expression(text: str, spark: SparkSession | None = None) -> Column:
         if is_instance_of(spark.sparkContext._gateway, node, f"{CATALYST}.expressions.PlanExpression"):
             raise ValueError(f"an expression may not hold a query: {text!r}")
     _check_parsed(spark, tree)
+    if len(_PASSED) < MOST_PASSED:
+        _PASSED.add(text)
     return F.expr(text)
 
 
