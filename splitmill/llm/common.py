@@ -32,6 +32,35 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class HashTable:
+    """Rows that every task looks up by hash in constant time, without a join: an array of
+    buckets, put together by Spark and held by a session variable, whose value travels as
+    one literal with the plan (packed bytes, printed by its address).
+
+    ``entries`` must have a column ``hash`` and a checked size: the rows pass through one
+    task and the driver, and each running task holds a copy."""
+
+    def __init__(self, entries: DataFrame, n: int):
+        spark, kind = entries.sparkSession, entries.schema.simpleString()
+        self.size = 1 << max(4, n.bit_length())
+        filed = entries.groupBy(F.pmod("hash", F.lit(self.size)).alias("bucket")).agg(F.collect_list(F.struct(*entries.columns)).alias("rows"))
+        rows = F.coalesce("rows", F.expr(f"cast(array() as array<{kind}>)"))
+        buckets = spark.range(self.size).select(F.col("id").alias("bucket")).join(filed, "bucket", "left").select(F.struct("bucket", rows.alias("rows")).alias("b"))
+        made = buckets.agg(F.transform(F.array_sort(F.collect_list("b")), lambda b: b["rows"]).alias("made"))
+        self.spark, self.name = spark, f"table_{uuid.uuid4().hex}"
+        spark.sql(f"DECLARE VARIABLE {self.name} array<array<{kind}>>")
+        spark.sql(f"SET VARIABLE {self.name} = (SELECT made FROM {{made}})", made=made)
+        self.buckets = F.expr(f"session.{self.name}")
+
+    def bucket(self, value: Column) -> Column:
+        """The entries that may have this hash, as an array."""
+        return F.element_at(self.buckets, (F.pmod(value, F.lit(self.size)) + 1).cast("int"))
+
+    def drop(self) -> None:
+        """Ends the variable; DataFrames made with the table keep its value."""
+        self.spark.sql(f"DROP TEMPORARY VARIABLE IF EXISTS {self.name}")
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased, every other character unchanged."""
     return F.translate(c, UPPER, LOWER)

@@ -5,26 +5,22 @@ window).  The windows' hashes form a set that every task holds; each document's
 are hashed in place and looked up.  What is found is verified word by word, and spans or
 documents are removed.  Documents stay where they are: nothing of them is shuffled.
 
-The set travels with the plan, so its size is checked first (INLINE windows, BYTES of words
-and item ids).  A larger benchmark is joined as a table instead: windows first, then the
-items of the windows that a document holds; the results are the same."""
+The set's size is measured first.  A benchmark of more than BYTES is dealt by hash into sets
+of that size, which go over the documents one after the other (the hits so far are written
+with the documents); the plan and the results are the same at every size."""
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, column, free_name, let, staged
+from .common import HashTable, ascii_lower, column, free_name, let, staged
 
 SIZE = 10
-INLINE = 20_000
-BYTES = 8 << 20
-BUCKETS = 4096
+BYTES = 192 << 20  # of one set: about a million windows
+ENTRY = 96  # bytes of an entry beside its words and ids
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-HIT = "struct<at:int,len:int,words:array<string>,items:array<string>>"
-BARE = "struct<at:int,len:int,words:array<string>>"
+SPANS, ITEMS = "array<struct<at:int,len:int>>", "array<string>"
 
 
 def normal_words(text: Column) -> Column:
@@ -42,66 +38,57 @@ def test_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
     return each.select("len", "words", "item").distinct()
 
 
-def _name(words: Column) -> Column:
-    """A window's name; words have no spaces."""
-    return F.sha2(F.array_join(words, " "), 256)
-
-
 def _positions(words: Column, n: int) -> Column:
     """Where windows of ``n`` words start, from 1."""
     return F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.expr("cast(array() as array<int>)"))
 
 
-def _looked_up(words: Column, windows: DataFrame) -> Column:
-    """Hits of a document: its window positions whose hash is in the set, with the test
-    windows filed under that hash."""
-    lens: dict[int, list[int]] = {}
-    filed: list[list[dict]] = [[] for _ in range(BUCKETS)]
-    for r in windows.collect():
-        lens.setdefault(r["len"], []).append(r["hash"])
-        filed[r["hash"] % BUCKETS].append({"len": r["len"], "words": r["words"], "items": r["items"]})
-    table = F.from_json(F.lit(json.dumps(filed)), "array<array<struct<len:int,words:array<string>,items:array<string>>>>")
+class _Set:
+    """A hash set of test windows, with their words and the items that hold them."""
+
+    def __init__(self, pairs: DataFrame):
+        self.lens = sorted(r["len"] for r in pairs.select("len").distinct().collect())  # at most SIZE of them
+        windows = pairs.groupBy("words").agg(F.collect_set("item").alias("items"))
+        windows = windows.select(F.xxhash64("words").alias("hash"), F.array_join("words", " ").alias("words"), "items")  # words have no spaces
+        self.table = HashTable(windows, pairs.select("words").distinct().count()) if self.lens else None
 
-    def hits(n: int, hashes: list[int]) -> Column:
-        hash_at = lambda i: F.xxhash64(F.slice(words, i, F.lit(n)))
-        at = F.filter(_positions(words, n), lambda i: hash_at(i).isin(hashes))
-        tests = lambda i: F.element_at(table, (F.pmod(hash_at(i), F.lit(BUCKETS)) + 1).cast("int"))
-        hit = lambda i, t: F.struct(i.alias("at"), t["len"].alias("len"), t["words"].alias("words"), t["items"].alias("items"))
-        return F.flatten(F.transform(at, lambda i: F.transform(F.filter(tests(i), lambda t: t["len"] == n), lambda t: hit(i, t))))
+    def drop(self) -> None:
+        if self.table:
+            self.table.drop()
 
-    return F.concat(*[hits(n, hashes) for n, hashes in sorted(lens.items())]) if lens else F.expr(f"cast(array() as array<{HIT}>)")
+    def found(self, words: Column) -> Column:
+        """struct(spans, items): the verified windows of a document, and their items."""
+        if not self.lens:
+            return F.struct(_none(SPANS).alias("spans"), _none(ITEMS).alias("items"))
 
+        def windows(n: int) -> Column:
+            def looked_up(hashes: Column) -> Column:
+                at = F.filter(_positions(words, n), lambda i: F.exists(self.table.bucket(F.element_at(hashes, i)), lambda e: e["hash"] == F.element_at(hashes, i)))
+                seen = F.transform(at, lambda i: F.struct(i.alias("at"), F.lit(n).alias("len"), F.array_join(F.slice(words, i, F.lit(n)), " ").alias("words")))
+                return F.filter(seen, lambda x: F.exists(self.table.bucket(F.element_at(hashes, x["at"])), lambda e: e["words"] == x["words"]))
 
-def _joined(docs: DataFrame, windows: DataFrame, owners: DataFrame, text_col: str, hits: str, items: str) -> DataFrame:
-    """``docs`` with the same hits in column ``hits`` (without items) and the items of the true
-    ones in ``items``, found by joins: for a benchmark that is too large for the plan."""
-    row = free_name(docs, "_row")
-    rows = staged(docs.withColumn(row, F.monotonically_increasing_id()), "decontam-rows")
-    lens = sorted(r["len"] for r in windows.select("len").distinct().collect())  # at most SIZE of them
+            return let(F.transform(_positions(words, n), lambda i: F.xxhash64(F.slice(words, i, F.lit(n)))), looked_up)
 
-    def mark(w: Column, n: int) -> Column:
-        return F.transform(_positions(w, n), lambda i: F.struct(i.alias("at"), F.lit(n).alias("len"), F.xxhash64(F.slice(w, i, F.lit(n))).alias("hash")))
+        def items(window: Column) -> Column:
+            filed = self.table.bucket(F.xxhash64(F.split(window, " ", -1)))
+            return F.flatten(F.transform(F.filter(filed, lambda e: e["words"] == window), lambda e: e["items"]))
 
-    def marks(w: Column) -> Column:
-        return F.concat(*[mark(w, n) for n in lens])
+        def out(hits: Column) -> Column:
+            different = F.array_distinct(F.transform(hits, lambda x: x["words"]))
+            return F.struct(
+                F.transform(hits, lambda x: F.struct(x["at"].alias("at"), x["len"].alias("len"))).alias("spans"),
+                F.array_distinct(F.flatten(F.transform(different, items))).alias("items"),
+            )
 
-    seen = rows.select(row, F.inline(let(normal_words(column(rows, text_col)), marks))).join(windows, ["len", "hash"])
-    lists = staged(seen.groupBy(row).agg(F.collect_list(F.struct("at", "len", "words")).alias(hits)), "decontam-hits")
-    names = lambda w: F.array_distinct(F.transform(_true(w, F.col(hits)), lambda x: _name(x["words"])))
-    held = rows.select(row, column(rows, text_col).alias("_held")).join(lists, row).select(row, F.explode(let(normal_words(F.col("_held")), names)).alias("_window"))
-    found = held.join(owners, "_window").groupBy(row).agg(F.collect_set("item").alias(items))
-    return rows.join(lists, row, "left").join(found, row, "left").withColumns({
-        hits: F.coalesce(hits, F.expr(f"cast(array() as array<{BARE}>)")),
-        items: F.coalesce(items, F.expr("cast(array() as array<string>)")),
-    }).drop(row)
+        return let(F.concat(*[windows(n) for n in self.lens]), out)
 
 
-def _true(words: Column, hits: Column) -> Column:
-    return F.filter(hits, lambda x: F.slice(words, x["at"], x["len"]) == x["words"])
+def _none(kind: str) -> Column:
+    return F.expr(f"cast(array() as {kind})")
 
 
-def _verdict(words: Column, hits: Column, items: Column | None = None) -> Column:
-    """What find_contamination returns of one document; ``items`` if the hits have none."""
+def _verdict(words: Column, hits: Column, items: Column) -> Column:
+    """What find_contamination returns of one document."""
 
     def covered(spans: Column) -> Column:
         new = lambda a, x: F.greatest(F.lit(0), x["at"] + x["len"] - F.greatest(a["end"], x["at"]))
@@ -116,39 +103,49 @@ def _verdict(words: Column, hits: Column, items: Column | None = None) -> Column
         return F.struct(
             F.size(words).cast("bigint").alias("n_words"),
             covered(spans).alias("n_hit"),
-            F.array_sort(F.array_distinct(F.flatten(F.transform(spans, lambda x: x["items"]))) if items is None else items).alias("hit_items"),
-            F.transform(spans, lambda x: F.struct(x["at"].alias("at"), x["len"].alias("len"))).alias("hit_spans"),
+            F.array_sort(items).alias("hit_items"),
+            spans.alias("hit_spans"),
             (F.size(spans) > 0).alias("contaminated"),
         )
 
-    return let(F.array_sort(_true(words, hits)), out)
+    # a window whose items are in several sets was found in each of them
+    once = lambda x: F.filter(x, lambda s, k: (k == 0) | (s != F.get(x, k - 1)))
+    return let(let(F.array_sort(hits), once), out)
 
 
 OUT = ("n_words", "n_hit", "hit_items", "hit_spans", "contaminated")
 
 
 def find_contamination(
-    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = SIZE, inline: int = INLINE, most_bytes: int = BYTES
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = SIZE, most_bytes: int = BYTES
 ) -> DataFrame:
     """``docs`` with n_words, n_hit (words inside any occurrence of a test window),
     hit_items (ids of items with an occurring window, as text, sorted), hit_spans (array of
     at, len: verified windows, words counted from 1) and contaminated (n_hit > 0).  Columns
     of these names are replaced.  Null and wordless texts have no words and no hits; an
     empty benchmark hits nothing; equal items count by their id; equal rows stay."""
-    pairs = staged(test_windows(benchmark, item_col, item_text_col, size), "decontam-items")
-    windows = staged(pairs.select("len", "words").distinct().withColumn("hash", F.xxhash64("words")), "decontam-windows")
-    n, word_bytes = windows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.array_join("words", " "))), F.lit(0))).first()
-    item_bytes = pairs.agg(F.coalesce(F.sum(F.octet_length("item") + 4), F.lit(0))).first()[0]
-    # inline() makes one row of one verdict: it is computed once, whatever is done with it
-    if n <= inline and word_bytes + item_bytes <= most_bytes:
-        windows = pairs.groupBy("len", "words").agg(F.collect_set("item").alias("items")).withColumn("hash", F.xxhash64("words"))
-        verdict = let(normal_words(column(docs, text_col)), lambda w: let(_looked_up(w, windows), lambda h: _verdict(w, h)))
-        return _replaced(docs, F.inline(F.array(verdict)))
-    hits, items = free_name(docs, "_hits"), free_name(docs, "_items")
-    owners = pairs.where("item is not null").select(_name(F.col("words")).alias("_window"), "item")
-    rows = _joined(docs, windows, owners, text_col, hits, items)
-    verdict = let(normal_words(column(rows, text_col)), lambda w: _verdict(w, F.col(hits), F.col(items)))
-    return _replaced(rows, F.inline(F.array(verdict))).drop(hits, items)
+    pairs = staged(test_windows(benchmark, item_col, item_text_col, size), "decontam-windows")
+    weight = F.octet_length(F.array_join("words", " ")) + F.coalesce(F.octet_length("item"), F.lit(0)) + ENTRY
+    n = max(1, -(-(pairs.agg(F.sum(weight)).first()[0] or 0) // most_bytes))
+    spans, items = free_name(docs, "_spans"), free_name(docs, "_items")
+    rows, before = docs, (_none(SPANS), _none(ITEMS))
+
+    def merged(found: Column) -> tuple[Column, Column]:
+        return F.concat(before[0], found["spans"]), F.array_union(before[1], found["items"])
+
+    # inline() makes one row of one result: it is computed once, whatever is done with it
+    for k in range(n):
+        part = _Set(pairs.where(F.pmod(F.xxhash64("words", "item"), F.lit(n)) == k))
+        words = normal_words(column(rows, text_col))
+        if k < n - 1:
+            hits = let(words, lambda w: let(part.found(w), lambda f: F.struct(*merged(f))))  # noqa: B023
+            rows = staged(rows.select(*[column(rows, c) for c in docs.columns], F.inline(F.array(hits)).alias(spans, items)), "decontam-hits")
+            before = (F.col(spans), F.col(items))
+        else:
+            verdict = let(words, lambda w: let(part.found(w), lambda f: _verdict(w, *merged(f))))  # noqa: B023
+            rows = _replaced(rows, F.inline(F.array(verdict))).drop(spans, items)
+        part.drop()
+    return rows
 
 
 def _replaced(rows: DataFrame, made: Column) -> DataFrame:

@@ -260,16 +260,16 @@ def test_many_spans_and_lines_take_time_in_proportion(spark):
     assert seconds(12_000) < 60
 
 
-@pytest.mark.parametrize("inline", [decontam.INLINE, 0])
-def test_decontaminate(spark, docs, inline):
+@pytest.mark.parametrize("most_bytes", [decontam.BYTES, 200])
+def test_decontaminate(spark, docs, most_bytes):
     items = [(1, "A b c d e f g h i j"), (2, "j K l"), (3, None), (None, "ünï"), (1, "A b c d e f g h i j"), (4, "")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    out = decontam.find_contamination(docs, bench, inline=inline)
+    out = decontam.find_contamination(docs, bench, most_bytes=most_bytes)
     got = rows(out.select("doc_id", "n_words", "n_hit", F.size("hit_items"), F.sha2(F.array_join("hit_items", ","), 256), "contaminated").where("doc_id is not null"), "*")
     assert got == sorted(brute.decontaminate(pairs(False), items), key=repr)
-    left = decontam.drop_contaminated(docs, bench, inline=inline)
+    left = decontam.drop_contaminated(docs, bench, most_bytes=most_bytes)
     assert left.columns == docs.columns and {r[0] for r in rows(left, "doc_id")} == {2, 3, 5, 6, 7, 8}
-    assert decontam.cut_contaminated(docs, bench, inline=inline).where("doc_id = 1").first().text == ""
+    assert decontam.cut_contaminated(docs, bench, most_bytes=most_bytes).where("doc_id = 1").first().text == ""
 
 
 def test_empty_tables(spark, docs, tmp_path):
