@@ -3,24 +3,27 @@
 A rule is ``host/path``: it fits its host and all subdomains, for urls whose path starts
 with the rule's path.  The complete words of a rule (host labels, and path segments
 closed by a slash) must all occur in a url that it fits.  The rule is filed under the one
-that the fewest rules use.  A url's own words fetch candidates from that index, and only
-candidates run their regular expression."""
+that the fewest rules use.  A url's own words fetch candidates from that index, a hash
+table of tokens, and only candidates run their regular expression.  The index is in each
+task, whatever the number of rules: urls are never shuffled."""
 
 from __future__ import annotations
 
 import json
 import re
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, column, free_name
+from .common import HashTable, ascii_lower, column, free_name, staged
 
-INLINE = 1000  # rules that travel as a literal in the plan; more are joined as a table
+BYTES = 64 << 20  # of the rules of one table: some 200,000
+ENTRY = 160  # bytes of a rule beside its token and name
 ANY = ""  # the token of rules without a complete word
 RULE = "struct<rule:string,host:string,path:string,pattern:string,block:boolean>"
+FIELDS = ("rule", "host", "path", "pattern", "block")
 
 
 def _words(host: str, path: str) -> list[str]:
@@ -76,42 +79,51 @@ def _fitting(candidates: Column, host: Column, path: Column) -> Column:
     return F.filter(candidates, lambda r: F.regexp_like(F.concat(host, F.lit("/"), path), r["pattern"]))
 
 
-def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, bool]], url_col: str = "url", default_block: bool = False) -> DataFrame:
+def _tables(index: list[tuple[str, dict]], most_bytes: int) -> Iterator[list[tuple[str, dict]]]:
+    """The index in parts of at most ``most_bytes`` (or one rule)."""
+    part, held = [], 0
+    for token, rule in index:
+        size = ENTRY + 4 * len(rule["rule"]) + len(token)
+        if part and held + size > most_bytes:
+            yield part
+            part, held = [], 0
+        part.append((token, rule))
+        held += size
+    yield part
+
+
+def _table(spark: SparkSession, index: list[tuple[str, dict]]) -> HashTable:
+    rules = F.from_json(F.lit(json.dumps([{"token": t, **r} for t, r in index])), f"array<{RULE.replace('<', '<token:string,', 1)}>")
+    by_token = spark.range(1).select(F.inline(rules)).groupBy("token").agg(F.collect_list(F.struct(*FIELDS)).alias("rules"))
+    return HashTable(by_token.select(F.xxhash64("token").alias("hash"), "token", "rules"), len({t for t, _ in index}))
+
+
+def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, bool]], url_col: str = "url", default_block: bool = False, most_bytes: int = BYTES) -> DataFrame:
     """``pages`` with host, path, rule (null if none fits) and verdict ("allow" or "block":
     the rule's, else ``default_block``'s); columns of these names are replaced.
 
     Null urls and urls without ``://`` have an empty host and path.  A rule given twice
     counts once (the last verdict).  An empty table stays empty; equal rows stay.
-    Up to INLINE rules the work is one pass without a shuffle; beyond, the index is a
-    table, joined to the distinct urls' words, and verdicts are joined back."""
-    index = index_rules(rules)
-    host, path = url_host(column(pages, url_col)), url_path(column(pages, url_col))
-    best = free_name(pages, "_best")
-    if len(index) <= INLINE:
-        filed: dict[str, list[dict]] = {}
-        for token, rule in index:
-            filed.setdefault(token, []).append(rule)
-        table = F.from_json(F.lit(json.dumps(filed)), f"map<string,array<{RULE}>>")
-        h, p, c = free_name(pages, "_h"), free_name(pages, "_p"), free_name(pages, "_c")
-        rows = pages.withColumns({h: host, p: path})
-        none = F.expr(f"cast(array() as array<{RULE}>)")
-        found = F.flatten(F.transform(_tokens(F.col(h), F.col(p)), lambda t: F.coalesce(F.try_element_at(table, t), none)))
-        rows = rows.withColumn(c, found).withColumn(best, _best(_fitting(F.col(c), F.col(h), F.col(p))))
-        host, path, drop = F.col(h), F.col(p), [h, p, c, best]
-    else:
-        spark = pages.sparkSession
-        table = spark.createDataFrame([(t, *[r[k] for k in ("rule", "host", "path", "pattern", "block")]) for t, r in index], "token string, rule string, host string, path string, pattern string, block boolean")
-        urls = pages.select(column(pages, url_col).alias("u")).distinct()
-        urls = urls.select("u", url_host(F.col("u")).alias("h"), url_path(F.col("u")).alias("p"))
-        words = urls.select("u", "h", "p", F.explode(_tokens(F.col("h"), F.col("p"))).alias("token"))
-        fits = words.join(table, "token").where(F.regexp_like(F.concat("h", F.lit("/"), "p"), F.col("pattern")))
-        judged = fits.groupBy("u").agg(F.max(F.struct(F.length("rule"), F.length("host"), "rule", "block")).alias(best))
-        key = free_name(pages, "_u")
-        judged = judged.withColumnRenamed("u", key)
-        rows = pages.join(judged, column(pages, url_col) == F.col(key), "left")
-        drop = [key, best]
-    blocked = F.coalesce(F.col(best)["block"], F.lit(default_block))
-    out = {"host": host, "path": path, "rule": F.col(best)["rule"], "verdict": F.when(blocked, "block").otherwise("allow")}
-    if url_col in out:
+    The work is one pass without a shuffle.  Rules of more than ``most_bytes`` are dealt into
+    several tables, which go over the pages one after the other (the best rule so far is
+    written with the pages)."""
+    if url_col in ("host", "path", "rule", "verdict"):
         raise ValueError(f"the url column can't be called {url_col}")
-    return rows.withColumns(out).drop(*drop)
+    h, p, c, best = (free_name(pages, x) for x in ("_h", "_p", "_c", "_best"))
+    parts = list(_tables(index_rules(rules), most_bytes))
+    rows = pages.withColumns({h: url_host(column(pages, url_col)), p: url_path(column(pages, url_col))})
+    for k, part in enumerate(parts):
+        table = _table(pages.sparkSession, part)
+
+        def fetched(token: Column) -> Column:
+            return F.flatten(F.transform(F.filter(table.bucket(F.xxhash64(token)), lambda e: e["token"] == token), lambda e: e["rules"]))  # noqa: B023
+
+        found = _best(_fitting(F.col(c), F.col(h), F.col(p)))
+        rows = rows.withColumn(c, F.flatten(F.transform(_tokens(F.col(h), F.col(p)), fetched)))
+        rows = rows.withColumn(best, F.greatest(F.col(best), found) if k else found).drop(c)
+        if k < len(parts) - 1:
+            rows = staged(rows, "urls-best")
+        table.drop()
+    blocked = F.coalesce(F.col(best)["block"], F.lit(default_block))
+    out = {"host": F.col(h), "path": F.col(p), "rule": F.col(best)["rule"], "verdict": F.when(blocked, "block").otherwise("allow")}
+    return rows.withColumns(out).drop(h, p, best)

@@ -191,11 +191,14 @@ def test_records(spark, docs, tmp_path):
 def test_urls(spark):
     given = [None, "", "no scheme", "http://", "HTTP://A.Example.NET/en/x?y", "x://example.com/de/", "x://org", "x://w.org/fr/a#b", "x://badnet/", "x://net?q"]
     rules = [("net/", True), ("example.net/en/", False), ("example.com/de/", True), ("org/fr/", False)]
-    many = rules + [(f"r{k}.test/p{k}/", True) for k in range(urls.INLINE)]
+    many = rules + [(f"r{k}.test/p{k}/", True) for k in range(1500)]
     df = spark.createDataFrame([(u, "old") for u in given * 2], "url string, rule string")
-    for some in (rules, many):
-        got = rows(urls.filter_urls(df, some), "url", "host", "path", "rule", "verdict")
+    for some, most_bytes in ((rules, urls.BYTES), (many, urls.BYTES), (many, 150_000), (rules, 1)):
+        out = urls.filter_urls(df, some, most_bytes=most_bytes)
+        got = rows(out, "url", "host", "path", "rule", "verdict")
         assert got == sorted([(u, *brute.url(u, rules)) for u in given * 2], key=repr)
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert rows(urls.filter_urls(df, []), "verdict") == [("allow",)] * 20
 
 
 def test_sharding(docs):
