@@ -34,6 +34,7 @@ from .analysis import Inputs, joined_events, run_observation, unit_table
 from .observation import Observation
 from ..session import ensure_checkpoint_dir, materialize
 from ..sources import sinks
+from ..sources import state as ST
 from .testdata_metrics import HEAVY_METRICS, LIGHT_METRICS
 
 MOMENT_COLS = ["metric_value", "numerator_avg", "numerator_var", "denominator_avg", "denominator_var", "covariance"]
@@ -748,6 +749,39 @@ def q_upsert_latest(spark, d):
     return E.apply_updates(cust, upd, "c_custkey", "_updated_at", tie_break=["o_orderkey"])
 
 
+# K-2, M-2, M-3, W-7: stored customers, changed by three batches of the log and compacted in between
+@register(
+    "q_stored_state",
+    "WITH u AS (SELECT o_custkey AS c_custkey, MAX(o_orderdate) FILTER (WHERE o_orderstatus <> 'P') AS seen, "
+    "last(o_totalprice ORDER BY o_orderdate, o_orderkey) FILTER (WHERE o_orderstatus = 'F') AS balance, "
+    "last(o_orderpriority ORDER BY o_orderdate, o_orderkey) FILTER (WHERE o_orderstatus = 'O') AS segment, "
+    "COALESCE(bool_or(o_orderstatus = 'P' AND o_orderdate >= TIMESTAMP '1995-01-01 00:00:00'), FALSE) AS gone FROM orders GROUP BY o_custkey) "
+    "SELECT c_custkey, COALESCE(seen, TIMESTAMP '1990-01-01 00:00:00') AS _updated_at, c_name, COALESCE(balance, c_acctbal) AS c_acctbal, "
+    "COALESCE(segment, c_mktsegment) AS c_mktsegment FROM customer LEFT JOIN u USING (c_custkey) WHERE NOT COALESCE(gone, FALSE)",
+)
+def q_stored_state(spark, d):
+    """Customers in debt are created by the log.  Orders set one of two fields; an open order
+    of the last batch deletes its customer."""
+    cust = TD.table(spark, d, "customer").select(
+        "c_custkey", ts_lit("1990-01-01 00:00:00").alias("_updated_at"), "c_name", "c_acctbal", "c_mktsegment"
+    )
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/state-{uuid.uuid4().hex}"
+    debt = F.col("c_acctbal") < 0
+    ST.create_state(cust.where(~debt), path, "c_custkey", buckets=8)
+    ST.append_changes(cust.where(debt).withColumn("op", F.lit("create")), path, ["_updated_at"])
+    status = F.col("o_orderstatus")
+    changes = TD.table(spark, d, "orders").select(
+        F.col("o_custkey").alias("c_custkey"), F.col("o_orderdate").alias("_updated_at"), "o_orderkey",
+        F.when(status == "F", F.col("o_totalprice")).alias("c_acctbal"), F.when(status == "O", F.col("o_orderpriority")).alias("c_mktsegment"),
+        F.when(status == "P", "delete").otherwise("set").alias("op"),
+    )
+    late = F.col("_updated_at") >= ts_lit("1995-01-01 00:00:00")
+    ST.append_changes(changes.where(~late & (F.col("op") == "set")), path, ["_updated_at", "o_orderkey"])
+    ST.compact_state(spark, path)
+    ST.append_changes(changes.where(late), path, ["_updated_at", "o_orderkey"])
+    return ST.read_state(spark, path)
+
+
 # M-3, M-4, J-10: delete a region and everything below it
 @register(
     "q_cascade_delete",
