@@ -24,7 +24,7 @@ def test_shared_window(spark):
 
 
 def test_many_windows(spark):
-    """Some 30,000 windows: the documents are not shuffled, and the plan does not print the set."""
+    """Some 16,000 windows: the documents are not shuffled, and the plan does not print the set."""
     draw = random.Random(5)
     item = lambda n: " ".join(f"w{draw.randrange(3000)}" for _ in range(n))
     items = [(k, item(draw.choice([4, 10, 40]))) for k in range(1500)] + [(2000, "same words"), (2001, "same words")]
