@@ -18,11 +18,13 @@ writes a file of a new name, and the rows of the lost attempt never reach the in
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from string import ascii_letters
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +37,12 @@ from .common import column, utf8
 # Fixed values of the record format.
 MASK_DELTA = 0xA282EAD8
 HEAD, TAIL = struct.Struct("<QI"), struct.Struct("<I")
-CACHE = 800_000  # words a worker remembers
+CACHE, CACHE_BYTES = 400_000, 16 << 20  # pieces in one of a worker's two memories, and their bytes
 MARK = b"\0"
-PUNCTUATION = {b",", b".", b";", b":", b"!", b"?"}
-TOGETHER = 200  # words in one call of the tokenizer
+TOGETHER = 200  # pieces in one call of the tokenizer
+BLOCK, CUT = 8 << 20, 1 << 20  # bytes of text whose different pieces are looked up together; that are cut at a time
+# A piece as ``cut`` makes it, no whole word.
+PIECE = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+|[0-9]|[!-&(-/:-@\[-`{-~]+")
 
 
 def masked_crc(data: bytes) -> int:
@@ -63,89 +67,176 @@ def unframe(record: bytes) -> bytes:
     return payload
 
 
-class WordEncoder:
-    """Ids of texts by a tokenizer whose pieces never span white space, end a run of letters
-    or digits before punctuation, and ignore the case of ASCII letters.  So the tokenizer
-    sees each word once, in lower case and without one closing punctuation mark; its ids
-    are remembered (the memories are emptied when full)."""
+# Kinds of bytes; a word with an odd byte is left to the tokenizer as it is.
+SPACE, LETTER, DIGIT, OTHER, ODD = range(5)
+WHITE = b" \t\n\v\f\r"
+LATIN = 0xC3  # first byte of U+00C0 to U+00FF: all letters but two, none changed by NFC
+TIMES, DIVIDED = 0x97, 0xB7  # second bytes of those two
+
+
+def _kinds() -> bytes:
+    kind = bytearray([ODD]) * 256
+    kind[0x21:0x7F] = bytes([OTHER]) * (0x7F - 0x21)
+    # bytes after the first of another character are in a word that is odd by the first
+    for k, members in ((ODD, b"'"), (SPACE, WHITE), (DIGIT, b"0123456789"), (LETTER, ascii_letters.encode()), (LETTER, [LATIN, *range(0x80, 0xC0)])):
+        for x in members:
+            kind[x] = k
+    return bytes(kind)
+
+
+KIND = _kinds()
+
+
+def cut(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The pieces of ``texts`` in order, and how many each text has.
+
+    A piece is a run of letters, one digit or a run of other marks, in lower case; or a whole
+    word, unchanged, if it has more than ASCII and Latin-1 letters, an apostrophe, a control
+    character or ``<|`` (it may be the name of a special token)."""
+    text = bytearray(b"\n".join([*texts, b""]))
+    data, kind, lower = (np.frombuffer(x, np.uint8) for x in (text, text.translate(KIND), text.lower()))
+    latin = np.flatnonzero(data == LATIN)
+    second = data[latin + 1]
+    lower[latin + 1] = np.where(second <= 0x9E, second | 0x20, second)
+    kind[latin[(second == TIMES) | (second == DIVIDED)]] = ODD
+    if b"<|" in text:
+        kind[:-1][(data[:-1] == ord("<")) & (data[1:] == ord("|"))] = ODD
+    solid = kind != SPACE
+    begin = np.concatenate([[True], kind[1:] != kind[:-1]])
+    begin |= kind == DIGIT
+    begin &= solid
+    odd = np.flatnonzero(kind == ODD)
+    if len(odd):
+        edge = np.flatnonzero(np.diff(solid, prepend=False))  # beginnings and ends of words by turns
+        words, ends = edge[::2], edge[1::2]
+        hit = np.unique(np.searchsorted(words, odd, "right") - 1)
+        step = np.zeros(len(data), np.int8)
+        step[words[hit]], step[ends[hit]] = 1, -1
+        inside = np.cumsum(step, dtype=np.int8).astype(bool)
+        begin[inside], lower[inside] = False, data[inside]
+        begin[words[hit]] = True
+    packed = lower.tobytes().translate(None, WHITE)
+    offsets = np.append(np.flatnonzero(begin[solid]), len(packed)).astype(np.int32)
+    pieces = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(packed)])
+    return pieces, np.diff(np.searchsorted(np.flatnonzero(begin), np.cumsum([len(t) + 1 for t in texts])), prepend=0)
+
+
+def listed(values: pa.Array) -> list[bytes]:
+    """The values of a binary array that begins at its buffers' begin."""
+    _, offsets, data = values.buffers()
+    ends, held = np.frombuffer(offsets, np.int32, len(values) + 1).tolist(), data.to_pybytes()
+    return [held[a:b] for a, b in zip(ends, ends[1:])]
+
+
+class PieceEncoder:
+    """Ids of texts by a tokenizer whose pieces never span white space, are runs of letters,
+    single digits or runs of other marks (an apostrophe may begin a shortened word), and
+    ignore case.  So texts are cut here, and the tokenizer's model sees each piece once; the
+    ids are remembered (when the memory is full, it becomes the earlier one, whose pieces
+    come back as they are met).  Words that are no such pieces go through the whole
+    tokenizer."""
 
     def __init__(self, tokenizer_path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.kind, self.code = f"<u{self.width}", "H" if self.width == 2 else "I"
-        self.words: dict[bytes, bytes] = {}
-        self.stems: dict[bytes, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.earlier: dict[bytes, bytes] = {}
+        self.held = 0  # bytes of the known pieces
         self.model = self.tokenizer.model
+        self.spelling = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.space = self.spell(" ")
         (self.mark,) = self.ids(MARK.decode())  # one id, which no text without the mark gives
 
     def ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def learn(self, stems: list[bytes]) -> None:
-        """Encodes new stems in one text, with a mark between them (those that hold the mark
+    def spell(self, text: str) -> str:
+        """The characters that stand for the bytes of ``text`` in the model."""
+        return self.spelling.pre_tokenize_str(text)[0][0]
+
+    def learn_pieces(self, pieces: list[bytes]) -> None:
+        text = b" ".join(pieces).decode()
+        spelled = text.split(" ") if text.isascii() else self.spell(text).split(self.space)
+        tokens = map(self.model.tokenize, spelled)
+        self.known.update((x, array(self.code, [t.id for t in ts]).tobytes()) for x, ts in zip(pieces, tokens, strict=True))
+
+    def learn_words(self, words: list[bytes]) -> None:
+        """Encodes new words in one text, with a mark between them (those that hold the mark
         themselves go one by one)."""
-        plain = [w for w in stems if MARK not in w]
+        plain = [w for w in words if MARK not in w]
         ids = np.array(self.ids(f" {MARK.decode()} ".join([w.decode() for w in plain])), dtype=self.kind)
         ends = np.append(np.flatnonzero(ids == self.mark), len(ids)).tolist()
         begin = 0
         for w, stop in zip(plain, ends if plain else [], strict=True):
-            self.stems[w] = ids[begin:stop].tobytes()
+            self.known[w] = ids[begin:stop].tobytes()
             begin = stop + 1
-        for w in stems:
+        for w in words:
             if MARK in w:
-                self.stems[w] = np.array(self.ids(w.decode()), dtype=self.kind).tobytes()
-
-    def meet(self, words: set[bytes]) -> None:
-        """Makes sure that all of ``words`` are known."""
-        if len(self.words) >= CACHE:
-            self.words.clear()
-        fresh = words.difference(self.words)
-        if len(self.stems) >= CACHE:
-            self.stems.clear()
-        cut = [(w, *_stem(w)) for w in fresh]
-        need = {x for _, stem, end in cut for x in (stem, end) if x and x not in self.stems}
-        letters = [x for x in need if x.isalpha()]  # ASCII letters: one piece, as it is
-        tokens = map(self.model.tokenize, map(bytes.decode, letters))
-        self.stems.update((x, array(self.code, [t.id for t in ts]).tobytes()) for x, ts in zip(letters, tokens))
-        need = list(need.difference(letters))
-        for k in range(0, len(need), TOGETHER):
-            self.learn(need[k : k + TOGETHER])
-        get = self.stems.get
-        self.words.update((w, get(stem, b"") + get(end, b"")) for w, stem, end in cut)
+                self.known[w] = np.array(self.ids(w.decode()), dtype=self.kind).tobytes()
+
+    def ids_of(self, found: list[bytes]) -> list[bytes]:
+        """The ids of each of ``found`` (pieces and words, no two alike)."""
+        got = list(map(self.known.get, found))
+        fresh = [x for x, ids in zip(found, got) if ids is None]
+        if len(self.known) + len(fresh) > CACHE or self.held > CACHE_BYTES:
+            self.known, self.earlier, self.held = {}, self.known, 0
+        self.held += sum(map(len, fresh))
+        letters, pieces, words = [], [], []
+        for x in fresh:
+            ids = self.earlier.get(x)
+            if ids is not None:
+                self.known[x] = ids
+            else:
+                (letters if x.isalpha() else pieces if PIECE.fullmatch(x) else words).append(x)
+        for learn, some in ((self.learn_pieces, letters), (self.learn_pieces, pieces), (self.learn_words, words)):
+            for k in range(0, len(some), TOGETHER):
+                learn(some[k : k + TOGETHER])
+        return [self.known[x] if ids is None else ids for x, ids in zip(found, got)]
 
     def encode(self, texts: list[bytes], end: int) -> list[bytes]:
         """Payloads: the ids of each text, then ``end``."""
         stop = np.array([end], dtype=self.kind).tobytes()
         out = []
-        for k in range(0, len(texts), 100):
-            split = [t.split() for t in texts[k : k + 100]]
-            self.meet(set().union(*split))
-            get = self.words.__getitem__
-            out += [b"".join(map(get, ws)) + stop for ws in split]
+        for some in blocks(texts, BLOCK):
+            parts, counts = zip(*map(cut, blocks(some, CUT)))
+            pieces = pa.concat_arrays(parts).dictionary_encode()
+            if not len(pieces):
+                out += [stop] * len(some)
+                continue
+            ids = pa.array(self.ids_of(listed(pieces.dictionary)), pa.large_binary()).take(pieces.indices)
+            _, offsets, data = ids.buffers()
+            ends = np.frombuffer(offsets, np.int64, len(ids) + 1)[np.cumsum(np.concatenate(counts))].tolist()
+            view = memoryview(data)
+            out += [b"".join((view[a:b], stop)) for a, b in zip([0, *ends], ends)]
         return out
 
 
-def _stem(word: bytes) -> tuple[bytes, bytes]:
-    """(stem, closing mark) whose ids together are the word's."""
-    if b"<|" in word:  # may be the name of a special token
-        return word, b""
-    end = b""
-    if word[-1:] in PUNCTUATION and word[-2:-1].isalnum():
-        word, end = word[:-1], word[-1:]
-    return (word.lower() if word.isascii() else word), end
+def blocks(texts: list[bytes], size: int) -> Iterator[list[bytes]]:
+    """``texts`` in order, some at a time: as many as ``size`` bytes hold, or one that is longer."""
+    some, held = [], 0
+    for t in texts:
+        if some and held + len(t) > size:
+            yield some
+            some, held = [], 0
+        some.append(t)
+        held += len(t)
+    if some:
+        yield some
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[str, PieceEncoder] = {}
 
 
-def word_encoder(path: str) -> WordEncoder:
+def piece_encoder(path: str) -> PieceEncoder:
     if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
+        _ENCODERS[path] = PieceEncoder(path)
     return _ENCODERS[path]
 
 
@@ -172,7 +263,7 @@ def write_records(
         from pyspark import TaskContext
         from pyarrow.fs import FileSystem
 
-        work, part, out = word_encoder(tokenizer_path), TaskContext.get().partitionId(), None
+        work, part, out = piece_encoder(tokenizer_path), TaskContext.get().partitionId(), None
         name = f"{files}/part-{part:06d}-{uuid.uuid4().hex}.rec"
         offset = seq = before = 0
         try:
