@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,7 +23,7 @@ from ..session import ensure_worker_path
 from .common import column, free_name
 
 NONE = 1 << 62
-CACHE = 120_000  # parts, and pieces, that a worker remembers, of LONG characters at most: some 30 MB each
+CACHE = 120_000  # pieces that a worker remembers, of LONG bytes at most
 LONG = 40
 CHUNK = 1_000_000  # characters of the texts that are encoded together
 SIDE_BY_SIDE = 62  # bytes of a piece whose tree is a row of an array
@@ -183,79 +184,99 @@ def merge_rows(pieces: list[bytes], size: int, byte_ids: np.ndarray, pairs: Pair
     return [ids[a:b] for a, b in zip([0, *ends], ends)]
 
 
+def spliced(values: pa.LargeBinaryArray, picks: np.ndarray, ends: list[int]) -> tuple[bytes, np.ndarray]:
+    """The picked values, one after the other, and where the first ``ends[k]`` of them end."""
+    got = values.take(pa.array(picks))
+    _, offsets, data = got.buffers()
+    if not len(got):
+        return b"", np.zeros(len(ends), np.int64)
+    offsets = np.frombuffer(offsets, np.int64, len(got) + 1)
+    return data.slice(0, offsets[-1]).to_pybytes() if data else b"", offsets[ends]
+
+
 class Encoder:
-    """Texts to ids.  A text is cut at every single space between two characters that are
-    not white space, where the pattern can't match across; the space belongs to what
-    follows.  These parts and their pieces repeat, so a worker remembers their ids (the
-    memories are emptied when full).  New pieces of several texts are merged together."""
+    """Texts to ids.  Pieces repeat, so a worker remembers their ids, as two Arrow arrays
+    (``names``, ``ids``); ``found`` has how often a piece came lately, and the rarer half is
+    forgotten when there are too many.  The pieces of several texts are looked up together,
+    and the new ones are merged together."""
 
     def __init__(self, rank_path: str, pattern: str):
-        import re
-
         import regex
 
         self.ranks = load_ranks(rank_path)
         self.pairs = PairTable(self.ranks, NONE)
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         self.find = regex.compile(pattern).findall
-        self.cut = re.compile(r" (?<=\S )(?=\S)").split
-        self.parts: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def merge_new(self, pieces: list[str]) -> None:
-        """Learns the ids of pieces that are not remembered."""
-        ranks, known, sizes = self.ranks, self.pieces, {}
-        for piece in pieces:
-            raw = piece.encode()
-            whole = ranks.get(raw)
+        self.names = self.ids = pa.array([], pa.large_binary())
+        self.found = np.zeros(0, np.int64)
+
+    def merge_new(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each piece, as 32-bit integers."""
+        out, sizes = [], {}
+        for k, whole in enumerate(map(self.ranks.get, pieces)):
             if whole is not None:
-                known[piece] = whole.to_bytes(4, "little")
-            elif len(raw) > SIDE_BY_SIDE:
-                known[piece] = array("i", merge_piece(raw, ranks)).tobytes()
+                out.append(whole.to_bytes(4, "little"))
+                continue
+            n = len(pieces[k])
+            if n > SIDE_BY_SIDE:
+                out.append(array("i", merge_piece(pieces[k], self.ranks)).tobytes())
             else:
-                sizes.setdefault(1 << (len(raw) + 1).bit_length(), []).append((piece, raw))
+                out.append(b"")
+                sizes.setdefault(1 << (n + 1).bit_length(), []).append(k)
         for size, group in sizes.items():
             step = CELLS // size
-            for k in range(0, len(group), step):
-                names, raws = zip(*group[k : k + step])
-                known.update(zip(names, merge_rows(raws, size, self.byte_ids, self.pairs)))
-
-    def chunk(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as 32-bit integers; the texts share their new parts."""
-        if len(self.parts) >= CACHE:
-            self.parts.clear()
-        if len(self.pieces) >= CACHE:
-            self.pieces.clear()
-        cut = [self.cut(t) for t in texts]
-        heads = [self.find(c[0]) for c in cut]
-        new = list(set().union(*[c[1:] for c in cut]).difference(self.parts))
-        found = [self.find(" " + part) for part in new]
-        unknown = list(set().union(*heads, *found).difference(self.pieces))
-        self.merge_new(unknown)
-        get = self.pieces.__getitem__
-        self.parts.update((part, b"".join(map(get, pieces))) for part, pieces in zip(new, found))
-        part = self.parts.__getitem__
-        out = [b"".join((*map(get, head), *map(part, c[1:]))) for head, c in zip(heads, cut)]
-        for memory, names in ((self.parts, new), (self.pieces, unknown)):
-            for name in names:
-                if len(name) > LONG:
-                    del memory[name]
+            for a in range(0, len(group), step):
+                some = group[a : a + step]
+                for k, ids in zip(some, merge_rows([pieces[k] for k in some], size, self.byte_ids, self.pairs)):
+                    out[k] = ids
         return out
 
-    def encode(self, texts: Iterator[str]) -> Iterator[bytes]:
-        """Ids of each text, in order; about CHUNK characters at a time."""
+    def chunk(self, texts: list[str]) -> tuple[bytes, np.ndarray]:
+        """Ids of the texts, one after the other as 32-bit integers, and where each text's ids end."""
+        pieces, ends = [], []
+        for t in texts:
+            pieces += self.find(t)
+            ends.append(len(pieces))
+        old = len(self.names)
+        coded = pa.concat_arrays([self.names, pa.array(pieces, pa.large_binary())]).dictionary_encode()
+        del pieces
+        codes = coded.indices.to_numpy()[old:]
+        names = coded.dictionary
+        ids = pa.concat_arrays([self.ids, pa.array(self.merge_new(names[old:].to_pylist()), pa.large_binary())])
+        self.remember(names, ids, codes)
+        data, offsets = spliced(ids, codes, ends)
+        return data, offsets // 4
+
+    def remember(self, names: pa.LargeBinaryArray, ids: pa.LargeBinaryArray, codes: np.ndarray) -> None:
+        found = np.bincount(codes, minlength=len(names))
+        found[: len(self.found)] += self.found
+        keep = pc.binary_length(names).to_numpy() <= LONG
+        if np.count_nonzero(keep) > CACHE:
+            found[~keep] = -1
+            most = np.argpartition(found, -(CACHE // 2))[-(CACHE // 2) :]
+            keep[:] = False
+            keep[most] = True
+            found //= 2
+        if not keep.all():
+            mask = pa.array(keep)
+            names, ids, found = names.filter(mask), ids.filter(mask), found[keep]
+        self.names, self.ids, self.found = names, ids, found
+
+    def encode(self, texts: Iterator[str]) -> Iterator[tuple[bytes, np.ndarray]]:
+        """What ``chunk`` gives for about CHUNK characters at a time, in order."""
         held, total = [], 0
         for t in texts:
             held.append(t)
             total += len(t)
             if total >= CHUNK:
-                yield from self.chunk(held)
+                yield self.chunk(held)
                 held, total = [], 0
-        yield from self.chunk(held)
+        if held:
+            yield self.chunk(held)
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
-_VOCABULARIES: dict[str, list[bytes]] = {}
+_VOCABULARIES: dict[str, pa.LargeBinaryArray] = {}
 
 
 def encoder(rank_path: str, pattern: str) -> Encoder:
@@ -266,31 +287,37 @@ def encoder(rank_path: str, pattern: str) -> Encoder:
     return _ENCODERS[key]
 
 
-def vocabulary(rank_path: str) -> list[bytes]:
+def vocabulary(rank_path: str) -> pa.LargeBinaryArray:
     if rank_path not in _VOCABULARIES:
         ranks = load_ranks(rank_path)
         table = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, k in ranks.items():
             table[k] = token
-        _VOCABULARIES[rank_path] = table
+        _VOCABULARIES[rank_path] = pa.array(table, pa.large_binary())
     return _VOCABULARIES[rank_path]
 
 
 def _ids_of(texts: pa.Array, rank_path: str, pattern: str) -> pa.ListArray:
     work = encoder(rank_path, pattern)
-    ids, ends = bytearray(), [0]
-    for got in work.encode(t.as_py() or "" for t in texts):
-        ids += got
-        ends.append(len(ids) // 4)
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, dtype=np.int32)))
+    ids, ends = bytearray(), [np.zeros(1, np.int64)]
+    for data, to in work.encode(t.as_py() or "" for t in texts):
+        ends.append(to + len(ids) // 4)
+        ids += data
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(ends)).cast(pa.int32()), pa.array(np.frombuffer(ids, dtype=np.int32)))
 
 
 def _bytes_of(ids: pa.ListArray, rank_path: str) -> pa.Array:
     table = vocabulary(rank_path)
-    values, get = ids.values.to_numpy(), table.__getitem__
-    ends, known = ids.offsets.to_pylist(), ids.is_valid().to_pylist()
-    rows = (b"".join(map(get, values[a:b].tolist())) if ok else None for a, b, ok in zip(ends, ends[1:], known))
-    return pa.array(rows, pa.binary())
+    values, ends = ids.values.to_numpy(), ids.offsets.to_numpy()
+    made, a = [pa.array([], pa.binary())], 0
+    while a < len(ids):  # rows of about CHUNK ids
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + CHUNK, "right")) - 1)
+        data, offsets = spliced(table, values[ends[a] : ends[b]], ends[a : b + 1] - ends[a])
+        offsets = pa.array(offsets).cast(pa.int32())
+        made.append(pa.Array.from_buffers(pa.binary(), b - a, [None, offsets.buffers()[1], pa.py_buffer(data)]))
+        a = b
+    rows = pa.concat_arrays(made)
+    return pc.if_else(ids.is_valid(), rows, None) if ids.null_count else rows
 
 
 def _encoder_udf(rank_path: str, pattern: str) -> Callable:

@@ -5,6 +5,7 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,6 +120,38 @@ def test_bpe_trees_side_by_side_give_what_single_trees_give():
                 assert np.frombuffer(ids, np.int32).tolist() == bpe.merge_piece(raw, work.ranks)
 
 
+def test_frequent_pieces_are_merged_once(monkeypatch):
+    import public_tokenizers as P
+
+    monkeypatch.setattr(bpe, "CACHE", 400)
+    monkeypatch.setattr(bpe, "CHUNK", 2_000)
+    monkeypatch.setattr(bpe, "_ENCODERS", {})
+    merged = []
+    plain = bpe.merge_rows
+    monkeypatch.setattr(bpe, "merge_rows", lambda pieces, *rest: merged.extend(pieces) or plain(pieces, *rest))
+    rng = random.Random(8)
+    rare = lambda: "".join(rng.choice("qxzjvk") for _ in range(9))
+    texts = [" ".join(w for _ in range(100) for w in ("frequxnt", rare())) for _ in range(20)] + ["", "a" * 90, " \n \t", "é\u3000日本"]
+    work = bpe.Encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    ids = bpe._ids_of(pa.array([*texts, None]), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).to_pylist()
+    expected = [[k for piece in work.find(t) for k in bpe.merge_piece(piece.encode(), work.ranks)] for t in [*texts, ""]]
+    assert ids == expected and len(set(merged)) > 1_900
+    assert merged.count(b" frequxnt") == 1
+
+
+def test_decoding_an_id_outside_the_vocabulary_is_an_error():
+    import public_tokenizers as P
+
+    ranks = P.path("byte_bpe_50k.tiktoken")
+    size = max(bpe.load_ranks(ranks).values()) + 1
+    ids = pa.array([[], None, [size - 1, 0], []], pa.list_(pa.int32()))
+    assert bpe._bytes_of(ids, ranks).is_valid().to_pylist() == [True, False, True, True]
+    assert bpe._bytes_of(ids[1:], ranks).to_pylist() == bpe._bytes_of(ids, ranks).to_pylist()[1:]
+    for bad in (-1, size):
+        with pytest.raises(IndexError):
+            bpe._bytes_of(pa.array([[0], [bad]], pa.list_(pa.int32())), ranks)
+
+
 def test_secrets(spark, docs, tmp_path):
     ledger = str(tmp_path / "ledger")
     first = docs.where("doc_id < 7")
